@@ -1,0 +1 @@
+"""Nothing here: the work this engine covers has no streaming operator, so none was invented."""
