@@ -1,9 +1,400 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries over the driver's tables, and their SQL oracles.
 
+documents is genome X, benchmark genome Y (odd items reverse-complemented).
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from strandmill.functions import dna
+from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds
+from strandmill.plans import sql
+from strandmill.plans.compare import Comparison
+from strandmill.sources import fasta, fragment_files, genomes, workloads
+from strandmill.storage import saved, shared_path
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+CHUNKS, GUIDED_LEAST = 7, 50
+
+
+#: Names of queries that would hide a module here.
+NAMES = {"kmers_listing": "kmers", "dictionary_build": "dictionary", "fragments_all": "fragments"}
+
+
+def registered(oracle: str):
+    def keep(f):
+        name = NAMES.get(f.__name__, f.__name__)
+        QUERIES[name], ORACLES[name] = f, oracle
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genomes.documents_genome(spark, sf_dir)
+
+
+def _y(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genomes.benchmark_genome(spark, sf_dir)
+
+
+def _compared(spark: SparkSession, sf_dir: str, **args) -> Comparison:
+    return Comparison(saved(_x(spark, sf_dir), "x"), saved(_y(spark, sf_dir), "y"), **args)
+
+
+# sequences
+
+
+@registered(sql.of("y", "SELECT seq, ident, dna, len FROM y"))
+def fasta_records(spark, sf_dir):
+    """Benchmark written as FASTA and read back."""
+    path = shared_path(spark, "fasta")
+    fasta.write_fasta(_y(spark, sf_dir), path, 60)
+    return fasta.read_fasta(spark, path).select("seq", "ident", "dna", "len")
+
+
+@registered(sql.of("x y", "SELECT 'x' AS genome, count(*) AS n_sequences, sum(len)::BIGINT AS total_length FROM x UNION ALL SELECT 'y', count(*), sum(len)::BIGINT FROM y"))
+def seq_totals(spark, sf_dir):
+    x, y = genomes.totals(_x(spark, sf_dir)), genomes.totals(_y(spark, sf_dir))
+    return x.select(F.lit("x").alias("genome"), "*").unionByName(y.select(F.lit("y").alias("genome"), "*"))
+
+
+@registered(sql.of("x", "SELECT seq, ident, len, g_off FROM x"))
+def global_offsets(spark, sf_dir):
+    return _x(spark, sf_dir).select("seq", "ident", "len", "g_off")
+
+
+@registered(sql.of("y ys", "SELECT seq, dna, len, g_off FROM ys WHERE strand = 'r'"))
+def reverse_complement(spark, sf_dir):
+    return genomes.reversed_genome(_y(spark, sf_dir)).select("seq", "dna", "len", "g_off")
+
+
+# words
+
+
+@registered(sql.of("y ky", "SELECT seq, pos, word FROM ky"))
+def kmers_listing(spark, sf_dir):
+    return kmers.spelled(kmers.kmers(_y(spark, sf_dir))).select("seq", "pos", "word")
+
+
+@registered(sql.of("x kx", "SELECT substring(word, 1, 2) AS prefix, count(*) AS n FROM kx GROUP BY 1"))
+def kmers_prefix(spark, sf_dir):
+    """Words by prefix, each prefix filtered on its own, as workers that own prefixes do."""
+    words = kmers.kmers(_x(spark, sf_dir))
+    lines = spark.createDataFrame([(i, ",".join("ACGT"[i] + b for b in "ACGT")) for i in range(4)], "rank int, line string")
+    owned = workloads.prefixes(lines).select("prefix")
+    value = F.translate(F.col("prefix"), "ACGT", "0123")
+    keyed = owned.select("prefix", F.conv(value, 4, 10).cast("bigint").alias("key"))
+    return words.groupBy(dna.code_prefix(F.col("code"), 2).alias("key")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(keyed), "key").select("prefix", "n")  # 16 prefixes
+
+
+@registered(sql.of("y ky", "SELECT word, list_reduce(list_transform(string_split(word, ''), lambda c: (instr('ACGT', c) - 1)::HUGEINT), lambda a, b: a * 4 + b)::VARCHAR AS packed FROM (SELECT DISTINCT word FROM ky)"))
+def kmer_pack(spark, sf_dir):
+    """Distinct words and their packed values as unsigned decimals."""
+    words = kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir))))
+    return words.select("word", F.conv(dna.pack(F.col("word")), 16, 10).alias("packed"))
+
+
+@registered("SELECT p_partkey, translate(to_base(p_partkey, 4, 12), '0123', 'ACGT') AS word FROM part")
+def index_to_kmer(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", dna.index_to_word(F.col("p_partkey"), 12).alias("word"))
+
+
+@registered(sql.of("y ky", "SELECT word, count(*) AS num FROM ky GROUP BY word"))
+def dictionary_build(spark, sf_dir):
+    return kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir)))).select("word", "num")
+
+
+@registered(sql.of("y ky", "SELECT word, count(*) AS num, array_to_string((list(seq || ':' || pos ORDER BY seq, pos))[1:12], ' ') AS places FROM ky GROUP BY word"))
+def dictionary_locations(spark, sf_dir):
+    found = kmers.spelled(dictionary.locations(kmers.kmers(_y(spark, sf_dir)), 12))
+    return found.select("word", "num", F.array_join(F.transform("locs", lambda p: F.concat_ws(":", p["seq"].cast("string"), p["pos"].cast("string"))), " ").alias("places"))
+
+
+@registered(sql.of("x kx", "SELECT num, count(*) AS n_words FROM (SELECT word, count(*) AS num FROM kx GROUP BY word) WHERE num < 1001 GROUP BY num"))
+def word_histogram(spark, sf_dir):
+    return dictionary.histogram(kmers.kmers(_x(spark, sf_dir)))
+
+
+@registered(sql.of("x kx", "SELECT count(*) AS n_words, max(num) AS max_num, sum(num)::BIGINT AS sum_num, round(avg(num), 6) AS avg_num FROM (SELECT word, count(*) AS num FROM kx GROUP BY word)"))
+def dictionary_summary(spark, sf_dir):
+    return dictionary.summary(kmers.kmers(_x(spark, sf_dir)))
+
+
+@registered(sql.of("x kx", "SELECT word, count(*) AS num FROM kx GROUP BY word HAVING count(*) >= 101"))
+def freq_outliers(spark, sf_dir):
+    return dictionary.outliers(kmers.kmers(_x(spark, sf_dir)), 101)
+
+
+@registered(sql.of("y ky", "SELECT word, seq, pos, num FROM (SELECT *, count(*) OVER (PARTITION BY word) AS num FROM ky) WHERE num <= 1"))
+def freq_filter(spark, sf_dir):
+    return kmers.spelled(dictionary.frequent_enough(kmers.kmers(_y(spark, sf_dir)), 1)).select("word", "seq", "pos", "num")
+
+
+@registered(sql.of("x kx", "SELECT word, seq, pos, num FROM (SELECT *, count(*) OVER (PARTITION BY word) AS num, row_number() OVER (PARTITION BY word ORDER BY seq, pos) - 1 AS k FROM kx) WHERE num >= 20 AND k % greatest(1, num // 10) = 0"))
+def stride_sample(spark, sf_dir):
+    """Places of words with 20 or more, strided from 10 on."""
+    words = kmers.kmers(_x(spark, sf_dir))
+    counted = words.join(dictionary.dictionary(words).filter("num >= 20"), "code")
+    return kmers.spelled(dictionary.strided(counted, 10)).select("word", "seq", "pos", "num")
+
+
+# hits
+
+
+@registered(sql.query(sql.hits_blocks(), "SELECT * FROM hits"))
+def hits(spark, sf_dir):
+    return seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir))
+
+
+@registered(sql.query(sql.hits_blocks(k=16), 'SELECT strand, "seqX", "seqY", count(*) AS n FROM hits GROUP BY ALL'))
+def hits_prefix_k16(spark, sf_dir):
+    found = seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir), k=16)
+    return found.groupBy("strand", "seqX", "seqY").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(sql.query(sql.hits_blocks(), "SELECT strand, count(DISTINCT key) AS word_matches, count(*) AS n_hits FROM fx JOIN fy USING (key) GROUP BY strand"))
+def hits_summary(spark, sf_dir):
+    return seeds.hits_summary(_x(spark, sf_dir), _y(spark, sf_dir))
+
+
+@registered(sql.query(sql.hits_blocks(), 'SELECT *, row_number() OVER (PARTITION BY strand, diag ORDER BY "posX") AS place FROM hits'))
+def hits_sorted(spark, sf_dir):
+    return chunking.numbered(seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir)))
+
+
+@registered(sql.query(sql.thin_blocks(), "SELECT * FROM thinned"))
+def hits_thinned(spark, sf_dir):
+    return _compared(spark, sf_dir).thinned
+
+
+@registered(sql.query(sql.thin_blocks(), "SELECT (SELECT count(*) FROM hits) AS before, (SELECT count(*) FROM thinned) AS after"))
+def thin_summary(spark, sf_dir):
+    c = _compared(spark, sf_dir)
+    both = c.thinned.select(F.lit(0).alias("b"), F.lit(1).alias("a")).unionByName(c.hits.select(F.lit(1).alias("b"), F.lit(0).alias("a")))
+    return both.agg(F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("before"), F.coalesce(F.sum("a"), F.lit(0)).cast("bigint").alias("after"))
+
+
+# fragments
+
+_SEED = 'strand, diag, "posX", "posY", "seqX", "seqY", "xStart", "yStart", "xEnd", "yEnd", length, ident, score, round(similarity::DOUBLE, 4) AS similarity, accepted'
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("similarity", F.round(F.col("similarity").cast("double"), 4))
+
+
+@registered(sql.query(sql.used_blocks(), f"SELECT {_SEED} FROM extended"))
+def extend_all(spark, sf_dir):
+    return _rounded(_compared(spark, sf_dir).extended)
+
+
+@registered(sql.query(sql.used_blocks(), f"SELECT {_SEED} FROM used"))
+def extend_used(spark, sf_dir):
+    return _rounded(_compared(spark, sf_dir).used)
+
+
+@registered(sql.query(sql.used_blocks(strands="f"), "SELECT * FROM fragments"))
+def fragments_f(spark, sf_dir):
+    return _rounded(_compared(spark, sf_dir, strands="f").fragments)
+
+
+@registered(sql.query(sql.used_blocks(strands="r"), "SELECT * FROM fragments"))
+def fragments_r(spark, sf_dir):
+    return _rounded(_compared(spark, sf_dir, strands="r").fragments)
+
+
+@registered(sql.query(sql.used_blocks(), "SELECT * FROM fragments"))
+def fragments_all(spark, sf_dir):
+    return _rounded(_compared(spark, sf_dir).fragments)
+
+
+@registered(sql.query(sql.used_blocks(k=16, lmin=60, strands="f"), "SELECT * FROM fragments"))
+def fragments_k16(spark, sf_dir):
+    return _rounded(_compared(spark, sf_dir, k=16, lmin=60, strands="f").fragments)
+
+
+_FIRST = "(SELECT floor(least((SELECT len FROM x WHERE seq = 0), (SELECT len FROM y WHERE seq = 0)) * 0.3))"
+
+
+@registered(sql.query(sql.used_blocks(lmin=_FIRST), "SELECT * FROM fragments"))
+def fragments_percent(spark, sf_dir):
+    """Minimum length as 30 percent of the shorter first record."""
+    return _rounded(_compared(spark, sf_dir, lmin=30, percent=True).fragments)
+
+
+@registered(sql.query(sql.used_blocks(), "SELECT * FROM fragments"))
+def fragment_codec(spark, sf_dir):
+    """Fragments through the 93-byte records and back."""
+    c = _compared(spark, sf_dir)
+    lengths = [genomes.totals(g).first()["total_length"] for g in (c.x, c.y)]
+    return _rounded(fragment_files.decode(fragment_files.encode(c.fragments, *lengths)))
+
+
+@registered(sql.query(sql.used_blocks(), "SELECT least(length, 999)::INT AS len_bin, floor(similarity)::INT AS sim_bin, count(*) AS n FROM used GROUP BY 1, 2"))
+def coverage(spark, sf_dir):
+    return _compared(spark, sf_dir).coverage
+
+
+@registered(sql.query(sql.used_blocks(), "SELECT len_bin, " + ", ".join(f'count(*) FILTER (sim_bin = {i}) AS "{i}"' for i in range(101)) + " FROM (SELECT least(length, 999)::INT AS len_bin, floor(similarity)::INT AS sim_bin FROM used) GROUP BY len_bin"))
+def coverage_matrix(spark, sf_dir):
+    return fragments.coverage_matrix(_compared(spark, sf_dir).coverage)
+
+
+@registered(sql.query(sql.used_blocks(), """SELECT s.strand, (SELECT sum(len) FROM x)::BIGINT AS len_x, (SELECT sum(len) FROM y)::BIGINT AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr, hits, hits_used, fragments FROM (
+  SELECT coalesce(strand, 'both') AS strand, count(*) AS hits FROM thinned GROUP BY GROUPING SETS ((strand), ())) s JOIN (
+  SELECT coalesce(strand, 'both') AS strand, count(*) AS hits_used, count(*) FILTER (accepted) AS fragments FROM used GROUP BY GROUPING SETS ((strand), ())) u USING (strand)"""))
+def run_info(spark, sf_dir):
+    return _compared(spark, sf_dir).run_info
+
+
+@registered(sql.query(sql.used_blocks(), """SELECT 'Frag' AS "Type", "xStart", CASE strand WHEN 'r' THEN t - "yStart" - 1 ELSE "yStart" END AS "yStart", "xEnd", CASE strand WHEN 'r' THEN t - "yEnd" - 1 ELSE "yEnd" END AS "yEnd",
+  strand, block, length, score, ident, printf('%.2f', score / (length * 4.0::DOUBLE)) AS similarity, printf('%.2f', ident / length::DOUBLE) AS pct_ident, "seqX", "seqY" FROM fragments, (SELECT sum(len)::BIGINT AS t FROM y)"""))
+def fragment_csv(spark, sf_dir):
+    return _compared(spark, sf_dir).exported
+
+
+@registered(sql.query(sql.used_blocks(), """SELECT strand, "seqX", "seqY", "xStart", "yStart", length, similarity, 50 + b AS low, 90 + b AS up, CASE WHEN similarity > 90 + b THEN 2 WHEN similarity > 50 + b THEN 1 ELSE 0 END AS zone FROM (
+  SELECT *, (least(length, 999) % 10)::INT AS b FROM fragments)"""))
+def fragment_bands(spark, sf_dir):
+    """Zones by a threshold table with a row for each length."""
+    length = F.col("id").cast("int")
+    thresholds = spark.range(1000).select(length.alias("length"), (50 + F.pmod(length, F.lit(10))).alias("low"), (90 + F.pmod(length, F.lit(10))).alias("up"))
+    found = fragments.banded(_rounded(_compared(spark, sf_dir).fragments), thresholds)
+    return found.select("strand", "seqX", "seqY", "xStart", "yStart", "length", "similarity", "low", "up", "zone")
+
+
+@registered(sql.query(sql.used_blocks(), """SELECT x.ident AS doc, y.ident AS item, count(*) AS n_fragments, max(f.score) AS best_score, sum(f.length)::BIGINT AS total_length FROM fragments f JOIN x ON x.seq = "seqX" JOIN y ON y.seq = "seqY" GROUP BY ALL"""))
+def search(spark, sf_dir):
+    """Documents that hold passages of benchmark items, from the fragments."""
+    c = _compared(spark, sf_dir)
+    best = c.fragments.groupBy("seqX", "seqY").agg(F.count(F.lit(1)).alias("n_fragments"), F.max("score").alias("best_score"), F.sum("length").alias("total_length"))
+    x, y = (g.select(F.col("seq").alias(s), F.col("ident").alias(name)) for g, s, name in ((c.x, "seqX", "doc"), (c.y, "seqY", "item")))
+    return best.join(x, "seqX").join(y, "seqY").select("doc", "item", "n_fragments", "best_score", "total_length")
+
+
+# many genomes
+
+_PAIRS = "SELECT a.n_name AS name_x, b.n_name AS name_y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"
+
+
+@registered(_PAIRS)
+def pairs_all_vs_all(spark, sf_dir):
+    return pairs.all_pairs(_table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+
+
+@registered(f"WITH p AS ({_PAIRS}) SELECT p.* FROM p ANTI JOIN (SELECT s.n_name AS name_x, c.n_name AS name_y FROM nation s JOIN nation c ON s.n_regionkey = c.n_regionkey) d USING (name_x, name_y)")
+def pairs_pending(spark, sf_dir):
+    """Pairs of nations but for those of one region, which count as done."""
+    nation = _table(spark, sf_dir, "nation")
+    a, b = nation.select(F.col("n_name").alias("name_x"), "n_regionkey"), nation.select(F.col("n_name").alias("name_y"), "n_regionkey")
+    return pairs.pending(pairs.all_pairs(nation, "n_nationkey", "n_name"), a.join(b, "n_regionkey").select("name_x", "name_y"))
+
+
+@registered(sql.of("x kx", """SELECT genome_x, genome_y, count(*) AS shared_words, sum(nx * ny)::BIGINT AS n_hits FROM (
+  SELECT a.genome AS genome_x, b.genome AS genome_y, a.n AS nx, b.n AS ny FROM g a JOIN g b ON a.word = b.word AND a.genome < b.genome) GROUP BY ALL""").replace("\nSELECT genome_x", ", g AS (SELECT source AS genome, word, count(*) AS n FROM kx JOIN x USING (seq) JOIN documents ON doc_id::VARCHAR = ident GROUP BY ALL HAVING count(*) <= 1000)\nSELECT genome_x", 1))
+def all_vs_all_words(spark, sf_dir):
+    """Sources as genomes: the words that every two of them share."""
+    docs = _table(spark, sf_dir, "documents")
+    x = saved(_x(spark, sf_dir), "x")
+    of = x.join(docs.select(F.col("doc_id").cast("string").alias("ident"), F.col("source").alias("genome")), "ident").select("seq", "genome")
+    return pairs.shared_word_counts(kmers.kmers(x).join(of, "seq"), 1000)
+
+
+# chunks
+
+
+def _chunks_sql(sizes_sql: str) -> str:
+    return f"""WITH RECURSIVE {sizes_sql}, s AS (SELECT chunk, coalesce(sum(size) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, size FROM sizes),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT chunk, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM o JOIN s ON place >= start AND place < start + size GROUP BY chunk"""
+
+
+def _chunk_summary(df: DataFrame) -> DataFrame:
+    return df.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+@registered(_chunks_sql(f"sizes AS (SELECT unnest(range(0, {CHUNKS})) AS chunk, ceil((SELECT count(*) FROM orders) / {CHUNKS})::BIGINT AS size)"))
+def chunk_static(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return _chunk_summary(chunking.chunked(orders, "o_orderkey", chunking.static_sizes(orders.count(), CHUNKS)))
+
+
+@registered(_chunks_sql(f"""g AS (SELECT 0 AS chunk, (SELECT count(*) FROM orders) AS n, greatest((SELECT count(*) FROM orders) // {CHUNKS}, least((SELECT count(*) FROM orders), {GUIDED_LEAST})) AS take
+  UNION ALL SELECT chunk + 1, n - take, greatest((n - take) // {CHUNKS}, least(n - take, {GUIDED_LEAST})) FROM g WHERE n - take > 0),
+sizes AS (SELECT chunk::BIGINT AS chunk, take + CASE chunk WHEN 0 THEN coalesce((SELECT take FROM g WHERE take < {GUIDED_LEAST} AND chunk > 0), 0) ELSE 0 END AS size FROM g WHERE chunk = 0 OR take >= {GUIDED_LEAST})"""))
+def chunk_guided(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return _chunk_summary(chunking.chunked(orders, "o_orderkey", chunking.guided_sizes(orders.count(), CHUNKS, GUIDED_LEAST)))
+
+
+_RANGES = 'd AS (SELECT diag, count(*) AS n FROM hits GROUP BY diag), r AS (SELECT diag, row_number() OVER (ORDER BY diag) - 1 AS chunk, coalesce(sum(n) OVER (ORDER BY diag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sum(n) OVER (ORDER BY diag ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS "end" FROM d)'
+
+
+def _saved_hits(spark, sf_dir) -> DataFrame:
+    return saved(seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir), strands="f"), "hits")
+
+
+@registered(sql.query([*sql.hits_blocks(strands="f"), _RANGES], 'SELECT chunk, diag, start, "end" FROM r'))
+def chunk_each_diag(spark, sf_dir):
+    return chunking.each_diagonal(_saved_hits(spark, sf_dir))
+
+
+@registered(sql.query([*sql.hits_blocks(strands="f"), _RANGES], f'SELECT start // ceil((SELECT count(*) FROM hits) / {CHUNKS})::BIGINT AS chunk, min(start) AS start, max("end") AS "end", count(*) AS n_diagonals FROM r GROUP BY 1'))
+def chunk_diag_balanced(spark, sf_dir):
+    return chunking.balanced_diagonals(_saved_hits(spark, sf_dir), CHUNKS)
+
+
+@registered(sql.query([*sql.hits_blocks(strands="f"), _RANGES, "b AS (SELECT least(0, min(diag)) AS lo, greatest(0, max(diag)) AS hi FROM d)"], f'SELECT floor((diag - lo) / ceil((hi - lo + 1) / {CHUNKS}))::BIGINT AS chunk, min(start) AS start, max("end") AS "end", min(diag) AS first_diag, max(diag) AS last_diag FROM r, b GROUP BY 1'))
+def chunk_diag_range(spark, sf_dir):
+    return chunking.ranged_diagonals(_saved_hits(spark, sf_dir), CHUNKS)
+
+
+@registered(sql.query(sql.hits_blocks(strands="f"), "SELECT least(0, min(diag)) AS min_diag, greatest(0, max(diag)) AS max_diag FROM hits"))
+def diagonal_bounds(spark, sf_dir):
+    return chunking.diagonal_bounds(_saved_hits(spark, sf_dir))
+
+
+@registered(f"SELECT chunk, printf('search -query query.fasta-%04d -out query.out-%04d', chunk, chunk) AS line FROM (SELECT unnest(range(0, {CHUNKS})) AS chunk)")
+def command_lines(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    chunks = chunking.chunked(orders, "o_orderkey", chunking.static_sizes(orders.count(), CHUNKS)).select("chunk").distinct()
+    return workloads.command_lines(chunks, "search", "query.fasta", "query.out")
+
+
+# kernels
+
+
+@registered("SELECT sum((l_quantity * l_extendedprice)::DECIMAL(18, 2))::DOUBLE AS dot FROM lineitem")
+def dot_reduction(spark, sf_dir):
+    return kernels.dot(_table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@registered("SELECT l_orderkey, l_linenumber, l_quantity + l_extendedprice AS c FROM lineitem")
+def elementwise_add(spark, sf_dir):
+    return kernels.added(_table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select("l_orderkey", "l_linenumber", "c")
+
+
+@registered("SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS c, l_quantity * l_tax AS d FROM lineitem")
+def sections_add_mul(spark, sf_dir):
+    return kernels.added_and_multiplied(_table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax").select("l_orderkey", "l_linenumber", "c", "d")
+
+
+@registered("SELECT event_type, max(value) AS best, round(avg(value), 6) AS mean, min(value) AS worst FROM events GROUP BY event_type")
+def measurement_extremes(spark, sf_dir):
+    return kernels.extremes(_table(spark, sf_dir, "events"), "event_type", "value")
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
