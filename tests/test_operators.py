@@ -1,0 +1,256 @@
+"""Hand-derived values, a slow model of the extension, and invariants."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandmill.functions import dna
+from strandmill.operators import chunking, dictionary, extension, fragments, kmers, seeds, thinning
+from strandmill.plans.compare import Comparison
+from strandmill.sources import fasta, fragment_files, genomes, workloads
+
+S40 = "ACGTTGCAAGGCTATCCGATTTACGGACCTGTAGTCCATG"
+S32 = S40[:32]
+
+
+def genome(spark, *records):
+    rows = [(i, f"r{i}", d) for i, d in enumerate(records)]
+    return genomes.genome(spark.createDataFrame(rows, "key bigint, ident string, dna string"), "key")
+
+
+def words_of(spark, *records, mask="skip", raw=False):
+    g = genome(spark, *records)
+    if raw:  # as read, without the upper-casing of a genome
+        g = g.drop("dna").join(spark.createDataFrame(list(enumerate(records)), "seq bigint, dna string"), "seq")
+    return sorted((r.pos, r.seq, r.word) for r in kmers.spelled(kmers.kmers(g, mask)).collect())
+
+
+def test_words(spark):
+    assert words_of(spark, S32) == [(0, 0, S32)]
+    assert [w[0] for w in words_of(spark, S40)] == list(range(9))
+    assert words_of(spark, "A" * 31 + "N" + "C" * 32) == [(32, 0, "C" * 32)]
+    assert words_of(spark, S32[:10], S32) == [(11, 1, S32)]
+    assert words_of(spark, S32.lower(), raw=True) == []
+    assert words_of(spark, S32.lower(), mask="upper", raw=True) == [(0, 0, S32)]
+    assert words_of(spark, "A" * 31, "") == []
+
+
+def test_words_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "SLICE", 5)
+    starts, codes = kmers.pack_words(np.frombuffer(S40.encode(), np.uint8), "skip")
+    assert len(starts) == 9 and len(set(codes.tolist())) == 9
+
+
+def test_scalars(spark):
+    row = spark.range(1).select(dna.reverse_complement(F.lit("AaNtgCU")), dna.index_to_word(F.lit(27), 4), dna.pack(F.lit("ACGT")), dna.base_index(F.lit("G")), dna.base_index(F.lit("N"))).first()
+    assert list(row) == ["AGcaNtT", "ACGT", "1B", 2, -1]
+
+
+def hit_rows(spark, rows):
+    return spark.createDataFrame([("f", d, p, p - d, sx, 0) for d, p, sx in rows], thinning.HIT)
+
+
+@pytest.mark.parametrize(
+    ("hits", "kept"),
+    [
+        ([(0, p, 0) for p in (10, 20, 80, 90, 150, 300)], [10, 80, 150, 300]),
+        ([(0, p, 0) for p in range(9)], [0]),
+        ([(0, p, 0) for p in (10, 73, 74)], [10, 74]),
+        ([(-5, 10, 0), (7, 11, 0)], [10, 11]),
+        ([(0, 10, 0), (0, 15, 1)], [10, 15]),
+        ([], []),
+    ],
+)
+def test_thinning(spark, hits, kept):
+    thinned = thinning.thin(hit_rows(spark, hits), 32)
+    assert sorted(r.posX for r in thinned.collect()) == kept
+    assert sorted(r.posX for r in thinning.thin(thinned, 32).collect()) == kept
+
+
+def bytes_of(text):
+    return np.frombuffer(text.encode(), np.uint8)
+
+
+@pytest.mark.parametrize(
+    ("x", "y", "p", "expected"),
+    [
+        (S40, S40, 0, (0, 39, 40, 40, 160)),
+        (S32, S32, 0, (0, 32, 33, 32, 128)),
+        (S32 + "NACGTA", S32 + "NACGTA", 0, (0, 37, 38, 37, 147)),
+        (S32 + "AACGTA", S32 + "CACGTA", 0, (0, 37, 38, 37, 144)),
+        ("ACGTAG" + S32, "ACGTAT" + S32, 6, (0, 38, 39, 37, 144)),
+    ],
+)
+def test_extension(x, y, p, expected):
+    left, ahead, ident, score = extension.extend_hit(bytes_of(x), bytes_of(y), p, p, 32)
+    assert (p - left, p + ahead, ahead + left + 1, ident, score) == expected
+
+
+def slow_extension(x, y, p, q, k):
+    score = best = 4 * k
+    ident = best_ident = k
+    right, left = p + k, p
+    t = k
+    while p + t < len(x) and q + t < len(y):
+        a, b = x[p + t], y[q + t]
+        if "N" in (a, b):
+            score -= 1
+        elif a == b:
+            score, ident = score + 4, ident + 1
+            if score > best:
+                best, best_ident, right = score, ident, p + t
+        else:
+            score -= 4
+        if score < 0:
+            break
+        t += 1
+    score, ident, t = best, best_ident, 1
+    while t <= min(p, q):
+        a, b = x[p - t], y[q - t]
+        if "N" in (a, b):
+            score -= 1
+        elif a == b:
+            score, ident = score + 4, ident + 1
+            if score > best:
+                best, best_ident, left = score, ident, p - t
+        else:
+            score -= 4
+        if score < 0:
+            break
+        t += 1
+    return p - left, right - p, best_ident, best
+
+
+def test_extension_against_slow_model(monkeypatch):
+    monkeypatch.setattr(extension, "BLOCK", 3)
+    r = random.Random(5)
+    for _ in range(300):
+        core = "".join(r.choice("ACGT") for _ in range(6))
+        sides = ["".join(r.choice("AACGTN") for _ in range(r.randrange(40))) for _ in range(4)]
+        shared = [sides[i] if r.random() < 0.5 else sides[i - 1] for i in (1, 3)]
+        x, y = sides[0] + core + sides[2], shared[0] + core + shared[1]
+        p, q = len(sides[0]), len(shared[0])
+        assert extension.extend_hit(bytes_of(x), bytes_of(y), p, q, 6) == slow_extension(x, y, p, q, 6)
+
+
+def test_records_bound_the_extension(spark):
+    c = Comparison(genome(spark, "ACGTACGTAC", S40), genome(spark, S40), lmin=30, strands="f")
+    row = c.fragments.first()
+    assert (row.xStart, row.xEnd, row.length, row.ident, row.score, row.seqX) == (10, 49, 40, 40, 160, 1)
+
+
+def test_counters_and_strict_thresholds(spark):
+    g = genome(spark, S40)
+    for lmin, sim, n in ((30, 65, 1), (39, 99, 1), (40, 65, 0), (39, 100, 0)):
+        c = Comparison(g, g, lmin=lmin, simthr=sim, strands="f")
+        assert (c.hits.count(), c.thinned.count(), c.used.count(), c.fragments.count()) == (9, 1, 1, n)
+
+
+def test_reverse_strand_and_export(spark):
+    rc = genomes.reversed_genome(genome(spark, S40)).select("seq", "ident", "dna", "len", "g_off")
+    rows = Comparison(genome(spark, S40), rc, lmin=30).exported.collect()
+    assert [(r.strand, r.yStart, r.yEnd, r.seqY, r.similarity, r.pct_ident) for r in rows] == [("r", 39, 0, 0, "1.00", "1.00")]
+
+
+def test_reversed_records(spark):
+    g = genome(spark, "AAC", "GGGGT", "T")
+    rows = {r.seq: (r.dna, r.g_off) for r in genomes.reversed_genome(g).collect()}
+    assert rows == {0: ("A", 0), 1: ("ACCCC", 2), 2: ("GTT", 8)}
+    back = genomes.reversed_genome(genomes.reversed_genome(g))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, g.collect()))
+
+
+def test_covered_seeds(spark):
+    rows = [("f", 0, p, length, ok) for p, length, ok in ((0, 40, True), (20, 40, True), (40, 33, False), (50, 33, True))]
+    used = thinning.skip_covered(spark.createDataFrame(rows, "strand string, diag bigint, posX bigint, length bigint, accepted boolean"))
+    assert sorted(r.posX for r in used.collect()) == [0, 40, 50]
+
+
+def test_prefix_join(spark):
+    tail = ["".join(random.Random(i).choice("ACGT") for _ in range(16)) for i in range(4)]
+    x, y = [S32[:16] + t for t in tail[:2]], [S32[:16] + t for t in tail[2:]]
+    assert seeds.hits(genome(spark, *x), genome(spark, *y), k=16, strands="f").count() == 4
+
+
+def test_frequency_and_stride(spark):
+    words = spark.createDataFrame([(7, i, i) for i in range(25)], "code bigint, seq bigint, pos bigint")
+    assert dictionary.frequent_enough(words, 25).count() == 25
+    assert dictionary.frequent_enough(words, 24).count() == 0
+    counted = dictionary.frequent_enough(words, 25)
+    assert dictionary.strided(counted, 10).count() == 13
+    assert dictionary.strided(counted, 25).count() == 25
+
+
+def test_chunk_sizes():
+    assert chunking.static_sizes(32, 4) == [8, 8, 8, 8]
+    assert chunking.static_sizes(8, 3) == [3, 3, 2]
+    assert chunking.static_sizes(0, 3) == []
+    assert chunking.guided_sizes(32, 4, 1) == [8, 6, 4, 3, 2, 2, 1, 1, 1, 1, 1, 1, 1]
+    assert chunking.guided_sizes(440, 5, 7) == [92, 70, 56, 45, 36, 29, 23, 18, 15, 12, 9, 7, 7, 7, 7, 7]
+
+
+def test_balanced_chunks_cover_all_hits(spark):
+    hits = hit_rows(spark, [(d, p, 0) for d in range(6) for p in range(d * 3 + 1)])
+    ranges = sorted((r.start, r.end) for r in chunking.balanced_diagonals(hits, 3).collect())
+    assert ranges[0][0] == 0 and ranges[-1][1] == hits.count() - 1
+    assert all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_fasta_round_trip(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text("> first x\nACGT\nac-gt\n\n>second\nNNN\n>third\n")
+    rows = fasta.read_fasta(spark, f"file://{tmp_path}/a.fasta").orderBy("seq").collect()
+    assert [(r.seq, r.ident, r.dna, r.g_off) for r in rows] == [(0, "first", "ACGTACGT", 0), (1, "second", "NNN", 9), (2, "third", "", 13)]
+    g = genome(spark, S40, S32, "A")
+    fasta.write_fasta(g, f"file://{tmp_path}/out", 7)
+    assert sorted(map(tuple, fasta.read_fasta(spark, f"file://{tmp_path}/out").collect())) == sorted(map(tuple, g.collect()))
+
+
+def test_chunked_fasta(spark, tmp_path):
+    g = genome(spark, *[S40[i:] for i in range(8)])
+    fasta.write_fasta_chunks(chunking.chunked(g, "seq", chunking.static_sizes(8, 3)), f"file://{tmp_path}/chunks")
+    sizes = [len((spark.read.option("lineSep", ">").text(f"file://{tmp_path}/chunks/chunk={k}")).filter("length(value) > 1").collect()) for k in range(3)]
+    assert sizes == [3, 3, 2]
+
+
+def test_fragment_files(spark, tmp_path):
+    g = genome(spark, S40, S32)
+    c = Comparison(g, g, lmin=20)
+    data = fragment_files.encode(c.fragments, 72, 72).first()["content"]
+    assert (len(data) - 16) % 93 == 0 and data[:16] == (72).to_bytes(8, "big") * 2
+    (tmp_path / "one.frags").write_bytes(data)
+    read = fragment_files.read_fragment_files(spark, f"file://{tmp_path}/one.frags").collect()
+    assert read and set(map(tuple, read)) <= set(map(tuple, c.fragments.collect()))
+
+
+def test_commands_need_permission(spark):
+    lines = spark.createDataFrame([("true",), ("false",), ("no-such-program x",)], "line string")
+    assert [r.exit_code for r in workloads.run_commands(lines).collect()] == [None] * 3
+    assert {r.line: r.exit_code for r in workloads.run_commands(lines, frozenset({"true", "false"})).collect()} == {"true": 0, "false": 1, "no-such-program x": None}
+
+
+def test_thresholds(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("40\t50\t99\n")
+    g = genome(spark, S40)
+    found = fragments.banded(Comparison(g, g, lmin=30, strands="f").fragments, workloads.read_thresholds(spark, f"file://{tmp_path}/t.tsv"))
+    assert [(r.low, r.up, r.zone) for r in found.collect()] == [(50, 99, 2)]
+
+
+def test_partitioning_does_not_matter(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("ACGT") for _ in range(400))
+    x, y = genome(spark, text, text[100:300]), genome(spark, text[50:350], text[:120])
+    results = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append(sorted(map(tuple, Comparison(x, y, lmin=40).fragments.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and results[0]
+    for row in Comparison(x, y, lmin=40).fragments.collect():
+        assert row.length == row.xEnd - row.xStart + 1 and row.score <= 4 * row.ident <= 4 * row.length and row.xEnd - row.xStart == row.yEnd - row.yStart
+
+
+def test_empty_genomes(spark):
+    c = Comparison(genome(spark), genome(spark, S40))
+    assert c.fragments.count() == 0 and c.exported.count() == 0 and c.coverage.count() == 0
