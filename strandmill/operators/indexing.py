@@ -24,7 +24,7 @@ def with_places(df: DataFrame, key: str, size: str | None = None, index: str = "
     own = F.col(size).cast("bigint") if size else F.lit(0).cast("bigint")
     rows = df.withColumn("__bucket", F.coalesce(inside, F.lit(0))).withColumn("__size", own)
     order = Window.partitionBy("__bucket").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__n", F.row_number().over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__sum", F.sum("__size").over(order))
+    rows = rows.withColumn("__n", F.row_number().over(order)).withColumn("__sum", F.sum("__size").over(order))
     totals = df.withColumn("__bucket", F.coalesce(inside, F.lit(0))).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__c"), F.sum(own).alias("__t"))
     ahead = Window.partitionBy().orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     totals = totals.select("__bucket", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__ahead"))

@@ -6,7 +6,7 @@ one separator stands between records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.dna import from_text, reverse_complement
@@ -20,16 +20,23 @@ def genome(records: DataFrame, key: str) -> DataFrame:
     return placed.select("seq", F.col("ident").cast("string").alias("ident"), "dna", "len", "g_off")
 
 
+def text_genome(records: DataFrame, key: str, text: str, turned: Column | None = None) -> DataFrame:
+    """The texts of a table as sequences, those for which `turned` holds reverse-complemented. Lengths
+    come from the texts, which are smaller than their bases; the bases are made last."""
+    size = (F.octet_length(F.coalesce(text, F.lit(""))) * 2).cast("bigint")
+    rows = records.select(F.col(key).alias("key"), F.col(text).alias("text"), size.alias("len"), (size + 1).alias("__step"), (F.lit(False) if turned is None else turned).alias("turned"))
+    dna = from_text(F.col("text"))
+    placed = with_places(rows, "key", "__step", "seq", "g_off")
+    return placed.select("seq", F.col("key").cast("string").alias("ident"), F.when(F.col("turned"), reverse_complement(dna)).otherwise(dna).alias("dna"), "len", "g_off")
+
+
 def documents_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return genome(docs.select("doc_id", F.col("doc_id").alias("ident"), from_text(F.col("text")).alias("dna")), "doc_id")
+    return text_genome(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
 def benchmark_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with odd identifiers stand reverse-complemented, so that both strands have matches."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dna = from_text(F.col("text"))
-    return genome(items.select("item_id", F.col("item_id").alias("ident"), F.when(F.pmod("item_id", F.lit(2)) == 1, reverse_complement(dna)).otherwise(dna).alias("dna")), "item_id")
+    return text_genome(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", F.pmod("item_id", F.lit(2)) == 1)
 
 
 def reversed_genome(sequences: DataFrame) -> DataFrame:
