@@ -1,10 +1,12 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the normalised texts, Spark's external sort puts equal ones side by
-side, and each run of equal neighbours (compared in full) yields its smallest identifier. A text that
-many rows share would be one run in one task; so a run is cut by a salt of the identifier, which the
-range partitioning uses as its second key, and the few sub-runs of one text are merged afterwards on
-the SHA-256 digest, from one narrow row for each.
+Sampled splitters range-partition the normalised texts by their beginnings, Spark's external sort puts
+equal ones side by side, and each run of equal neighbours (compared in full) yields its smallest
+identifier. Splitters are beginnings of SPLITTER characters only, as the driver holds the sample they are
+chosen from; the sort and the comparison take whole texts. A text or a beginning that many rows share
+would be one range in one task; so ranges are cut by a salt of the identifier, which is the range
+partitioning's second key, and the few sub-runs of one text are merged afterwards on the SHA-256 digest,
+from one narrow row for each.
 
 Only DataFrame functions are used.
 """
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.common import materialize, partitions, table
 
+#: Characters of a splitter.
+SPLITTER = 32
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -34,9 +38,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("content")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts or n)))
-    run = Window.partitionBy("content", "salt").orderBy(F.col("id").asc_nulls_last())
+    rows = rows.withColumn("beginning", F.substring("content", 1, SPLITTER))
+    run = Window.partitionBy("beginning", "content", "salt").orderBy(F.col("id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = rows.repartitionByRange(n, "content", "salt").select(
+    runs = rows.repartitionByRange(n, "beginning", "salt").select(
         "id",
         "salt",
         F.sha2("content", 256).alias("digest"),
