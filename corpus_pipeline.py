@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from strandmill.llm import bpe_tree, exact_dedup, mixing, quality, simhash
 from strandmill.llm.common import materialize, table
 
-#: Near duplicates here: shingles of five words, and fingerprints within so many bits, which documents of
-#: a similarity of 0.8 or more nearly always are when only few shingles differ.
-SHINGLE_WORDS, RADIUS = 5, 2
+#: Near duplicates here are those of op3's contract: shingles of three words, fingerprints at most two bits
+#: apart. Longer shingles would only lose links (README, "Limits").
+SHINGLE_WORDS, RADIUS = 3, 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
