@@ -21,7 +21,7 @@ def locations(words: DataFrame, most: int = 12) -> DataFrame:
     is no large group."""
     ranked = words.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("seq", "pos"))).filter(F.col("n") <= most)
     first = ranked.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("seq", "pos"))).alias("locs"))
-    return dictionary(words).join(first, "code")
+    return merged(dictionary(words), first, ["code"])
 
 
 def histogram(words: DataFrame) -> DataFrame:
@@ -41,7 +41,13 @@ def frequent_enough(words: DataFrame, fl: int, by: tuple[str, ...] = ("code",))
     """Words whose number of places is at most fl, with num. Numbers are pre-aggregated; of the words
     themselves at most fl rows share a key after the filter."""
     counts = words.groupBy(*by).agg(F.count(F.lit(1)).alias("num")).filter(F.col("num") <= fl)
-    return words.join(counts, list(by))
+    return merged(words, counts, list(by))
+
+
+def merged(words: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """Both sides sorted: Spark guesses the size of words from that of the texts, which are far smaller,
+    and would broadcast what has no bound."""
+    return words.join(counts.hint("merge"), by)
 
 
 def strided(words: DataFrame, cap: int = STRIDED, by: tuple[str, ...] = ("code",)) -> DataFrame:

@@ -34,19 +34,21 @@ def pack_words(bases: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, words[starts]
 
 
-def kmers(sequences: DataFrame, mask: str = "skip") -> DataFrame:
-    """code (packed word as a long), seq, pos (place in the whole genome). Any letter but A, C, G and T
-    ends a word; records never share one."""
+def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None) -> DataFrame:
+    """code (packed word as a long), seq, pos (place in the whole genome), and the string column `label`
+    of the sequence if one is named. Any letter but A, C, G and T ends a word; records never share one."""
+    names = [label] if label else []
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dna, seq, off in zip(batch.column("dna").cast(pa.binary()), batch.column("seq").to_pylist(), batch.column("g_off").to_pylist(), strict=True):
+            kept = [batch.column(c).to_pylist() for c in names]
+            for i, (dna, seq, off) in enumerate(zip(batch.column("dna").cast(pa.binary()), batch.column("seq").to_pylist(), batch.column("g_off").to_pylist(), strict=True)):
                 bases = np.frombuffer(dna.as_buffer(), np.uint8) if dna.is_valid else np.empty(0, np.uint8)
                 for a in range(0, max(len(bases) - WORD + 1, 0), SLICE):
                     starts, codes = pack_words(bases[a : a + SLICE + WORD - 1], mask)
-                    yield pa.record_batch({"code": pa.array(codes.view(np.int64)), "seq": pa.array(np.full(len(starts), seq)), "pos": pa.array(starts + (off + a))})
+                    yield pa.record_batch({"code": pa.array(codes.view(np.int64)), "seq": pa.array(np.full(len(starts), seq)), "pos": pa.array(starts + (off + a))} | {c: pa.repeat(pa.scalar(own[i], pa.string()), len(starts)) for c, own in zip(names, kept, strict=True)})
 
-    return sequences.select("dna", "seq", "g_off").mapInArrow(words, "code bigint, seq bigint, pos bigint")
+    return sequences.select("dna", "seq", "g_off", *names).mapInArrow(words, ", ".join(["code bigint, seq bigint, pos bigint", *[f"{c} string" for c in names]]))
 
 
 def spelled(words: DataFrame) -> DataFrame:

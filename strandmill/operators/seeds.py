@@ -24,11 +24,12 @@ def stranded_kmers(y: DataFrame, strands: str = "fr", mask: str = "skip") -> Dat
 
 def shared_words(x_words: DataFrame, y_words: DataFrame, k: int = 32, fl: int = 1000, cap: int = STRIDED) -> tuple[DataFrame, DataFrame]:
     """The words of either side that may meet: at most fl places on their own side, and the key (the first
-    k letters) on the other one. The keys of y go to x before x is shuffled, by broadcast if they are few."""
+    k letters) on the other one. The keys of y go to x before x is shuffled, by broadcast if they are few;
+    what is left of x is written, so that its words are made once and its size is known."""
     y = saved(frequent_enough(y_words, fl, ("strand", "code")).withColumn("key", code_prefix(F.col("code"), k)), "words")
     keys = saved(y.select("key").distinct(), "keys")
-    x = x_words.withColumn("key", code_prefix(F.col("code"), k)).join(small(keys), "key", "left_semi")
-    x = frequent_enough(x, fl)
+    met = x_words.withColumn("key", code_prefix(F.col("code"), k)).join(small(keys), "key", "left_semi")
+    x = frequent_enough(saved(met, "met"), fl)
     if fl >= 2 * cap:  # else no word has a stride above one
         x, y = strided(x, cap), strided(y, cap, ("strand", "code"))
     return x, y

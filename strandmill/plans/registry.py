@@ -142,7 +142,7 @@ def freq_filter(spark, sf_dir):
 def stride_sample(spark, sf_dir):
     """Places of words with 20 or more, strided from 10 on."""
     words = kmers.kmers(_x(spark, sf_dir))
-    counted = words.join(dictionary.dictionary(words).filter("num >= 20"), "code")
+    counted = dictionary.merged(words, dictionary.dictionary(words).filter("num >= 20"), ["code"])
     return kmers.spelled(dictionary.strided(counted, 10)).select("word", "seq", "pos", "num")
 
 
@@ -303,9 +303,8 @@ def pairs_pending(spark, sf_dir):
 def all_vs_all_words(spark, sf_dir):
     """Sources as genomes: the words that every two of them share."""
     docs = _table(spark, sf_dir, "documents")
-    x = saved(_x(spark, sf_dir), "x")
-    of = x.join(docs.select(F.col("doc_id").cast("string").alias("ident"), F.col("source").alias("genome")), "ident").select("seq", "genome")
-    return pairs.shared_word_counts(kmers.kmers(x).join(of, "seq"), 1000)
+    x = _x(spark, sf_dir).join(docs.select(F.col("doc_id").cast("string").alias("ident"), F.col("source").alias("genome")), "ident")
+    return pairs.shared_word_counts(kmers.kmers(x, label="genome"), 1000)
 
 
 # chunks
