@@ -5,8 +5,8 @@ Documents are dealt by ranges of their identifiers, encoded, and each partition
     b"ZTIDS1\\n", id width in bytes (1 byte), dictionary SHA-256 (32 bytes), frames one after another,
     index, index length (8 bytes), b"ZTIDX1\\n"
 
-The index holds for each document its frame's offset, its first id's place in the file and its number of
-ids, so one short document is read with two small reads. The dictionary is trained on the serialised ids
+The index holds for each document its identifier, its frame's offset, its first id's place in the file and
+its number of ids, so one short document is read with two small reads. The dictionary is trained on the serialised ids
 of a bounded sample and lies beside the files under its hash. A file gets a name of its own for each task
 attempt, and only the names that a successful attempt returned are in the manifest, so retries and lost
 executors leave no half-written file that anything reads. Files are written with pyarrow's file systems,
@@ -36,7 +36,8 @@ LEVEL, DICTIONARY_BYTES = 3, 65_536
 #: The dictionary is trained on this many documents at most, those with the smallest hashes, and on so
 #: many ids of each; it decides sizes only, never contents.
 SAMPLE_ROWS, SAMPLE_IDS = 512, 8_192
-INDEX = np.dtype([("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("n", "<u8")])
+BATCH_IDS = 1 << 20
+INDEX = np.dtype([("doc_id", "<i8"), ("named", "<u1"), ("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("n", "<u8")])
 
 
 def vocabulary() -> str:
@@ -100,9 +101,9 @@ class TokenFile:
 
 
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int | None = 0, width: int = 2) -> tuple[DataFrame, str]:
-    """Writes the files into a new shared folder; returns the manifest (file, part, place, doc_id, n_tokens)
-    with a row for each document, and the folder. Null texts count as empty; documents stand by identifier
-    (nulls first), repeated ones by text. width: bytes of an id, 2 for vocabularies up to 65,536."""
+    """Writes the files into a new shared folder; returns the manifest (file, part, documents, tokens) with
+    a row for each file, and the folder. Null texts count as empty; documents stand by identifier (nulls
+    first), repeated ones by a hash of their text. width: bytes of an id, 2 for vocabularies up to 65,536."""
     spark = docs.sparkSession
     path = path or vocabulary()
     folder = work_path(spark, "tokens")
@@ -130,43 +131,36 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encode, words = encoder(path), shared.value
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         own = f"{folder}/{uuid.uuid4().hex}.ztids"
-        index: list[tuple[int, int, int, int]] = []
-        ids_of: list[pa.RecordBatch] = []
+        index: list[tuple[int, int, int, int, int, int]] = []
         system, target = split_uri(own)
         out, at, total = None, len(HEAD) + 33, 0
         for batch in batches:
-            place = 0
+            names = iter(batch.column("doc_id").to_pylist())
             for part in pieces(batch.column("text")):
                 if out is None:
                     out = system.open_output_stream(target)
                     out.write(HEAD + bytes([width]) + hashlib.sha256(words).digest())
-                sizes = []
                 for ids in encode(part.to_pylist()):
-                    data = serialised(ids, end, width)
+                    data, name = serialised(ids, end, width), next(names)
                     frame = pack.compress(data)
                     out.write(frame)
-                    index.append((at, len(frame), total, len(data) // width))
+                    index.append((name or 0, name is not None, at, len(frame), total, len(data) // width))
                     at, total = at + len(frame), total + len(data) // width
-                    sizes.append(len(data) // width)
-                docs = batch.column("doc_id").slice(place, len(part))
-                n = len(index) - len(part)
-                ids_of.append(pa.record_batch({"file": pa.array([own] * len(part)), "place": pa.array(np.arange(n, n + len(part))), "doc_id": docs, "n_tokens": pa.array(sizes, pa.int64())}))
-                place += len(part)
         if out is not None:
             table = np.array(index, INDEX).tobytes()
             out.write(table + len(table).to_bytes(8, "little") + TAIL)
-            out.close()
-        yield from ids_of  # after the file is whole
+            out.close()  # only a whole file gets into the manifest
+            yield pa.record_batch({"file": [own], "documents": [len(index)], "tokens": [total]})
 
     n = partitions(spark)
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    manifest = dealt.select("doc_id", "text").mapInArrow(write, "file string, place bigint, doc_id bigint, n_tokens bigint").withColumn("part", F.spark_partition_id())
+    manifest = dealt.select("doc_id", "text").mapInArrow(write, "file string, documents bigint, tokens bigint").withColumn("part", F.spark_partition_id())
     return materialize(manifest, "manifest"), folder
 
 
-def read_tokens(files: DataFrame, folder: str, digest: bool = True) -> DataFrame:
-    """file, place, n_tokens and ids_crc32 of every document in the files, read from them. files: column
-    file, one row for each."""
+def read_tokens(files: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files, read from them. files: file,
+    and before, the number of ids in all earlier files; one row for each."""
     spark = files.sparkSession
     system, root = split_uri(folder)
     names = [x.path for x in system.get_file_info(fs.FileSelector(root)) if x.path.endswith(".dict")]
@@ -175,23 +169,28 @@ def read_tokens(files: DataFrame, folder: str, digest: bool = True) -> DataFrame
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 tokens = TokenFile(name, shared.value)
-                for a in range(0, len(tokens), 1000):
-                    own = [tokens.ids(k) for k in range(a, min(a + 1000, len(tokens)))]
-                    yield pa.record_batch({"file": pa.array([name] * len(own)), "place": pa.array(np.arange(a, a + len(own))), "n_tokens": pa.array([len(x) for x in own], pa.int64()), "start_in_file": pa.array(tokens.index["start"][a : a + len(own)].astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64())})
+                a = 0
+                while a < len(tokens):  # some BATCH_IDS ids at a time, or one longer document
+                    upto = int(np.searchsorted(tokens.index["start"], tokens.index["start"][a] + BATCH_IDS))
+                    index = tokens.index[a : max(upto, a + 1)]
+                    own = [tokens.ids(k) for k in range(a, a + len(index))]
+                    a += len(index)
+                    yield pa.record_batch({"doc_id": pa.array(index["doc_id"].astype(np.int64), mask=index["named"] == 0), "start": pa.array(index["start"].astype(np.int64) + before), "n_tokens": pa.array([len(x) for x in own], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64())})
 
-    return files.select("file").mapInArrow(read, "file string, place bigint, n_tokens bigint, start_in_file bigint, ids_crc32 bigint")
+    return files.select("file", "before").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """file, before: the files with the number of ids in all files before, in the order of their parts."""
+    before = F.sum("tokens").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    return manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = write_tokens(table(spark, sf_dir, "documents"))
-    files = manifest.groupBy("file", "part").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    files = materialize(files.select("file", F.coalesce(before, F.lit(0)).alias("before")), "files")
-    back = read_tokens(files.repartition(partitions(spark), "file"), folder)
-    own = manifest.select("file", "place", "doc_id").join(back, ["file", "place"])
-    return own.join(files, "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+    return read_tokens(placed(manifest).repartition(partitions(spark), "file"), folder)
 
 
 QUERIES = {"op2_token_files": op2_token_files}
