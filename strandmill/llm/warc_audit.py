@@ -65,14 +65,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(records, "file string, offset bigint, length bigint, uri string, warc_type string, record binary")
 
 
-def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record") -> DataFrame:
-    """Level 0: file, node (place by offset), digest, offset, length. Records at the same offset of a
-    file are ordered by digest; a null record hashes as empty."""
-    body = F.coalesce(F.col(record_col), F.lit(""))
-    rows = records.select(F.col(file_col).alias("file"), F.col(offset_col).alias("offset"), F.octet_length(body).cast("bigint").alias("length"), F.sha2(body, 256).alias("digest"))
+def hashed(records: DataFrame, record: Column, *columns: Column) -> DataFrame:
+    """columns, and length and digest of the record; null hashes as empty. Records are hashed where they
+    lie, and don't travel."""
+    body = F.coalesce(record, F.lit(""))
+    return records.select(*columns, F.octet_length(body).cast("bigint").alias("length"), F.sha2(body, 256).alias("digest"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Level 0 from file, offset, length and digest: adds node, the place by offset. Records at the same
+    offset of a file are ordered by digest."""
     return rows.withColumn("node", F.row_number().over(Window.partitionBy("file").orderBy("offset", "digest")).cast("bigint") - 1)
 
 
+def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record") -> DataFrame:
+    """Level 0 of the records' trees: file, node, digest, offset, length."""
+    return placed(hashed(records, F.col(record_col), F.col(file_col).alias("file"), F.col(offset_col).alias("offset")))
+
+
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The next level: each node hashes its children's digests in order, with their number."""
     children = level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("c"))
@@ -119,24 +129,22 @@ def fixity(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFram
 
 
 def page_replica(pages: DataFrame, damaged: bool) -> DataFrame:
-    """Pages as WARC records, FILE_RECORDS identifiers to a file, at their offsets. The damaged replica
-    has one changed byte in each page whose identifier ends in 37, and no records of file 3 from place
-    900 on; so every kind of finding occurs."""
+    """Level 0 of pages as WARC records, FILE_RECORDS identifiers to a file. The damaged replica has one
+    changed byte in each page whose identifier ends in 37, and no records of file 3 from place 900 on."""
     record = warc_record(F.col("url"), F.col("html"))
     if damaged:
         record = F.when(F.pmod("page_id", F.lit(100)) == 37, F.concat(F.lit("V"), F.substr(record, F.lit(2)))).otherwise(record)
     file = F.floor(F.coalesce("page_id", F.lit(-1)) / FILE_RECORDS)
-    rows = pages.select("page_id", F.concat(F.lit("pages-"), file.cast("string"), F.lit(".warc")).alias("file"), record.alias("record"))
+    rows = hashed(pages, record, F.col("page_id"), F.concat(F.lit("pages-"), file.cast("string"), F.lit(".warc")).alias("file"))
     if damaged:
         rows = rows.filter(~((F.col("file") == "pages-3.warc") & (F.pmod("page_id", F.lit(FILE_RECORDS)) >= 900)))
-    rows = rows.withColumn("size", F.octet_length("record").cast("bigint"))
-    order = Window.partitionBy("file").orderBy("page_id", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("offset", F.sum("size").over(order) - F.col("size"))
+    order = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed(rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("page_id"))
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return fixity(leaves(page_replica(pages, False)), leaves(page_replica(pages, True)))
+    return fixity(page_replica(pages, False), page_replica(pages, True))
 
 
 QUERIES = {"op7_warc_fixity": op7_warc_fixity}
