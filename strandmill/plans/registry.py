@@ -12,7 +12,7 @@ from strandmill.functions import dna
 from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds
 from strandmill.plans import sql
 from strandmill.plans.compare import Comparison
-from strandmill.sources import fasta, fragment_files, genomes, workloads
+from strandmill.sources import fasta, fragment_files, genomes, reports, workloads
 from strandmill.storage import saved, shared_path
 
 QUERIES: dict = {}
@@ -280,6 +280,51 @@ def search(spark, sf_dir):
     return best.join(x, "seqX").join(y, "seqY").select("doc", "item", "n_fragments", "best_score", "total_length")
 
 
+# reports
+
+_COVERAGE = "SELECT least(length, 999)::INT AS len_bin, floor(similarity)::INT AS sim_bin, count(*) AS n FROM used GROUP BY 1, 2"
+
+
+@registered(sql.query(sql.used_blocks(), _COVERAGE))
+def coverage_files(spark, sf_dir):
+    """A coverage matrix for each strand, written and added up when read."""
+    c = _compared(spark, sf_dir)
+    paths = [shared_path(spark, "matrix") for _ in "fr"]
+    for strand, path in zip("fr", paths, strict=True):
+        reports.write_matrix(fragments.coverage(c.used.filter(F.col("strand") == strand)), path)
+    return reports.read_matrix(spark, paths)
+
+
+@registered(sql.query(sql.used_blocks(), """SELECT 'documents' AS file_x, 'benchmark' AS file_y, (SELECT sum(len) FROM x)::BIGINT AS len_x, (SELECT sum(len) FROM y)::BIGINT AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr,
+  (SELECT count(*) FROM thinned) AS hits, count(*) AS hits_used, count(*) FILTER (accepted) AS fragments FROM used HAVING (SELECT count(*) FROM thinned) > 0"""))
+def info_files(spark, sf_dir):
+    """Run information of each strand, written and added up when read."""
+    info = _compared(spark, sf_dir).run_info.withColumns({"file_x": F.lit("documents"), "file_y": F.lit("benchmark")})
+    paths = [shared_path(spark, "info") for _ in "fr"]
+    for strand, path in zip("fr", paths, strict=True):
+        reports.write_info(info.filter(F.col("strand") == strand), path)
+    return reports.combined_info(reports.read_info(spark, paths)).drop("name_x", "name_y")
+
+
+@registered(sql.of("x kx", """, d AS (SELECT word, count(*) AS num FROM kx GROUP BY word)
+SELECT num || chr(9) || word || num AS line FROM d WHERE num >= 1001 UNION ALL SELECT 'freqs of words that appear' UNION ALL SELECT 'Times' || chr(9) || 'nWords'
+UNION ALL SELECT num || chr(9) || count(*) FROM d WHERE num < 1001 GROUP BY num"""))
+def frequency_file(spark, sf_dir):
+    """The lines of the word-frequency report."""
+    path = shared_path(spark, "frequencies")
+    reports.write_frequencies(kmers.kmers(_x(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@registered(sql.query(sql.used_blocks(), """SELECT concat_ws(',', 'Frag', "xStart", CASE strand WHEN 'r' THEN t - "yStart" - 1 ELSE "yStart" END, "xEnd", CASE strand WHEN 'r' THEN t - "yEnd" - 1 ELSE "yEnd" END,
+  strand, block, length, score, ident, printf('%.2f', score / (length * 4.0::DOUBLE)), printf('%.2f', ident / length::DOUBLE), "seqX", "seqY") AS line FROM fragments, (SELECT sum(len)::BIGINT AS t FROM y)"""))
+def csv_report(spark, sf_dir):
+    """The fragments' lines of the CSV report with its preamble."""
+    c, path = _compared(spark, sf_dir), shared_path(spark, "csv")
+    reports.write_csv_report(c.exported, path, *[genomes.totals(g).first()["total_length"] for g in (c.x, c.y)])
+    return spark.read.text(path).select(F.col("value").alias("line")).filter("line LIKE 'Frag,%'")
+
+
 # many genomes
 
 _PAIRS = "SELECT a.n_name AS name_x, b.n_name AS name_y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"

@@ -1 +1 @@
-"""Readers and writers: FASTA, tables mapped to DNA, fragments, workloads, thresholds."""
+"""Readers and writers: FASTA, tables mapped to DNA, fragments, reports, workloads, thresholds."""
