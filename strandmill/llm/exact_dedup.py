@@ -67,11 +67,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat both identifier and text are interchangeable for it; one of them stays.
     """
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    marked = docs.withColumn("__text", F.sha2(normalised(F.col(text_col)), 256))
-    left = marked.join(found, marked[id_col].eqNullSafe(found["__id"]) & (marked["__text"] == found["__digest"]), "left_semi")
-    order = Window.partitionBy(id_col, "__text").orderBy("__text")
-    return left.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*docs.columns)
+    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
+    left = rows.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    order = Window.partitionBy("id", "digest").orderBy("digest")
+    return left.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

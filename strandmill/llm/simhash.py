@@ -126,10 +126,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     If several rows carry that identifier, the one with the smallest text (nulls first) stays.
     """
     found = near_duplicates(docs, id_col, text_col, words, radius).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    found = found.select(F.col(id_col).alias("__id")).distinct()
-    left = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    return left.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    found = found.select(F.col(id_col).alias("kept_id")).distinct()
+    others = F.struct(*[c for c in docs.columns if c != text_col])
+    rows = docs.select(others.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    left = rows.join(found, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    order = Window.partitionBy("id").orderBy("text")
+    return left.withColumn("place", F.row_number().over(order)).filter("place = 1").select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
