@@ -102,6 +102,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now
 
 
+def print_roots(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, root, least (identifier) and members for each distinct fp of rows (id, fp)."""
+    prints = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
+    roots = components(ball_links(prints.select("fp"), radius))
+    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "members", F.coalesce("root", "fp").alias("root"))
+    return materialize(placed, "placed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id, component_size.
 
@@ -111,27 +119,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows; an empty table gives none; other columns of docs are not read.
     """
     rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
-    roots = components(ball_links(prints.select("fp"), radius))
-    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "members", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
+    placed = print_roots(rows, radius)
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("members").alias("component_size"))
     by_print = placed.select("fp", "root").join(whole, "root").select("fp", "component_id", "component_size")
     return rows.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs, all their columns, whose identifier is the component_id of their component.
+def text_digest(text: Column) -> Column:
+    """SHA-256; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def one_for_each_root(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs, all its columns, for each root of rows (id, digest, root): the one with the
+    smallest identifier, nulls last, and of those the one with the smallest text digest.
 
-    If several rows carry that identifier, the one with the smallest text (nulls first) stays.
+    Only survivors' texts travel further than one join; rows that repeat identifier and text are
+    interchangeable, and all but one for each task are dropped before they travel.
     """
-    found = near_duplicates(docs, id_col, text_col, words, radius).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    found = found.select(F.col(id_col).alias("kept_id")).distinct()
-    others = F.struct(*[c for c in docs.columns if c != text_col])
-    rows = docs.select(others.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    left = rows.join(found, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    order = Window.partitionBy("id").orderBy("text")
-    return left.withColumn("place", F.row_number().over(order)).filter("place = 1").select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best"))
+    kept = best.select(F.col("best.id").alias("kept_id"), F.col("best.digest").alias("kept_digest"))
+    all_rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    left = all_rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return left.groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """One row of docs, all its columns, for each component, chosen as one_for_each_root says."""
+    text = F.col(text_col)
+    rows = materialize(docs.select(F.col(id_col).alias("id"), text_digest(text).alias("digest"), fingerprint_column(text, words).alias("fp")), "fingerprints")
+    roots = print_roots(rows, radius).select("fp", "root")
+    return one_for_each_root(docs, rows.join(roots, "fp").select("id", "digest", "root"), id_col, text_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,10 @@ def test_keep_one(spark):
     assert kept.count() == kept.select("doc_id").distinct().count()
     same = documents(spark, ["a b c d e f"] * 40)
     assert [r.doc_id for r in simhash.keep_one(same).select(F.col("doc_id")).collect()] == [0]
+
+
+def test_keep_one_keeps_one_for_each_component(spark):
+    first, second, third, fourth = ("first text about rivers and hills", "second story of ships at sea", "third note on bread and salt", "fourth tale of snow")
+    docs = documents(spark, [first, first.upper(), second, third, fourth, third.upper()], [None, None, None, 1, 1, None])
+    kept = sorted((str(r.doc_id), r.text.lower()) for r in simhash.keep_one(docs).collect())
+    assert kept == [("1", fourth), ("1", third), ("None", first), ("None", second)]
