@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe_tree, exact_dedup, mixing, quality, simhash
+from strandmill.llm import bpe_tree, exact_dedup, mixing, near_jaccard, quality
 from strandmill.llm.common import materialize, table
 
-#: Near duplicates here are those of op3's contract: shingles of three words, fingerprints at most two bits
-#: apart. Longer shingles would only lose links (README, "Limits").
+#: The rule of op3's contract, which binds that query only and no stage here. tests/llm/test_pipeline.py reads them.
 SHINGLE_WORDS, RADIUS = 3, 2
 
 
@@ -21,7 +20,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, words=SHINGLE_WORDS, radius=RADIUS)
+    return near_jaccard.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ STAGES = [
     ("byte_bpe", bpe_stage),
 ]
 
-#: The quality classifier and SimHash can't be said in SQL; tests hold the pipeline against plain Python.
+#: The quality classifier and the near-duplicate stage can't be said in SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
