@@ -1,14 +1,18 @@
 """WARC files and their Merkle fixity audit.
 
 Records are hashed where they lie; the hashes of FANOUT neighbours by offset are hashed into a node, and
-so on up to one root for each file. Two replicas are compared from the roots down: only the children of
-nodes that differ are looked at, so agreeing files cost one comparison. Every level is a grouping on
-(file, node) with at most FANOUT members.
+so on up to one root for each file. Agreeing files cost one comparison of roots. In a file that differs, the
+records of both replicas are aligned by digest and identifier, so that a lost or inserted record is reported
+alone, and not all that it shifts. Every level is a grouping on (file, node) with at most FANOUT members;
+an alignment holds one row without bytes for each record of a file.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,9 +82,11 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.row_number().over(Window.partitionBy("file").orderBy("offset", "digest")).cast("bigint") - 1)
 
 
-def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record") -> DataFrame:
-    """Level 0 of the records' trees: file, node, digest, offset, length."""
-    return placed(hashed(records, F.col(record_col), F.col(file_col).alias("file"), F.col(offset_col).alias("offset")))
+def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record", key_col: str | None = None) -> DataFrame:
+    """Level 0 of the records' trees: file, node, digest, offset, length, and key, the record's identifier
+    (null without key_col)."""
+    key = F.col(key_col) if key_col else F.lit(None)
+    return placed(hashed(records, F.col(record_col), F.col(file_col).alias("file"), F.col(offset_col).alias("offset"), key.cast("string").alias("key")))
 
 
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -107,25 +113,115 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT)
     suspects = ours[0].select("file").union(theirs[0].select("file")).distinct().withColumn("node", F.lit(0).cast("bigint"))
     for k in range(max(len(ours), len(theirs)) - 1, -1, -1):
         a, b = (x[k].select("file", "node", F.col("digest").alias(name)) if k < len(x) else spark.createDataFrame([], f"file string, node bigint, {name} string") for x, name in ((ours, "a"), (theirs, "b")))
-        here = suspects.join(a, ["file", "node"], "left").join(b, ["file", "node"], "left").filter("NOT (a <=> b)").select("file", "node")
+        a, b = (x.select(F.col("file").alias("f"), F.col("node").alias("n"), name) for x, name in ((a, "a"), (b, "b")))
+        place = F.col("file").eqNullSafe(F.col("f")) & (F.col("node") == F.col("n"))
+        here = suspects.join(a, place, "left").drop("f", "n").join(b, place, "left").filter("NOT (a <=> b)").select("file", "node")
         if k:
             here = here.select("file", F.explode(F.sequence(F.col("node") * fanout, F.col("node") * fanout + fanout - 1)).alias("node"))
         suspects = here
     return suspects
 
 
+def differing_files(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
+    """file of the files, null included, whose trees differ at the highest level that both have."""
+    k = min(len(ours), len(theirs)) - 1
+    sides = [x[k].select("file", "node", "digest", F.lit(n).alias("side")) for n, x in enumerate((ours, theirs))]
+    nodes = sides[0].union(sides[1]).groupBy("file", "node").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y"))
+    return nodes.filter("n < 2 OR x <> y").select(F.col("file").alias("differing")).distinct()
+
+
+def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs, sorted by their first, whose seconds rise too."""
+    tails, ends, before = [], [], []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        before.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [j], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal digests in both lists, rising in both: common beginnings and ends, then digests
+    that each side has once, and so on between those."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            k, m = k - 1, m - 1
+            out.append((k, m))
+        if i == k or j == m:
+            continue
+        in_a, in_b = Counter(a[i:k]), Counter(b[j:m])
+        once = {b[y]: y for y in range(j, m) if in_b[b[y]] == 1}
+        chain = longest_chain([(x, once[a[x]]) for x in range(i, k) if in_a[a[x]] == 1 and a[x] in once])
+        if chain:
+            for x, y in [*chain, (k, m)]:
+                todo.append((i, x, j, y))
+                i, j = x + 1, y + 1
+            out += chain
+        elif in_a.keys() & in_b.keys():
+            blocks = SequenceMatcher(None, a[i:k], b[j:m], autojunk=False).get_matching_blocks()
+            out += [(i + x + n, j + y + n) for x, y, size in blocks for n in range(size)]
+    return sorted(out)
+
+
+def pairing(a: list[tuple[str, str | None]], b: list[tuple[str, str | None]]) -> list[tuple[int | None, int | None, str]]:
+    """(place in a, place in b, status) of all records (digest, key) of a file's two replicas."""
+    same = common_places([x for x, _ in a], [x for x, _ in b])
+    out = [(i, j, "ok") for i, j in same]
+    left, right = sorted(set(range(len(a))) - {i for i, _ in same}), sorted(set(range(len(b))) - {j for _, j in same})
+    gap_a, gap_b = [i for i, _ in same], [j for _, j in same]
+    # First the same bytes elsewhere; then, between the same neighbours, the same identifier, or none and the same turn.
+    for status, name in (("moved", lambda x, gap: x[0]), ("corrupt", lambda x, gap: (gap, x[1]))):
+        waiting = defaultdict(list)
+        for j in reversed(right):
+            waiting[name(b[j], bisect_left(gap_b, j))].append(j)
+        met = [(i, w.pop(), status) for i in left if (w := waiting.get(name(a[i], bisect_left(gap_a, i))))]
+        out += met
+        left, right = sorted(set(left) - {i for i, _, _ in met}), sorted(set(right) - {j for _, j, _ in met})
+    return [*out, *((i, None, "missing") for i in left), *((None, j, "extra") for j in right)]
+
+
+FIXITY = "file string, node bigint, offset bigint, length bigint, digest string, other_digest string, status string"
+
+
+def align(rows: pa.Table) -> pa.Table:
+    """FIXITY of one file from side, file, node, offset, length, digest, key of both replicas."""
+    sides = [[], []]
+    for r in rows.sort_by("node").to_pylist():
+        sides[r["side"]].append(r)
+    found = []
+    for i, j, status in pairing(*([(r["digest"], r["key"]) for r in side] for side in sides)):
+        a, b = None if i is None else sides[0][i], None if j is None else sides[1][j]
+        found.append({c: (a or b)[c] for c in ("file", "node", "offset", "length")} | {"digest": a and a["digest"], "other_digest": b and b["digest"], "status": status})
+    long, text = pa.int64(), pa.string()
+    return pa.Table.from_pylist(found, pa.schema([("file", text), ("node", long), ("offset", long), ("length", long), ("digest", text), ("other_digest", text), ("status", text)]))
+
+
 def fixity(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """One row for every record of either replica: file, node, offset, length, digest, other_digest,
-    status: ok, corrupt (both sides have the place, with other bytes), missing or extra (one side has it).
+    status: ok, moved (the same bytes, but not in the same order), corrupt (other bytes of the same
+    identifier, or without identifiers of the same turn, between the same neighbours), missing or extra (one
+    side has it).
 
-    Files are compared as they are named. Empty replicas give no rows, or only missing or extra ones.
+    Files are compared as they are named, those without a name as one file. Empty replicas give no rows,
+    or only missing or extra ones. node, offset and length are the other side's for extra records only.
     """
     a, b = tree(ours, fanout), tree(theirs, fanout)
-    bad = audit(a, b, fanout).withColumn("bad", F.lit(True))
-    other = b[0].select("file", "node", F.col("digest").alias("other_digest"), F.col("offset").alias("o"), F.col("length").alias("l"))
-    rows = a[0].join(other, ["file", "node"], "full").join(bad, ["file", "node"], "left")
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
-    return rows.select("file", "node", F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "l").alias("length"), "digest", "other_digest", status.alias("status"))
+    files = materialize(differing_files(a, b), "differing")
+    differs = F.col("file").eqNullSafe(F.col("differing"))
+    columns = [F.col(c) for c in ("file", "node", "offset", "length", "digest")]
+    agreeing = a[0].join(files, differs, "left_anti").select(*columns, F.col("digest").alias("other_digest"), F.lit("ok").alias("status"))
+    key = [F.col("key") if "key" in x[0].columns else F.lit(None).cast("string").alias("key") for x in (a, b)]
+    both = a[0].select(F.lit(0).alias("side"), *columns, key[0]).union(b[0].select(F.lit(1).alias("side"), *columns, key[1]))
+    return agreeing.union(both.join(files, differs, "left_semi").groupBy("file").applyInArrow(align, FIXITY))
 
 
 def page_replica(pages: DataFrame, damaged: bool) -> DataFrame:
@@ -139,7 +235,7 @@ def page_replica(pages: DataFrame, damaged: bool) -> DataFrame:
     if damaged:
         rows = rows.filter(~((F.col("file") == "pages-3.warc") & (F.pmod("page_id", F.lit(FILE_RECORDS)) >= 900)))
     order = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed(rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("page_id"))
+    return placed(rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).withColumn("key", F.col("page_id").cast("string")).drop("page_id"))
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,28 @@ def test_warc_files(spark, tmp_path):
 
 def test_texts_of_the_fixture():
     assert None in TEXTS and "" in TEXTS
+
+
+def records_of(spark, files):
+    rows = [(n, i * 10, d, k) for n, data in files.items() for i, (d, k) in enumerate(data)]
+    return warc_audit.leaves(spark.createDataFrame(rows, "file string, offset bigint, record string, id string"), key_col="id")
+
+
+def test_audit_locates_loss_and_insertion(spark):
+    data = [(f"record {i}", f"id{i}") for i in range(70)]
+    lost = [*data[:20], *data[21:40], ("bad", "id40"), *data[42:]]  # a corrupt record beside a lost one
+    more = [*data[:30], ("new", "idnew"), *data[30:]]
+    nameless = [*data[:5], ("bad", None), *data[6:]]
+    other = records_of(spark, {"a": data, "lost": lost, "more": more, None: nameless})
+    found = warc_audit.fixity(records_of(spark, {"a": data, "lost": data, "more": data, None: [(d, None) for d, _ in data]}), other, 4)
+    odd = sorted((str(r.file), r.node, r.status) for r in found.filter("status <> 'ok'").collect())
+    assert odd == [("None", 5, "corrupt"), ("lost", 20, "missing"), ("lost", 40, "corrupt"), ("lost", 41, "missing"), ("more", 30, "extra")]
+    assert found.count() == 4 * 70 + 1
+
+
+def test_pairing():
+    plain = lambda text: [(c, None) for c in text]
+    odd = lambda a, b: sorted((x for x in warc_audit.pairing(plain(a), plain(b)) if x[2] != "ok"), key=str)
+    assert odd("abcdef", "abdefc") == [(2, 5, "moved")]
+    assert odd("pxx", "xxr") == [(0, None, "missing"), (None, 2, "extra")]
+    assert odd("aXbXc", "aYbXc") == [(1, 1, "corrupt")] and odd("", "") == []
