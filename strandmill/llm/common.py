@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (single-machine runs and tests).
+#: Where intermediate tables go if the session names no shared folder; on one machine only.
 LOCAL_WORK_DIR = "file:///tmp/checkpoints"
+#: Narrow rows (some 100 bytes) that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, the folder that driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_WORK_DIR
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = LOCAL_WORK_DIR
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,6 +42,25 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it, for files that Spark has no writer for."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they were counted to be few. Counts them: pass a written table."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def named(column: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

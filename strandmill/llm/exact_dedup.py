@@ -1,12 +1,13 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the normalised texts by their beginnings, Spark's external sort puts
-equal ones side by side, and each run of equal neighbours (compared in full) yields its smallest
-identifier. Splitters are beginnings of SPLITTER characters only, as the driver holds the sample they are
-chosen from; the sort and the comparison take whole texts. A text or a beginning that many rows share
-would be one range in one task; so ranges are cut by a salt of the identifier, which is the range
-partitioning's second key, and the few sub-runs of one text are merged afterwards on the SHA-256 digest,
-from one narrow row for each.
+Rows are range-partitioned by sampled splitters and sorted by their normalised text; equal texts then
+stand side by side, and each run of neighbours that are equal in full keeps its smallest identifier. The
+order is that of a text's beginning, then of its hash, then of the whole text: so splitters are a few bytes
+and may go to the driver, and texts that share a long beginning still spread over many ranges.
+
+A run lies in one range, but for hot texts: those that would fill more than a partition, going by a bounded
+sample, are cut into pieces by a hash of the identifier, one for each partition they would fill. Only the
+heads of such pieces, about one for each partition at most, are compared once more; nothing else is grouped.
 
 Only DataFrame functions are used.
 """
@@ -16,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, partitions, table
+from strandmill.llm.common import all_columns, materialize, named, partitions, table
 
 #: Characters of a splitter.
 SPLITTER = 32
+#: Rows sampled for each partition to find hot texts.
+SAMPLED = 100
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -28,56 +31,81 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
-
-    Null and empty texts are one group. Null identifiers come after all others; a group of null
-    identifiers has keep_id null. Of rows repeated with the same identifier exactly one is kept. An
-    empty table gives no rows; other columns of docs, whatever their names, are not read.
-    """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("content")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts or n)))
-    rows = rows.withColumn("beginning", F.substring("content", 1, SPLITTER))
-    run = Window.partitionBy("beginning", "content", "salt").orderBy(F.col("id").asc_nulls_last())
+def hot_texts(docs: DataFrame, text_col: str, n: int, sampled: int = SAMPLED) -> DataFrame:
+    """hot_beginning, hot_hash and pieces of the texts that would fill more than one of n partitions, going
+    by about `sampled` rows for each: fewer than n texts, of fewer than 2n pieces."""
+    total = docs.count()
+    texts = docs.select(named(text_col).alias("text"))
+    few = texts.sample(sampled * n / total, 7) if total > sampled * n else texts
+    share = max(1, min(total, sampled * n) // n)
+    seen = few.select(normalised(F.col("text")).alias("content")).select(F.substring("content", 1, SPLITTER).alias("hot_beginning"), F.xxhash64("content").alias("hot_hash"))
+    often = seen.groupBy("hot_beginning", "hot_hash").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") > share)
+    return often.select("hot_beginning", "hot_hash", F.ceil(F.col("met") / share).cast("int").alias("pieces"))
+
+
+def content_sorted(docs: DataFrame, id_col: str, text_col: str, n: int | None = None, row: Column | None = None) -> DataFrame:
+    """id, digest of the text, hot (whether its text was cut into pieces), place in its run by identifier,
+    least and members: the smallest identifier and the rows of the run. `row` is carried along."""
+    n = n or partitions(docs.sparkSession)
+    carried = [row.alias("row")] if row is not None else []
+    rows = docs.select(named(id_col).alias("id"), normalised(named(text_col)).alias("content"), *carried)
+    rows = rows.withColumns({"beginning": F.substring("content", 1, SPLITTER), "hash": F.xxhash64("content")})
+    often = F.broadcast(materialize(hot_texts(docs, text_col, n), "hot-texts"))  # at most a few for each partition
+    rows = rows.join(often, (F.col("beginning") == F.col("hot_beginning")) & (F.col("hash") == F.col("hot_hash")), "left")
+    rows = rows.withColumns({"hot": F.col("pieces").isNotNull(), "piece": F.coalesce(F.pmod(F.xxhash64("id"), "pieces"), F.lit(0))})
+    run = Window.partitionBy("beginning", "hash", "piece", "content").orderBy(F.col("id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = rows.repartitionByRange(n, "beginning", "salt").select(
+    return rows.repartitionByRange(n, "beginning", "hash", "piece").select(
         "id",
-        "salt",
+        "hot",
         F.sha2("content", 256).alias("digest"),
         F.row_number().over(run).alias("place"),
         F.min("id").over(whole).alias("least"),
         F.count(F.lit(1)).over(whole).alias("members"),
+        *["row" for _ in carried],
     )
-    runs = materialize(runs, "exact-dedup-runs")
-    heads = runs.filter("place = 1").select("digest", "salt", "least", "members")
-    texts = heads.groupBy("digest").agg(F.min("least").alias("keep_id"), F.sum("members").alias("group_size"))
-    merged = heads.select("digest", "salt").join(texts, "digest")
-    return runs.join(merged, ["digest", "salt"]).select(
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256. n: partitions.
+
+    Null and empty texts are one group. Null identifiers come after all others; a group of null
+    identifiers has keep_id null. Of rows repeated with the same identifier exactly one is kept. An
+    empty table gives no rows; other columns of docs, whatever their names, are not read.
+    """
+    runs = materialize(content_sorted(docs, id_col, text_col, n), "exact-dedup-runs")
+    heads = runs.filter("hot AND place = 1")
+    settled = heads.groupBy("digest").agg(F.min("least").alias("all_least"), F.sum("members").alias("all_members"))
+    rows = runs.join(F.broadcast(settled), "digest", "left")  # at most one for each hot text
+    keep = F.when(F.col("hot"), F.col("all_least")).otherwise(F.col("least"))
+    return rows.select(
         F.col("id").alias(id_col),
-        "keep_id",
-        "group_size",
-        ((F.col("place") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("all_members", "members").alias("group_size"),
+        ((F.col("place") == 1) & F.col("id").eqNullSafe(keep)).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, that exact_dedup keeps.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
+    """The rows of docs, all their columns, that exact_dedup keeps; they take part in the sort, so that each
+    row is shuffled once.
 
     Rows that repeat both identifier and text are interchangeable for it; one of them stays.
     """
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
-    left = rows.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
-    order = Window.partitionBy("id", "digest").orderBy("digest")
-    return left.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row.*")
+    heads = materialize(content_sorted(docs, id_col, text_col, n, F.struct(*all_columns(docs))).filter("place = 1"), "exact-dedup-heads")
+    ranked = F.struct(F.col("id").isNull(), "id")
+    settled = heads.filter("hot").groupBy("digest").agg(F.min(ranked)["id"].alias("best"))
+    hot = heads.filter("hot").join(F.broadcast(settled), "digest").filter(F.col("id").eqNullSafe(F.col("best")))
+    # an identifier lies in one piece of a text, so that exactly one head has it
+    return heads.filter("NOT hot").select("row.*").union(hot.select("row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup of documents: null texts count as empty, null identifiers come last, repeated rows are
+    all but one not kept, an empty table gives no rows."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
-
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
