@@ -1,99 +1,207 @@
 """WARC files and their Merkle fixity audit.
 
-Records are hashed where they lie; the hashes of FANOUT neighbours by offset are hashed into a node, and
-so on up to one root for each file. Agreeing files cost one comparison of roots. In a file that differs, the
-records of both replicas are aligned by digest and identifier, so that a lost or inserted record is reported
-alone, and not all that it shifts. Every level is a grouping on (file, node) with at most FANOUT members;
-an alignment holds one row without bytes for each record of a file.
+A leaf hashes a record's offset, length and digest; the hashes of FANOUT neighbours by offset are hashed
+into a node together with the range of offsets that they cover, and so on up to one root for each file.
+The replicas' roots are compared, and only nodes below differing ones are looked at, down to the leaves
+that differ. Those leaves alone are aligned by digest and identifier, so that a lost or inserted record is
+reported as such, and what it shifts as shifted. Every level is a grouping on (file, node) with at most
+FANOUT members; an alignment holds one row without bytes for each differing record of a file.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, table
+from strandmill.llm.common import few, materialize, named, split_uri, table, work_path
 
 FANOUT = 16
-#: Records of a file that the query's replicas are dealt into.
+#: Identifiers to a file in the query's replicas.
 FILE_RECORDS = 1000
 CRLF = "\r\n"
+#: Bytes read at a time; how a compressed record begins.
+CHUNK, MEMBER = 1 << 16, b"\x1f\x8b\x08"
 
 
-def warc_record(uri: Column, payload: Column) -> Column:
-    """A WARC/1.0 resource record as text; null uri and payload count as empty."""
-    uri, payload = F.coalesce(uri, F.lit("")), F.coalesce(payload, F.lit(""))
-    head = [F.lit(f"WARC/1.0{CRLF}WARC-Type: resource{CRLF}WARC-Target-URI: "), uri, F.lit(f"{CRLF}Content-Length: "), F.octet_length(payload).cast("string")]
+def warc_record(uri: Column, payload: Column, key: Column | None = None) -> Column:
+    """A WARC/1.0 resource record as text; null uri, payload and key count as empty. Line ends in a uri or
+    key are left out."""
+    def header(name: str, value: Column) -> list[Column]:
+        return [F.lit(f"{CRLF}{name}: "), F.translate(F.coalesce(value, F.lit("")), CRLF, "")]
+
+    payload = F.coalesce(payload, F.lit(""))
+    own = header("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(">"))) if key is not None else []
+    head = [F.lit(f"WARC/1.0{CRLF}WARC-Type: resource"), *own, *header("WARC-Target-URI", uri), F.lit(f"{CRLF}Content-Length: "), F.octet_length(payload).cast("string")]
     return F.concat(*head, F.lit(CRLF * 2), payload, F.lit(CRLF * 2))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers in lower case, block) of the records of an uncompressed WARC file. What
-    lies between a damaged record and the next one that can be read is one record without headers."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        head, stop = {}, -1
-        if data.startswith(b"WARC/", at) and end >= 0:
-            lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
+class Buffered:
+    """Bytes that come in chunks; `at` is the place of the first one held."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.held, self.at = iter(chunks), bytearray(), 0
+
+    def more(self) -> bool:
+        chunk = next(self.chunks, None)
+        self.held += chunk or b""
+        return chunk is not None
+
+    def find(self, what: bytes, start: int) -> int:
+        while (k := self.held.find(what, start)) < 0:
+            start = max(start, len(self.held) - len(what) + 1)
+            if not self.more():
+                return -1
+        return k
+
+    def reach(self, n: int) -> bool:
+        while len(self.held) < n and self.more():
+            pass
+        return len(self.held) >= n
+
+    def cut(self, n: int) -> bytes:
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += len(out)
+        return out
+
+
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers in lower case, record) of the records of a WARC file, one record being held at a
+    time. What lies between a damaged record and the next one that can be read is one record without
+    headers."""
+    data = Buffered(chunks)
+    while data.reach(1):
+        at, stop, head = data.at, -1, {}
+        end = data.find(b"\r\n\r\n", 0) if data.reach(5) and data.held.startswith(b"WARC/") else -1
+        if end >= 0:
+            lines = data.held[:end].decode("utf-8", "replace").split(CRLF)[1:]
             head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
             size = head.get("content-length", "")
             stop = end + 4 + int(size) if size.isascii() and size.isdigit() else -1
-        if stop < 0 or data[stop : stop + 4] != b"\r\n\r\n":
-            nxt = data.find(b"\r\n\r\nWARC/", at)
-            nxt = len(data) if nxt < 0 else nxt + 4
-            yield at, nxt - at, {}, data[at:nxt]
-            at = nxt
+        if stop >= 0 and data.reach(stop + 4) and data.held[stop : stop + 4] == b"\r\n\r\n":
+            yield at, head, data.cut(stop + 4)
         else:
-            yield at, stop + 4 - at, head, data[end + 4 : stop]
-            at = stop + 4
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, length, uri, warc_type, record of every record in the files; a file is read by one
-    task, so files should be of the usual size, 1 GB or less."""
+            nxt = data.find(b"\r\n\r\nWARC/", 0)
+            yield at, {}, data.cut(nxt + 4 if nxt >= 0 else len(data.held))
+
+
+def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of records compressed one by one (gzip members). What can't be inflated is passed over up
+    to the next member. Other files pass as they are."""
+    rest, member, packed = b"", None, None
+    for chunk in chunks:
+        packed = chunk.startswith(MEMBER) if packed is None else packed
+        if not packed:
+            yield chunk
+            continue
+        rest += chunk
+        while rest:
+            if member is None:
+                k = rest.find(MEMBER)
+                rest = rest[k:] if k >= 0 else rest[-2:]
+                if k < 0:
+                    break
+                member = zlib.decompressobj(31)
+            try:
+                out = member.decompress(rest)
+            except zlib.error:
+                rest, member = rest[1:], None
+                continue
+            yield out
+            rest, member = (member.unused_data, None) if member.eof else (b"", member)
+
+
+def write_warc(records: DataFrame, file_col: str, order: list[str], record_col: str) -> DataFrame:
+    """Writes the records of each file, in order, compressed one by one, into a new shared folder; returns
+    file, path, records for each file. A file is written by one task, a record being held at a time, under
+    a name of its own for each attempt; only files of successful attempts are returned. Null records are
+    left out."""
+    folder = work_path(records.sparkSession, "warc")
+    system, root = split_uri(folder)
+    system.create_dir(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, name, path, n = None, None, None, 0
+
+        def closed() -> pa.RecordBatch:
+            target.close()
+            return pa.record_batch({"file": pa.array([name], pa.string()), "path": pa.array([path], pa.string()), "records": pa.array([n], pa.int64())})
+
+        system, _ = split_uri(folder)
+        for batch in batches:
+            for file, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if target is None or file != name:
+                    if target is not None:
+                        yield closed()
+                    name, path, n = file, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                    target = system.open_output_stream(split_uri(path)[1], compression=None)
+                pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+                target.write(pack.compress(record) + pack.flush())
+                n += 1
+        if target is not None:
+            yield closed()
+
+    rows = records.filter(named(record_col).isNotNull()).repartition(named(file_col)).sortWithinPartitions(named(file_col), *map(named, order))
+    written = rows.select(named(file_col).cast("string"), named(record_col).cast("binary")).mapInArrow(write, "file string, path string, records bigint")
+    return materialize(written, "warc-files")
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """file, node (place in the file), offset and length (in the uncompressed file), uri, key, warc_type and record of every record.
+    files: file, path. A file is read by one task, which holds a record at a time."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for offset, length, head, _ in parse_warc(data):
-                    yield pa.record_batch({"file": [name], "offset": [offset], "length": [length], "uri": pa.array([head.get("warc-target-uri")], pa.string()), "warc_type": pa.array([head.get("warc-type")], pa.string()), "record": pa.array([data[offset : offset + length]], pa.binary())})
+            for name, path in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                system, own = split_uri(path)
+                with system.open_input_stream(own, compression=None) as data:
+                    chunks = iter(lambda data=data: data.read(CHUNK), b"")
+                    for node, (offset, head, record) in enumerate(parse_warc(inflated(chunks))):
+                        yield pa.record_batch({
+                            "file": pa.array([name], pa.string()), "node": [node], "offset": [offset], "length": [len(record)], "digest": [hashlib.sha256(record).hexdigest()],
+                            **{c: pa.array([head.get(h)], pa.string()) for c, h in (("uri", "warc-target-uri"), ("key", "warc-record-id"), ("warc_type", "warc-type"))}, "record": pa.array([record], pa.binary()),
+                        })
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(records, "file string, offset bigint, length bigint, uri string, warc_type string, record binary")
+    return files.select("file", "path").mapInArrow(records, "file string, node bigint, offset bigint, length bigint, digest string, uri string, key string, warc_type string, record binary")
 
 
-def hashed(records: DataFrame, record: Column, *columns: Column) -> DataFrame:
-    """columns, and length and digest of the record; null hashes as empty. Records are hashed where they
-    lie, and don't travel."""
-    body = F.coalesce(record, F.lit(""))
-    return records.select(*columns, F.octet_length(body).cast("bigint").alias("length"), F.sha2(body, 256).alias("digest"))
+def leaf_hash() -> Column:
+    return F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Level 0 from file, offset, length and digest: adds node, the place by offset. Records at the same
-    offset of a file are ordered by digest."""
-    return rows.withColumn("node", F.row_number().over(Window.partitionBy("file").orderBy("offset", "digest")).cast("bigint") - 1)
+def hashed_files(files: DataFrame) -> DataFrame:
+    """Level 0 of files of records: file, node, offset, length, digest, key, hash. Records are hashed where
+    they are read, and don't travel."""
+    return read_warc(files).select("file", "node", "offset", "length", "digest", "key", leaf_hash().alias("hash"))
 
 
 def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record", key_col: str | None = None) -> DataFrame:
-    """Level 0 of the records' trees: file, node, digest, offset, length, and key, the record's identifier
-    (null without key_col)."""
-    key = F.col(key_col) if key_col else F.lit(None)
-    return placed(hashed(records, F.col(record_col), F.col(file_col).alias("file"), F.col(offset_col).alias("offset"), key.cast("string").alias("key")))
+    """Level 0 of a table of records; those at the same offset of a file are ordered by digest. key is the
+    record's identifier (null without key_col). A null record hashes as empty."""
+    body = F.coalesce(named(record_col), F.lit(""))
+    key = (named(key_col) if key_col else F.lit(None)).cast("string")
+    rows = records.select(named(file_col).alias("file"), named(offset_col).cast("bigint").alias("offset"), F.octet_length(body).cast("bigint").alias("length"), F.sha2(body, 256).alias("digest"), key.alias("key"))
+    node = F.row_number().over(Window.partitionBy("file").orderBy("offset", "digest")).cast("bigint") - 1
+    return rows.select("file", node.alias("node"), "offset", "length", "digest", "key", leaf_hash().alias("hash"))
 
 
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The next level: each node hashes its children's digests in order, with their number."""
-    children = level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("c"))
-    joined = F.array_join(F.transform("c", lambda x: x["digest"]), "")
-    return children.select("file", "node", F.sha2(F.concat(F.size("c").cast("string"), F.lit(":"), joined), 256).alias("digest"))
+    """The next level: each node hashes the range of offsets that its children cover, their number, and
+    their hashes in order."""
+    if "start" not in level.columns:
+        level = level.withColumns({"start": F.col("offset"), "end": F.col("offset") + F.col("length")})
+    children = level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("c"))
+    hashes = F.array_join(F.transform("c", lambda x: x["hash"]), "")
+    return children.select("file", "node", "start", "end", F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), F.size("c").cast("string"), hashes), 256).alias("hash"))
 
 
 def tree(base: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
@@ -107,27 +215,18 @@ def tree(base: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """file, node of the records that differ, are missing on one side, or moved; found by descending from
-    the roots. Trees of unequal height count as differing above the lower one."""
-    spark = ours[0].sparkSession
-    suspects = ours[0].select("file").union(theirs[0].select("file")).distinct().withColumn("node", F.lit(0).cast("bigint"))
-    for k in range(max(len(ours), len(theirs)) - 1, -1, -1):
-        a, b = (x[k].select("file", "node", F.col("digest").alias(name)) if k < len(x) else spark.createDataFrame([], f"file string, node bigint, {name} string") for x, name in ((ours, "a"), (theirs, "b")))
-        a, b = (x.select(F.col("file").alias("f"), F.col("node").alias("n"), name) for x, name in ((a, "a"), (b, "b")))
-        place = F.col("file").eqNullSafe(F.col("f")) & (F.col("node") == F.col("n"))
-        here = suspects.join(a, place, "left").drop("f", "n").join(b, place, "left").filter("NOT (a <=> b)").select("file", "node")
-        if k:
-            here = here.select("file", F.explode(F.sequence(F.col("node") * fanout, F.col("node") * fanout + fanout - 1)).alias("node"))
-        suspects = here
-    return suspects
-
-
-def differing_files(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """file of the files, null included, whose trees differ at the highest level that both have."""
-    k = min(len(ours), len(theirs)) - 1
-    sides = [x[k].select("file", "node", "digest", F.lit(n).alias("side")) for n, x in enumerate((ours, theirs))]
-    nodes = sides[0].union(sides[1]).groupBy("file", "node").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y"))
-    return nodes.filter("n < 2 OR x <> y").select(F.col("file").alias("differing")).distinct()
+    """file, node of the leaves that differ or that one side lacks, found by descending from the roots (of
+    trees of unequal height: from the highest level that both have)."""
+    below = None
+    for k in range(min(len(ours), len(theirs)) - 1, -1, -1):
+        sides = [x[k].select("file", "node", "hash") for x in (ours, theirs)]
+        if below is not None:
+            asked = F.col("file").eqNullSafe(F.col("f")) & (F.floor(F.col("node") / fanout) == F.col("n"))
+            under = few(below.select(F.col("file").alias("f"), F.col("node").alias("n")))
+            sides = [x.join(under, asked, "left_semi") for x in sides]
+        met = sides[0].union(sides[1]).groupBy("file", "node").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("x"), F.max("hash").alias("y"))
+        below = materialize(met.filter("n < 2 OR x <> y").select("file", "node"), "differing")
+    return below
 
 
 def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -172,98 +271,120 @@ def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def pairing(a: list[tuple[str, str | None]], b: list[tuple[str, str | None]]) -> list[tuple[int | None, int | None, str]]:
-    """(place in a, place in b, status) of all records (digest, key) of a file's two replicas."""
+def pairing(a: list[tuple[str, str | None]], b: list[tuple[str, str | None]], parts: tuple[list[int], list[int]] | None = None) -> list[tuple[int | None, int | None, str]]:
+    """(place in a, place in b, status) of all records (digest, key) of a file's two replicas. parts: what
+    lies between records left out since they agree; the numbers of both sides' parts."""
     same = common_places([x for x, _ in a], [x for x, _ in b])
     out = [(i, j, "ok") for i, j in same]
     left, right = sorted(set(range(len(a))) - {i for i, _ in same}), sorted(set(range(len(b))) - {j for _, j in same})
     gap_a, gap_b = [i for i, _ in same], [j for _, j in same]
-    # First the same bytes elsewhere; then, between the same neighbours, the same identifier, or none and the same turn.
-    for status, name in (("moved", lambda x, gap: x[0]), ("corrupt", lambda x, gap: (gap, x[1]))):
+    part_a, part_b = parts or ([0] * len(a), [0] * len(b))
+    # The same bytes elsewhere; then, between the same neighbours, the same identifier; then, where a side has none, the same turn.
+    rules = (("moved", lambda x, gap: x[0]), ("corrupt", lambda x, gap: (*gap, x[1])), ("corrupt", lambda x, gap: gap))
+    for k, (status, name) in enumerate(rules):
         waiting = defaultdict(list)
         for j in reversed(right):
-            waiting[name(b[j], bisect_left(gap_b, j))].append(j)
-        met = [(i, w.pop(), status) for i in left if (w := waiting.get(name(a[i], bisect_left(gap_a, i))))]
+            waiting[name(b[j], (part_b[j], bisect_left(gap_b, j)))].append(j)
+        met = []
+        for i in left:
+            others = waiting.get(name(a[i], (part_a[i], bisect_left(gap_a, i))))
+            if others and (k < 2 or a[i][1] is None or b[others[-1]][1] is None):
+                met.append((i, others.pop(), status))
         out += met
         left, right = sorted(set(left) - {i for i, _, _ in met}), sorted(set(right) - {j for _, j, _ in met})
     return [*out, *((i, None, "missing") for i in left), *((None, j, "extra") for j in right)]
 
 
-FIXITY = "file string, node bigint, offset bigint, length bigint, digest string, other_digest string, status string"
+FIXITY = "file string, node bigint, offset bigint, length bigint, digest string, other_offset bigint, other_digest string, status string"
 
 
 def align(rows: pa.Table) -> pa.Table:
-    """FIXITY of one file from side, file, node, offset, length, digest, key of both replicas."""
+    """FIXITY of one file from side, file, node, offset, length, digest, key of both replicas' records that
+    differ."""
     sides = [[], []]
     for r in rows.sort_by("node").to_pylist():
         sides[r["side"]].append(r)
+    nodes = sorted({r["node"] for side in sides for r in side})
+    starts = [x for k, x in enumerate(nodes) if not k or nodes[k - 1] != x - 1]
+    parts = tuple([bisect_left(starts, r["node"] + 1) for r in side] for side in sides)
     found = []
-    for i, j, status in pairing(*([(r["digest"], r["key"]) for r in side] for side in sides)):
+    for i, j, status in pairing(*([(r["digest"], r["key"]) for r in side] for side in sides), parts):
         a, b = None if i is None else sides[0][i], None if j is None else sides[1][j]
-        found.append({c: (a or b)[c] for c in ("file", "node", "offset", "length")} | {"digest": a and a["digest"], "other_digest": b and b["digest"], "status": status})
-    long, text = pa.int64(), pa.string()
-    return pa.Table.from_pylist(found, pa.schema([("file", text), ("node", long), ("offset", long), ("length", long), ("digest", text), ("other_digest", text), ("status", text)]))
+        if status == "ok" and a["offset"] != b["offset"]:
+            status = "shifted"
+        found.append({c: (a or b)[c] for c in ("file", "node", "offset", "length")} | {"digest": a and a["digest"], "other_offset": b["offset"] if b else -1, "other_digest": b and b["digest"], "status": status})
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    return pa.Table.from_pylist(found, pa.schema([(n, kinds[k]) for n, k in map(str.split, FIXITY.split(", "))]))
 
 
 def fixity(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """One row for every record of either replica: file, node, offset, length, digest, other_digest,
-    status: ok, moved (the same bytes, but not in the same order), corrupt (other bytes of the same
-    identifier, or without identifiers of the same turn, between the same neighbours), missing or extra (one
-    side has it).
-
-    Files are compared as they are named, those without a name as one file. Empty replicas give no rows,
-    or only missing or extra ones. node, offset and length are the other side's for extra records only.
+    """One row for every record of either replica: file, node, offset, length, digest, other_offset,
+    other_digest, status: ok, shifted (the same bytes in the same order at another offset), moved (the same
+    bytes, but not in the same order), corrupt (other bytes of the same identifier, or without identifiers
+    of the same turn, between the same neighbours), missing or extra (one side has it).
+
+    ours, theirs: level 0 as of leaves or hashed_files. Files are compared as they are named, those without a name
+    as one file. Empty replicas give no rows, or only missing or extra ones. node, offset and length are the
+    other side's for extra records only; other_offset is -1 for missing ones.
     """
     a, b = tree(ours, fanout), tree(theirs, fanout)
-    files = materialize(differing_files(a, b), "differing")
-    differs = F.col("file").eqNullSafe(F.col("differing"))
-    columns = [F.col(c) for c in ("file", "node", "offset", "length", "digest")]
-    agreeing = a[0].join(files, differs, "left_anti").select(*columns, F.col("digest").alias("other_digest"), F.lit("ok").alias("status"))
-    key = [F.col("key") if "key" in x[0].columns else F.lit(None).cast("string").alias("key") for x in (a, b)]
-    both = a[0].select(F.lit(0).alias("side"), *columns, key[0]).union(b[0].select(F.lit(1).alias("side"), *columns, key[1]))
-    return agreeing.union(both.join(files, differs, "left_semi").groupBy("file").applyInArrow(align, FIXITY))
+    found = audit(a, b, fanout).select(F.col("file").alias("f"), F.col("node").alias("n"))
+    here = F.col("file").eqNullSafe(F.col("f")) & (F.col("node") == F.col("n"))
+    differing = few(found)
+    agreeing = a[0].join(differing, here, "left_anti").select("file", "node", "offset", "length", "digest", F.col("offset").alias("other_offset"), F.col("digest").alias("other_digest"), F.lit("ok").alias("status"))
+    both = [x[0].join(differing, here, "left_semi").select(F.lit(k).alias("side"), "file", "node", "offset", "length", "digest", "key") for k, x in enumerate((a, b))]
+    return agreeing.union(both[0].union(both[1]).groupBy("file").applyInArrow(align, FIXITY))
 
 
 def page_replica(pages: DataFrame, damaged: bool) -> DataFrame:
-    """Level 0 of pages as WARC records, FILE_RECORDS identifiers to a file. The damaged replica has one
-    changed byte in each page whose identifier ends in 37, and no records of file 3 from place 900 on."""
-    record = warc_record(F.col("url"), F.col("html"))
-    if damaged:
-        record = F.when(F.pmod("page_id", F.lit(100)) == 37, F.concat(F.lit("V"), F.substr(record, F.lit(2)))).otherwise(record)
-    file = F.floor(F.coalesce("page_id", F.lit(-1)) / FILE_RECORDS)
-    rows = hashed(pages, record, F.col("page_id"), F.concat(F.lit("pages-"), file.cast("string"), F.lit(".warc")).alias("file"))
+    """file, page_id, tie, record of pages as WARC records, FILE_RECORDS identifiers to a file; null
+    identifiers have a file of their own. In the damaged replica, two of three files have another first byte
+    in each page whose identifier ends in 37; of those, one in three has lost a record at place 120, has
+    another one after place 180, and file 3 ends at place 900."""
+    number = F.floor(F.coalesce("page_id", F.lit(-1)) / FILE_RECORDS)
+    turn, place, key = F.pmod(number, F.lit(3)), F.pmod("page_id", F.lit(FILE_RECORDS)), F.col("page_id").cast("string")
+    rows = pages.select("page_id", "url", "html", F.concat(F.lit("pages-"), number.cast("string"), F.lit(".warc")).alias("file"), key.alias("key"), turn.alias("turn"), place.alias("place"))
     if damaged:
-        rows = rows.filter(~((F.col("file") == "pages-3.warc") & (F.pmod("page_id", F.lit(FILE_RECORDS)) >= 900)))
-    order = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed(rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).withColumn("key", F.col("page_id").cast("string")).drop("page_id"))
+        changed = (F.col("turn") < 2) & (F.pmod("page_id", F.lit(100)) == 37) & F.col("html").startswith("<")
+        rows = rows.withColumn("html", F.when(changed, F.concat(F.lit("X"), F.substr("html", F.lit(2)))).otherwise(F.col("html")))
+        more = rows.filter("turn = 0 AND place = 180").withColumn("key", F.concat("key", F.lit("-more")))
+        rows = rows.filter("NOT coalesce(turn = 0 AND place = 120 OR file = 'pages-3.warc' AND place >= 900, false)").union(more)
+    return rows.withColumn("record", warc_record(F.col("url"), F.col("html"), F.col("key"))).select("file", "page_id", F.sha2("record", 256).alias("tie"), "record")
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixity of pages, written as WARC files and read back, against a replica damaged as page_replica says.
+    Null columns count as empty, repeated rows are records of their own, an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return fixity(page_replica(pages, False), page_replica(pages, True))
+    ours, theirs = (hashed_files(write_warc(page_replica(pages, damaged), "file", ["page_id", "tie"], "record")) for damaged in (False, True))
+    return fixity(ours, theirs)
 
 
 QUERIES = {"op7_warc_fixity": op7_warc_fixity}
 
 
 def oracle() -> str:
-    """Records compared one by one."""
-    head = f"'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || repeat(chr(13) || chr(10), 2) || coalesce(html, '') || repeat(chr(13) || chr(10), 2)"
-
-    def side(damaged: bool) -> str:
-        record = "CASE WHEN page_id % 100 = 37 THEN 'V' || substr(record, 2) ELSE record END" if damaged else "record"
-        where = f"WHERE NOT (file = 'pages-3.warc' AND page_id % {FILE_RECORDS} >= 900)" if damaged else ""
-        return f"""SELECT file, row_number() OVER w - 1 AS node, (sum(n) OVER w - n)::BIGINT AS "offset", n AS length, digest
-  FROM (SELECT page_id, file, strlen(r)::BIGINT AS n, sha256(r) AS digest FROM (SELECT page_id, file, {record} AS r FROM p {where}))
+    """Records compared one by one, by identifier; what stands at another offset is shifted."""
+    def header(name: str, value: str) -> str:
+        return f"chr(13) || chr(10) || '{name}: ' || {value}"
+
+    bare = "translate(coalesce(url, ''), chr(13) || chr(10), '')"
+    record = f"'WARC/1.0' || {header('WARC-Type', chr(39) + 'resource' + chr(39))} || {header('WARC-Record-ID', chr(39) + '<urn:record:' + chr(39) + ' || key || ' + chr(39) + '>' + chr(39))} || {header('WARC-Target-URI', bare)} || {header('Content-Length', 'strlen(body)')} || repeat(chr(13) || chr(10), 2) || body || repeat(chr(13) || chr(10), 2)"
+
+    def side(source: str) -> str:
+        return f"""SELECT file, key, row_number() OVER w - 1 AS node, (sum(n) OVER w - n)::BIGINT AS "offset", n AS length, digest
+  FROM (SELECT page_id, file, key, strlen(r)::BIGINT AS n, sha256(r) AS digest FROM (SELECT page_id, file, key, {record} AS r FROM {source}))
   WINDOW w AS (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
     return f"""
-WITH p AS (SELECT page_id, 'pages-' || floor(coalesce(page_id, -1) / {FILE_RECORDS})::BIGINT || '.warc' AS file, {head} AS record FROM pages),
-a AS ({side(False)}), b AS ({side(True)})
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, page_id::VARCHAR AS key, (page_id // {FILE_RECORDS}) % 3 AS turn, page_id % {FILE_RECORDS} AS place, 'pages-' || page_id // {FILE_RECORDS} || '.warc' AS file FROM pages),
+c AS (SELECT * REPLACE (CASE WHEN turn < 2 AND page_id % 100 = 37 AND starts_with(body, '<') THEN 'X' || substr(body, 2) ELSE body END AS body) FROM p),
+d AS (SELECT * FROM c WHERE NOT (turn = 0 AND place = 120 OR file = 'pages-3.warc' AND place >= 900) UNION ALL SELECT * REPLACE (key || '-more' AS key) FROM c WHERE turn = 0 AND place = 180),
+a AS ({side('p')}), b AS ({side('d')})
 SELECT coalesce(a.file, b.file) AS file, coalesce(a.node, b.node) AS node, coalesce(a."offset", b."offset") AS "offset", coalesce(a.length, b.length) AS length,
-       a.digest AS digest, b.digest AS other_digest,
-       CASE WHEN a.digest IS NULL THEN 'extra' WHEN b.digest IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'corrupt' ELSE 'ok' END AS status
-FROM a FULL JOIN b ON a.file = b.file AND a.node = b.node
+       a.digest AS digest, coalesce(b."offset", -1) AS other_offset, b.digest AS other_digest,
+       CASE WHEN a.digest IS NULL THEN 'extra' WHEN b.digest IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'corrupt' WHEN a."offset" <> b."offset" THEN 'shifted' ELSE 'ok' END AS status
+FROM a FULL JOIN b ON a.file = b.file AND a.key = b.key
 """
 
 
