@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import pieces, table
+from strandmill.llm.common import materialize, named, pieces, table
 
 #: Buckets of the hash, n-gram lengths, and added count of each bucket.
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
@@ -24,7 +24,8 @@ BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 MAX_TRAIN_ROWS = 60_000
 #: More languages than this are refused: the matrix is BUCKETS float32 for each.
 MAX_LANGUAGES = 256
-#: N-grams of a text count as this many at most when its score is worked out, as they are not independent.
+#: N-grams of a text count as this many at most in the score that is told, as they are not independent. The
+#: language is chosen by all of them.
 EVIDENCE = 200.0
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -57,15 +58,22 @@ class Model:
     prior: np.ndarray
     log: np.ndarray
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text under each language, and the number of its n-grams."""
         buckets, counts = grams(texts)
         out = np.empty((len(texts), len(self.languages)))
         owner = np.concatenate([np.repeat(np.arange(len(texts)), c) for c in counts])
         for k, row in enumerate(self.log):
             out[:, k] = np.bincount(owner, row[buckets], minlength=len(texts))
-        n = counts.sum(axis=0)
-        return out * (np.minimum(1, EVIDENCE / np.maximum(n, 1)))[:, None] + self.prior
+        return out, counts.sum(axis=0)
+
+    def choose(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest language of each text, the first by name of equals, and its tempered posterior."""
+        logs, n = self.score(texts)
+        best = (logs + self.prior).argmax(axis=1)
+        told = logs * (np.minimum(1, EVIDENCE / np.maximum(n, 1)))[:, None] + self.prior
+        of_best = told[np.arange(len(texts)), best][:, None]
+        return best, 1 / np.exp(np.minimum(told - of_best, 700)).sum(axis=1)
 
 
 def held_out(id_col: Column) -> Column:
@@ -75,7 +83,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Null texts and languages are not learned from; without any labelled row there are no languages."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(named(lang_col).alias("lang"), named(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.count()
     if total > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / total)))
@@ -83,6 +91,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, n in sums.items():
+                seen = np.flatnonzero(n)
+                yield pa.record_batch({"lang": pa.array([lang] * (len(seen) + 1), pa.string()), "bucket": pa.array(np.append(seen, -1).astype(np.int32)), "n": pa.array(np.append(n[seen], texts[lang]).astype(np.int64))})
+            sums.clear()
+            texts.clear()
+
         for batch in batches:
             at = 0
             for part in pieces(batch.column("text")):
@@ -94,13 +110,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
                 for lang, own in by.items():
                     sums[lang] = sums.get(lang, 0) + np.bincount(grams(own)[0], minlength=BUCKETS)
                     texts[lang] = texts.get(lang, 0) + len(own)
-        for lang, n in sums.items():
-            seen = np.flatnonzero(n)
-            yield pa.record_batch({"lang": pa.array([lang] * (len(seen) + 1), pa.string()), "bucket": pa.array(np.append(seen, -1).astype(np.int32)), "n": pa.array(np.append(n[seen], texts[lang]).astype(np.int64))})
+                    if len(sums) > MAX_LANGUAGES:
+                        yield from told()
+        yield from told()
 
     sums = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    lines = sums.groupBy("lang").agg(F.count(F.lit(1))).limit(MAX_LANGUAGES + 1).collect()
-    if len(lines) > MAX_LANGUAGES:
+    sums = materialize(sums, "language-counts")
+    if sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     frame = sums.toPandas()
     languages = sorted(frame["lang"].unique())
@@ -133,9 +149,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
                     names += [UNDETERMINED] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                logs = m.score(texts)
-                best = logs.argmax(axis=1)
-                odds = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                best, odds = m.choose(texts)
                 for t, k, p in zip(texts, best.tolist(), odds.tolist(), strict=True):
                     known = _LETTER.search(t) is not None
                     names.append(m.languages[k] if known else UNDETERMINED)
@@ -146,6 +160,8 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. Null and letterless texts are UNDETERMINED with score 0; null
+    identifiers count as held out; repeated rows are predicted each; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     model = train(docs.filter(~F.col("held_out")))
     return docs.select("doc_id", "held_out", predict(spark, model, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
