@@ -4,7 +4,8 @@ normal equations, isotonic calibration.
 Statistics are made once for each text, in tasks. The random features approximate a Gaussian kernel over
 the standardised statistics; each task adds up the normal equations of its labelled rows and Spark sums
 those matrices, whose size depends on the number of features only. Raw scores are calibrated by pooling
-adjacent violators over a fixed number of score bins.
+adjacent violators over a fixed number of score bins, on a part of the labelled rows that the regression
+has not seen.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, partitions, pieces, table
+from strandmill.llm.common import materialize, named, partitions, pieces, table
 
 #: Random features, ridge penalty, kernel width over standardised statistics, bins of the calibration.
 FEATURES, PENALTY, WIDTH, BINS, SEED = 192, 1e-3, 4.0, 256, 7
-#: The classifier is fitted on about this many labelled rows at most, those with the smallest hashes.
+#: The classifier is fitted on about this many labelled identifiers at most, those with the smallest hashes.
 MAX_TRAIN_ROWS = 200_000
+#: One of so many labelled rows is kept for the calibration.
+CALIBRATION = 4
 THRESHOLD = 0.3
 
 _GROUPS = {
@@ -124,21 +127,27 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(described: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """described: doc_id, stats; labels: doc_id, quality. Rows without a label of 0 or 1 are not learned
-    from; without any labelled row all scores are 0.5. Repeated labels count each."""
+def known_labels(labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """doc_id, n and positive: how often each document to learn from is labelled, and how often with 1. Labels
+    other than 0 and 1 count as none. At most about max_rows rows, so that they may be broadcast."""
+    rows = labels.filter("quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
+    known = materialize(rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("quality").cast("double").alias("positive")), "labels")
+    total = known.count()
+    return known if total <= max_rows else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / total)))
+
+
+def train(described: DataFrame, known: DataFrame) -> Model:
+    """described: doc_id, stats; known: as of known_labels. Without any labelled row all scores are 0.5.
+    Repeated labels and repeated rows count each."""
     spark = described.sparkSession
-    known = labels.filter("quality IN (0, 1)").select("doc_id", "quality")
-    rows = described.select("doc_id", "stats").filter(~held_out(F.col("doc_id"))).join(known, "doc_id")
-    n = known.count()
-    if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_rows / n)))
-    rows = materialize(rows.select("stats", F.col("quality").cast("double").alias("y")), "quality-train")
+    rows = described.select("doc_id", "stats").join(F.broadcast(known), "doc_id")  # bounded by known_labels
+    rows = materialize(rows.select("stats", "n", "positive", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) != 0).alias("fit")), "quality-train")
     d = len(STATISTICS)
-    sums = rows.agg(F.count(F.lit(1)), *[F.avg(F.col("stats")[k].cast("double")) for k in range(d)], *[F.stddev_pop(F.col("stats")[k].cast("double")) for k in range(d)]).first()
+    sums = rows.agg(F.count(F.lit(1)), *[F.avg(F.col("stats")[k].cast("double")) for k in range(d)], *[F.stddev_pop(F.col("stats")[k].cast("double")) for k in range(d)], F.sum(F.col("fit").cast("int"))).first()
     if not sums[0]:
         return Model(np.zeros(d), np.ones(d))
-    model = Model(np.array(sums[1 : d + 1]), np.maximum(np.array(sums[d + 1 :]), 1e-6))
+    model = Model(np.array(sums[1 : d + 1]), np.maximum(np.array(sums[d + 1 : -1]), 1e-6))
+    split = 0 < sums[-1] < sums[0]  # else all rows serve both ends
 
     def stacked(frame: pd.DataFrame) -> np.ndarray:
         return np.stack(frame["stats"].to_numpy()).astype(np.float64)
@@ -147,30 +156,31 @@ def train(described: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROW
         total = np.zeros((FEATURES + 1, FEATURES + 2))
         for frame in frames:
             if len(frame):
-                x = model.features(stacked(frame))
-                total += x.T @ np.column_stack([x, frame["y"].to_numpy()])
+                x, n = model.features(stacked(frame)), frame["n"].to_numpy()
+                total += x.T @ np.column_stack([x * n[:, None], frame["positive"].to_numpy()])
         yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": frame["i"].iloc[:1], "row": [np.sum(np.stack(frame["row"].to_numpy()), axis=0)]})
 
     few = rows.coalesce(partitions(spark))
+    seen, unseen = (few.filter("fit"), few.filter("NOT fit")) if split else (few, few)
     kind = "i int, row array<double>"
-    found = few.mapInPandas(equations, kind).groupBy("i").applyInPandas(added, kind).toPandas().sort_values("i")
+    found = seen.mapInPandas(equations, kind).groupBy("i").applyInPandas(added, kind).toPandas().sort_values("i")
     both = np.stack(found["row"].to_numpy())
-    model.weights = np.linalg.solve(both[:, :-1] + PENALTY * np.eye(len(both)) * sums[0] / len(both), both[:, -1])
+    model.weights = np.linalg.solve(both[:, :-1] + PENALTY * np.eye(len(both)) * both[-1, -2] / len(both), both[:, -1])  # the constant's sum is the number of labels
 
     def binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, positive = np.zeros(BINS), np.zeros(BINS)
         for frame in frames:
             if len(frame):
                 k = model.bins(stacked(frame))
-                total += np.bincount(k, minlength=BINS)
-                positive += np.bincount(k, frame["y"].to_numpy(), minlength=BINS)
+                total += np.bincount(k, frame["n"].to_numpy(), minlength=BINS)
+                positive += np.bincount(k, frame["positive"].to_numpy(), minlength=BINS)
         k = np.flatnonzero(total)
         yield pd.DataFrame({"bin": k, "n": total[k], "p": positive[k]})
 
-    hist = few.mapInPandas(binned, "bin int, n double, p double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toPandas()
+    hist = unseen.mapInPandas(binned, "bin int, n double, p double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toPandas()
     total, positive = np.zeros(BINS), np.zeros(BINS)
     total[hist["bin"]], positive[hist["bin"]] = hist["n"], hist["p"]
     model.levels = isotonic(total, positive)
@@ -191,19 +201,37 @@ def score_column(spark: SparkSession, model: Model, stats: Column) -> Column:
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the statistics of each text, written once; null counts as empty."""
-    return materialize(docs.select(F.col(id_col).alias("doc_id"), statistics_column(F.col(text_col)).alias("stats")), "statistics")
+    return materialize(docs.select(named(id_col).alias("doc_id"), statistics_column(named(text_col)).alias("stats")), "statistics")
+
+
+def text_score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Scores straight from texts, for those whose statistics serve nothing else."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [statistics(x or b"") for part in pieces(batch) for x in part.cast(pa.binary()).to_pylist()]
+            yield pa.array(shared.value.score(np.stack(rows).astype(np.float32).astype(np.float64)) if rows else np.empty(0), pa.float64())
+
+    return score(text)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all their columns, that score at least threshold."""
-    model = train(describe(docs, id_col, text_col), labels)
-    return docs.filter(score_column(docs.sparkSession, model, statistics_column(F.col(text_col))) >= threshold)
+    """The rows of docs, all their columns, that score at least threshold. Only labelled texts are described
+    to learn from them; then all are scored in one pass."""
+    known = known_labels(labels)
+    ids = F.broadcast(known.select(F.col("doc_id").alias("known_id")))  # bounded by known_labels
+    labelled = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("known_id"), "left_semi")
+    model = train(describe(labelled), known)
+    return docs.filter(text_score_column(docs.sparkSession, model, named(text_col)) >= threshold)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, repeated identifiers included."""
+    """The score of every document. Null texts count as empty, null identifiers are held out, repeated rows
+    are scored each, an empty table gives no rows."""
     described = describe(table(spark, sf_dir, "documents"))
-    model = train(described, table(spark, sf_dir, "labels"))
+    model = train(described, known_labels(table(spark, sf_dir, "labels")))
     scored = described.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(spark, model, F.col("stats")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
