@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, pieces, table
+from strandmill.llm.common import materialize, named, pieces, table
 
-#: Samples in a row of the images that hold a payload; edge of a tile.
-WIDTH, TILE = 64, 32
-_HEADER = re.compile(rb"P([256])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
+#: Samples in a row of the images that hold a payload; edge of a tile; samples summed up at a time.
+WIDTH, TILE, BLOCK = 64, 16, 1 << 18
+_GAP = rb"(?:\s|#[^\n]*\n)+"
+_HEADER = re.compile(rb"P([1-6])" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)")
+_MAXVAL = re.compile(_GAP + rb"(\d+)")
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -39,54 +41,102 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return head + palette.tobytes() + rows.tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """Array of height x width (P2, P5) or height x width x 3 (P6); 16-bit samples if maxval is over 255."""
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Array of height x width (P1, P2, P4, P5) or height x width x 3 (P3, P6), and the greatest value that a
+    sample may have; 16-bit samples if that is over 255. Bitmaps have 1 for white."""
     m = _HEADER.match(data)
     if not m:
-        raise ValueError("not a P2, P5 or P6 image")
-    kind, w, h, most = (int(x) for x in m.groups())
-    shape = (h, w, 3) if kind == 6 else (h, w)
-    if kind == 2:
-        return np.array(data[m.end() :].split(), np.uint16 if most > 255 else np.uint8).reshape(shape)
-    dtype = np.dtype(">u2" if most > 255 else "u1")
-    return np.frombuffer(data, dtype, int(np.prod(shape)), m.end()).reshape(shape)
-
-
-def decode_bmp(data: bytes) -> np.ndarray:
-    """Array of height x width (8 bits, grey palette) or height x width x 3 in RGB order (24 and 32 bits)."""
+        raise ValueError("not a Netpbm image")
+    kind, w, h = map(int, m.groups())
+    at, most = m.end(), 1
+    if kind not in (1, 4):
+        n = _MAXVAL.match(data, at)
+        if not n or not 0 < int(n[1]) < 1 << 16:
+            raise ValueError("no valid greatest value")
+        at, most = n.end(), int(n[1])
+    shape = (h, w, 3) if kind in (3, 6) else (h, w)
+    size = int(np.prod(shape))
+    if kind == 1:  # digits may touch each other
+        found = np.frombuffer(re.sub(rb"#[^\n]*|[^01]", b"", data[at:]), np.uint8)[:size]
+        return (ord("1") - found).reshape(shape), most
+    if kind < 4:
+        found = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:size], np.int64)
+        return checked(found, most).astype(np.uint16 if most > 255 else np.uint8).reshape(shape), most
+    at += 1  # one white space
+    if kind == 4:
+        rows = np.frombuffer(data, np.uint8, h * -(-w // 8), at).reshape(h, -(-w // 8))
+        return 1 - np.unpackbits(rows, axis=1)[:, :w], most
+    return checked(np.frombuffer(data, np.dtype(">u2" if most > 255 else "u1"), size, at), most).reshape(shape), most
+
+
+def checked(samples: np.ndarray, most: int) -> np.ndarray:
+    if len(samples) and int(samples.max()) > most:
+        raise ValueError("a sample is over the greatest value")
+    return samples
+
+
+def decode_bmp(data: bytes) -> tuple[np.ndarray, int]:
+    """Array of height x width (a palette of greys) or height x width x 3 in RGB order, of 1, 4, 8, 16 (five
+    bits a colour, scaled up), 24 or 32 bits, uncompressed; and 255."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     at, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed or bits not in (8, 24, 32):
+    if packed or bits not in (1, 4, 8, 16, 24, 32) or w <= 0:
         raise ValueError(f"BMP with {bits} bits and compression {packed}")
-    stride, n = (w * bits // 8 + 3) // 4 * 4, bits // 8
-    rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * n]
+    stride = (w * bits + 31) // 32 * 4
+    rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
-    if n > 1:
-        return rows.reshape(abs(h), w, n)[:, :, 2::-1]
-    colours = np.frombuffer(data, np.uint8, 1024, 14 + size).reshape(256, 4)[:, 2::-1]
-    return colours[:, 0][rows] if (colours == colours[:, :1]).all() else colours[rows]
-
-
-def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    if bits >= 24:
+        return rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1], 255
+    if bits == 16:
+        pairs = np.ascontiguousarray(rows[:, : 2 * w]).view("<u2")
+        return np.stack([(pairs >> k & 31) * 255 // 31 for k in (10, 5, 0)], axis=2).astype(np.uint8), 255
+    index = rows if bits == 8 else np.stack([rows >> k & (1 << bits) - 1 for k in range(8 - bits, -1, -bits)], axis=2).reshape(abs(h), -1)
+    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    colours = np.frombuffer(data, np.uint8, 4 * used, 14 + size).reshape(used, 4)[:, 2::-1]
+    index = index[:, :w]
+    if index.size and int(index.max()) >= used:
+        raise ValueError("a sample is beyond the palette")
+    return (colours[:, 0][index] if (colours == colours[:, :1]).all() else colours[index]), 255
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples and their greatest value; ValueError for bytes that are no image of these kinds."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"damaged image: {e}") from e
+
+
+def integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted rows of the integral image, which has one row and column more than the image; a block of
+    the image's rows is summed up at a time."""
+    h, w = image.shape
+    out, before = np.zeros((len(wanted), w + 1)), np.zeros(w)
+    step = max(1, BLOCK // max(w, 1))
+    for a in range(0, h, step):
+        sums = before + np.cumsum(image[a : a + step], axis=0, dtype=np.float64)
+        inside = (wanted > a) & (wanted <= a + len(sums))
+        out[inside, 1:] = sums[wanted[inside] - a - 1]
+        before = sums[-1]
+    return np.cumsum(out, axis=1, out=out)
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target cell's area of a two-dimensional image, from its integral image; a cell's
     edges may lie within samples."""
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    total[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
 
-    def between(sums: np.ndarray, size: int, cells: int) -> np.ndarray:
+    def edges(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(cells + 1) * (size / cells)
         low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low)[:, None]
-        return np.diff(sums[low] * (1 - part) + sums[low + 1] * part, axis=0)
+        return low, (edge - low)[:, None]
 
-    rows = between(total, h, height)
-    return between(rows.T, w, width).T * (height * width / (h * w))
+    low, part = edges(h, height)
+    sums = integral_rows(image, low) * (1 - part) + integral_rows(image, low + 1) * part
+    rows = np.diff(sums, axis=0)
+    low, part = edges(w, width)
+    return np.diff(rows.T[low] * (1 - part) + rows.T[low + 1] * part, axis=0).T * (height * width / (h * w))
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -95,10 +145,10 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def tile(image: np.ndarray, edge: int = TILE) -> bytes:
-    """NPY bytes of the image resized to edge x edge uint8."""
+def tile(image: np.ndarray, most: int = 255, edge: int = TILE) -> bytes:
+    """NPY bytes of the image resized to edge x edge uint8, `most` becoming 255."""
     out = io.BytesIO()
-    np.save(out, np.round(area_resize(image, edge, edge)).clip(0, 255).astype(np.uint8))
+    np.save(out, np.round(area_resize(image, edge, edge) * (255 / most)).clip(0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -106,23 +156,33 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image.mean(axis=2)
 
 
+FEATURES = {"height": pa.int32(), "width": pa.int32(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "tile": pa.binary(), "error": pa.string()}
+_KIND = "struct<height: int, width: int, payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, feature: string, tile: binary, error: string>"
+
+
+def described(data: bytes) -> dict:
+    """FEATURES of one image: digests of its bytes and of its samples, difference hash and tile. What can't be
+    decoded has media_bytes, media_sha256 and error only."""
+    stored = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+    try:
+        image, most = decode(data)
+        if not image.size:
+            raise ValueError("an image without samples")
+    except ValueError as e:
+        return stored | {"error": str(e)}
+    payload, plain = image.tobytes(), grey(image)
+    shape = {"height": image.shape[0], "width": image.shape[1], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest()}
+    return stored | shape | {"tail_crc32": zlib.crc32(payload[-64:]), "feature": difference_hash(plain), "tile": tile(plain, most)}
+
+
 def media_features(media: Column) -> Column:
-    """Struct of height, width, tile (NPY), dhash and the decoded samples; null for null media."""
+    """Struct of FEATURES, null for null media: never the samples themselves, so that a row stays small."""
 
-    @F.arrow_udf("struct<height: int, width: int, tile: binary, dhash: string, samples: binary>")
+    @F.arrow_udf(_KIND)
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string()), ("samples", pa.binary())])
         for batch in batches:
-            out = []
-            for part in pieces(batch):
-                for data in part.to_pylist():
-                    if data is None:
-                        out.append(None)
-                        continue
-                    image = decode(data)
-                    plain = grey(image)
-                    out.append({"height": image.shape[0], "width": image.shape[1], "tile": tile(plain), "dhash": difference_hash(plain), "samples": image.tobytes()})
-            yield pa.array(out, kind)
+            rows = [None if data is None else described(data) for part in pieces(batch) for data in part.to_pylist()]
+            yield pa.array(rows, pa.struct(list(FEATURES.items())))
 
     return features(media)
 
@@ -142,36 +202,25 @@ def text_media(text: Column) -> Column:
     return images(text)
 
 
-def read_back(media: Column) -> Column:
-    """Digests of stored media and of the samples they hold, with the features: never the samples
-    themselves, so that a row stays small."""
-
-    @F.arrow_udf("struct<payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, feature: string, tile_sha256: string>")
-    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string())]
-        for batch in batches:
-            rows = []
-            for part in pieces(batch):
-                for data in part.to_pylist():
-                    image = decode(data)
-                    payload = image.tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), hashlib.sha256(tile(image)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, names, strict=True)], [n for n, _ in names])
-
-    return digests(media)
-
-
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Table of id_col, n_bytes and media, written to the shared folder and read back: the UTF-8 bytes of
     each text as an image. Null counts as empty (one row of zeros); repeated rows are stored each."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return materialize(docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), text_media(text).alias("media")), "media", "zstd")
+    text = F.coalesce(named(text_col), F.lit(""))
+    return materialize(docs.select(named(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), text_media(text).alias("media")), "media", "zstd")
+
+
+def tile_table(stored: DataFrame, media_col: str = "media") -> DataFrame:
+    """stored with the fields of media_features (replaced if there are any) in place of the media, written to
+    the shared folder: NPY tiles, difference hashes and digests of each row."""
+    others = [named(c) for c in stored.columns if c not in (media_col, *FEATURES)]
+    return materialize(stored.select(*others, media_features(named(media_col)).alias("media")).select(*others, "media.*"), "tiles", "zstd")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_texts(table(spark, sf_dir, "documents"))
-    return stored.select("doc_id", "n_bytes", read_back(F.col("media")).alias("m")).select("doc_id", "n_bytes", "m.*")
+    """What the tiles' table tells of documents stored as images. Null texts count as empty (one row of
+    zeros), repeated rows are stored each, an empty table gives no rows."""
+    tiles = tile_table(store_texts(table(spark, sf_dir, "documents")))
+    return tiles.select("doc_id", "n_bytes", *list(FEATURES)[2:8], F.sha2("tile", 256).alias("tile_sha256"))
 
 
 QUERIES = {"op4_media": op4_media}
