@@ -13,20 +13,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from re import _constants as sre  # Python 3.11 or later
+from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import pieces, table
-
-try:
-    from re import _constants as sre
-    from re import _parser as parser
-except ImportError:  # before Python 3.11
-    import sre_constants as sre
-    import sre_parse as parser
+from strandmill.llm.common import named, pieces, table
 
 #: Alternatives of an OR that are told apart; beyond, the part of the regex asks for nothing.
 MAX_ALTERNATIVES = 64
@@ -64,34 +59,48 @@ MORE = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("url_password", r"[a-z]+://[A-Za-z0-9._-]+:[^\s:@/]{3,}@"),
+    # A run of letters is passed over whole, found or not, so that time stays linear in the text.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+(\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?", 1),
+    Rule("url_password", r"(?<![a-z])[a-z]+://[A-Za-z0-9._-]+:[^\s:@/]{3,}@"),
 )
 RULES = (*BASE, *MORE)
 
 
-def alternatives(node) -> list[str] | None:
+def lower(text: str) -> str:
+    """A-Z only, as bytes.lower() does with the texts."""
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def spellings(code: int, loose: bool) -> str | None:
+    """A literal in lower case. loose: letters match in any case, as Unicode has it: i, k and s have partners
+    beyond A-Z, and other signs may have, so nothing is asked of them."""
+    c = chr(code)
+    return lower(c) if not loose or c.isascii() and c not in "iksIKS" else None
+
+
+def alternatives(node, loose: bool = False) -> list[str] | None:
     """The strings, in lower case, that a part of a parsed regex can be, if they are few; else None."""
     op, arg = node
     if op is sre.LITERAL:
-        return [chr(arg).lower()]
+        c = spellings(arg, loose)
+        return None if c is None else [c]
     if op is sre.IN:
-        chars = set()
+        chars: set[str | None] = set()
         for kind, x in arg:
             if kind is sre.LITERAL:
-                chars.add(chr(x).lower())
+                chars.add(spellings(x, loose))
             elif kind is sre.RANGE and x[1] - x[0] < 8:
-                chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
+                chars |= {spellings(c, loose) for c in range(x[0], x[1] + 1)}
             else:
                 return None
-        return sorted(chars) if len(chars) <= 8 else None
+        return sorted(chars) if None not in chars and len(chars) <= 8 else None
     if op is sre.SUBPATTERN:
-        return sequence(arg[3])
+        return sequence(arg[3], looseness(arg[1], arg[2], loose))
     if op is sre.BRANCH:
-        own = [sequence(x) for x in arg[1]]
+        own = [sequence(x, loose) for x in arg[1]]
         return None if None in own else sorted({s for x in own for s in x})
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] is not sre.MAXREPEAT and arg[1] <= 8:
-        own = sequence(arg[2])
+        own = sequence(arg[2], loose)
         if own is None:
             return None
         out, some = [""] if arg[0] == 0 else [], [""]
@@ -101,13 +110,20 @@ def alternatives(node) -> list[str] | None:
                 return None
             out += some if k >= arg[0] else []
         return sorted(set(out))
-    return [""] if op is sre.AT else None
+    return [""] if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT) else None
+
+
+def looseness(added: int, removed: int, loose: bool) -> bool:
+    """Whether letters match in any case beyond A-Z under these changes of flags."""
+    if added & re.ASCII:
+        return False
+    return bool(added & re.IGNORECASE) or loose and not removed & re.IGNORECASE
 
 
-def sequence(nodes) -> list[str] | None:
+def sequence(nodes, loose: bool = False) -> list[str] | None:
     out = [""]
     for node in nodes:
-        own = alternatives(node)
+        own = alternatives(node, loose)
         if own is None or len(own) * len(out) > MAX_ALTERNATIVES:
             return None
         out = [a + b for a in out for b in own]
@@ -126,9 +142,9 @@ def trigram_query(pattern: str) -> list[list[frozenset[bytes]]]:
             clauses.append(sorted(sets, key=sorted))
         exact[:] = [""]
 
-    def walk(nodes) -> None:
+    def walk(nodes, loose: bool) -> None:
         for node in nodes:
-            own = alternatives(node)
+            own = alternatives(node, loose)
             if own is not None and len(own) * len(exact) <= MAX_ALTERNATIVES:
                 exact[:] = [a + b for a in exact for b in own]
                 continue
@@ -137,13 +153,14 @@ def trigram_query(pattern: str) -> list[list[frozenset[bytes]]]:
             if own is not None:
                 exact[:] = own
             elif op is sre.SUBPATTERN:
-                walk(arg[3])
+                walk(arg[3], looseness(arg[1], arg[2], loose))
                 close()
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-                walk(arg[2])
+                walk(arg[2], loose)
                 close()
 
-    walk(parser.parse(pattern))
+    parsed = parser.parse(pattern)
+    walk(parsed, looseness(parsed.state.flags, 0, False))
     close()
     return clauses
 
@@ -213,7 +230,7 @@ def scan(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with all rows and columns and `secrets`, the spans of its secrets (replaced if there is one)."""
-    return docs.withColumn("secrets", scan(F.col(text_col), rules))
+    return docs.withColumn("secrets", scan(named(text_col), rules))
 
 
 def joined(spans: Column, order: dict[str, int]) -> Column:
@@ -224,6 +241,8 @@ def joined(spans: Column, order: dict[str, int]) -> Column:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document. Null and empty texts have none, repeated rows are searched each, an
+    empty table gives no rows."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     order = {r.kind: k for k, r in enumerate(RULES)}
     def of(*kinds: str) -> Column:
