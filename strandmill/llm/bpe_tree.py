@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import pieces, table
+from strandmill.llm.common import named, pieces, table
 from strandmill.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, BatchEncoder, classes, ranks
 
 #: Code points of a part that is not halved further, and of the first window on either side of a seam.
@@ -143,10 +143,12 @@ def tree_bpe(text: Column, path: str | None = None, with_ids: bool = True) -> Co
 
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
     """docs with all rows and columns and a struct column `bpe` (replaced if there is one)."""
-    return docs.withColumn("bpe", tree_bpe(F.col(text_col), path, with_ids))
+    return docs.withColumn("bpe", tree_bpe(named(text_col), path, with_ids))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and its bytes decoded from them. Null counts as empty, an empty text has no
+    tokens, repeated rows are encoded each, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_documents(docs, with_ids=False).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 

@@ -18,8 +18,9 @@ import pyarrow as pa
 import regex
 
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
-#: Entries of a worker's cache; it is emptied when full, so its memory is bounded.
-CACHED = 1_000_000
+#: Bytes of matches and ids in a worker's cache, which is emptied when full; its memory is some times that,
+#: for the overhead of its entries. Longer matches than LONG bytes are not kept at all.
+CACHED, LONG = 16 << 20, 256
 
 
 @cache
@@ -89,7 +90,7 @@ class BatchEncoder:
     """Encodes texts by a function from matches to id lists."""
 
     def __init__(self, encode: Callable[[list[bytes]], Iterable[list[int]]]):
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.held = encode, {}, 0
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
@@ -98,13 +99,19 @@ class BatchEncoder:
         matches, ends = split(texts)
         coded = matches.dictionary_encode()
         unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > CACHED:
+        if self.held > CACHED:
             self.known.clear()
-        known = self.known
+            self.held = 0
+        known, once = self.known, {}
         new = [m for m in unique if m not in known]
         for m, ids in zip(new, self.encode(new), strict=True):
-            known[m] = np.array(ids, np.uint32).tobytes()
-        parts = [known[m] for m in unique]
+            coded_ids = np.array(ids, np.uint32).tobytes()
+            if len(m) > LONG:
+                once[m] = coded_ids
+            else:
+                known[m] = coded_ids
+                self.held += len(m) + len(coded_ids)
+        parts = [known[m] if m in known else once[m] for m in unique]
         flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.cumsum(sizes) - sizes

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, partitions, pieces, table, work_path
+from strandmill.llm.common import materialize, named, partitions, pieces, split_uri, table, work_path
 from strandmill.llm.pretokens import BatchEncoder
 
 HEAD, TAIL = b"ZTIDS1\n", b"ZTIDX1\n"
 LEVEL, DICTIONARY_BYTES = 3, 65_536
-#: The dictionary is trained on this many documents at most, those with the smallest hashes, and on so
-#: many ids of each; it decides sizes only, never contents.
-SAMPLE_ROWS, SAMPLE_IDS = 512, 8_192
+#: The dictionary is trained on this many documents at most, those with the smallest hashes, and of each on
+#: so many pieces of so many ids, spread evenly over it: 8 MB at two bytes an id. It decides sizes only,
+#: never contents.
+SAMPLE_ROWS, SAMPLE_PIECES, PIECE_IDS = 512, 16, 512
 BATCH_IDS = 1 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("named", "<u1"), ("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("n", "<u8")])
 
@@ -46,19 +48,45 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> BatchEncoder:
-    """Encodes with the tokenizers library, each distinct match of the splitting pattern once; strings of
-    special tokens are ordinary text, and none is added."""
+def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return BatchEncoder(lambda new: (e.ids for e in tokenizer.encode_batch_fast([m.decode() for m in new], add_special_tokens=False)) if new else [])
+    return Tokenizer.from_file(path)
+
+
+def id_width(path: str) -> int:
+    """Bytes that hold every id of the vocabulary: 2 or 4."""
+    return 2 if max(load(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
+
+
+def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Encodes as the tokenizers library does without adding special tokens, but each distinct match of the
+    splitting pattern once. Texts that hold an added token's string go to the library whole."""
+    tokenizer = load(path)
+    batch = BatchEncoder(lambda new: (e.ids for e in tokenizer.encode_batch_fast([m.decode() for m in new], add_special_tokens=False)) if new else [])
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    holds = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        plain = iter(batch([t for t in texts if not holds(t)]))
+        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if holds(t) else next(plain) for t in texts]
+
+    return encode
+
+
+def sampled(ids: np.ndarray, pieces: int = SAMPLE_PIECES, size: int = PIECE_IDS) -> list[np.ndarray]:
+    """Up to `pieces` pieces of ids, spread evenly."""
+    if len(ids) <= pieces * size:
+        return [ids[i : i + size] for i in range(0, len(ids), size)]
+    return [ids[a : a + size] for a in np.linspace(0, len(ids) - size, pieces).astype(int).tolist()]
 
 
 def serialised(ids: np.ndarray, end: int | None, width: int) -> bytes:
+    """Little-endian ids with the end id, `width` bytes each; ids that need more raise ValueError."""
     ids = ids if end is None else np.append(ids, np.uint32(end))
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"id {ids.max()} needs more than {width} bytes")
     return ids.astype(f"<u{width}").tobytes()
 
 
@@ -70,10 +98,6 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
-def split_uri(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class TokenFile:
     """Random access to one file."""
 
@@ -100,22 +124,24 @@ class TokenFile:
         return np.frombuffer(self.plain.decompress(frame, max_output_size=max(1, int(x["n"]) * self.width)), f"<u{self.width}")
 
 
-def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int | None = 0, width: int = 2) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int | None = 0, width: int | None = None) -> tuple[DataFrame, str]:
     """Writes the files into a new shared folder; returns the manifest (file, part, documents, tokens) with
     a row for each file, and the folder. Null texts count as empty; documents stand by identifier (nulls
-    first), repeated ones by a hash of their text. width: bytes of an id, 2 for vocabularies up to 65,536."""
+    first), repeated ones by a hash of their text. width: bytes of an id, those that the vocabulary needs
+    if None."""
     spark = docs.sparkSession
     path = path or vocabulary()
+    width = width or id_width(path)
     folder = work_path(spark, "tokens")
     system, root = split_uri(folder)
     system.create_dir(root)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).cast("bigint").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             for part in pieces(batch.column("text")):
-                yield pa.record_batch({"ids": pa.array([serialised(x[:SAMPLE_IDS], end, width) for x in encode(part.to_pylist())], pa.binary())})
+                yield pa.record_batch({"ids": pa.array([serialised(piece, None, width) for x in encode(part.to_pylist()) for piece in sampled(x)], pa.binary())})
 
     chosen = rows.select("doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE_ROWS)
     most = chosen.agg(F.max("h")).first()[0]
@@ -189,6 +215,8 @@ def placed(manifest: DataFrame) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What token files of documents hold, read back from them. Null texts count as empty, null identifiers
+    come first, repeated rows are stored each, an empty table gives no rows."""
     manifest, folder = write_tokens(table(spark, sf_dir, "documents"))
     return read_tokens(placed(manifest).repartition(partitions(spark), "file"), folder)
 
