@@ -1,12 +1,13 @@
 """Near-duplicates by true similarity: texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 or more, and whatever chains of such links reach.
 
-Candidates come from prefix filtering, which misses none: if shingles have one order for all texts, two
-similar texts share one of the first n - ceil(0.8 n) + 1 of their n. The order puts shingles of rarely met
-hash buckets first, so that common lines and passages are seldom among them; it decides the cost only.
-A shingle first links its texts to one of them, in numbers linear in its texts; then only pairs are made
-that lie in different components so far. Every link is verified on both whole sets. Shingles are compared
-by their XXH64.
+The first candidates come from SimHash balls, as in simhash.py; but 64 bits can't promise a similarity, so
+more come from prefix filtering, which misses none: if shingles have one order for all texts, two similar
+texts share one of the first n - ceil(0.8 n) + 1 of their n. The order puts shingles of rarely met hash
+buckets first, so that common lines and passages are seldom among them; it decides the cost only. A shingle
+first links its texts to one of them, in numbers linear in its texts; then only pairs are made that lie in
+different components so far. Every link is verified on both whole sets, and only texts that some candidate
+names are fetched for that. Shingles are compared by their XXH64.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, pieces
-from strandmill.llm.simhash import components, one_for_each_root, shingle_hashes, text_digest
+from strandmill.llm.common import few, materialize, named, pieces
+from strandmill.llm.simhash import ball_links, components, fingerprint_of, one_for_each_root, shingle_hashes, text_digest
 
-WORDS = 5
+#: Words of a shingle; bits at which fingerprints give candidates.
+WORDS, RADIUS = 5, 2
 #: Counters of shingle hashes; their table goes to the driver and to tasks, whatever the input's size.
 BUCKETS = 1 << 16
 
@@ -46,7 +48,7 @@ def bucket_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
         yield pa.record_batch({"bucket": pa.array(met, pa.int64()), "n": pa.array(total[met], pa.int64())})
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select(text_col).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(named(text_col)).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -57,17 +59,20 @@ def prefix_length(n: int) -> int:
 
 
 def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
-    @F.arrow_udf("struct<signature:string,n:int,prefix:array<bigint>>")
+    """Struct of signature (of the set), n (its size), fp (SimHash) and prefix."""
+    names = [("signature", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+
+    @F.arrow_udf("struct<signature:string,n:int,fp:bigint,prefix:array<bigint>>")
     def prefix(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            signatures, sizes, firsts = [], [], []
+            rows = []
             for x in pc.cast(batch, pa.binary()).to_pylist():
-                found = shingle_set(x, words)
+                hashes = shingle_hashes(x or b"", words)
+                found = np.unique(hashes)
                 order = np.lexsort((found, counts[(found % np.uint64(BUCKETS)).astype(np.int64)]))
-                signatures.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest())
-                sizes.append(len(found))
-                firsts.append(found[order[: prefix_length(len(found))]].view(np.int64).tolist())
-            yield pa.StructArray.from_arrays([pa.array(signatures, pa.string()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["signature", "n", "prefix"])
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), len(found), fingerprint_of(hashes), found[order[: prefix_length(len(found))]].view(np.int64)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, names, strict=True)], [name for name, _ in names])
 
     return prefix(text)
 
@@ -86,35 +91,47 @@ def reachable(na: str, nb: str, shared: str) -> Column:
     return F.expr(f"9 * ({shared}) >= 4 * ({na} + {nb})")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar. The texts of those nodes alone are fetched."""
+    pairs = materialize(pairs.filter("a < b").distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = materialize(asked.join(rows.select("node", F.col("digest").alias("needed")), "node"), "needed")
+    texts = docs.select(text_digest(named(text_col)).alias("digest"), named(text_col).alias("text"))
+    texts = texts.join(few(needed.select("needed")), F.col("digest") == F.col("needed"), "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    sets = materialize(texts.join(needed, F.col("digest") == F.col("needed")).select("node", set_column(F.col("text"), words).alias("shingles")), "shingle-sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    return both.filter(reachable("size(set_a)", "size(set_b)", "size(array_intersect(set_a, set_b))")).select("a", "b")
+    similar = both.filter(reachable("size(set_a)", "size(set_b)", "size(array_intersect(set_a, set_b))"))
+    return materialize(similar.select("a", "b"), "similar")
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) from fingerprints: all nodes of a fingerprint with the first of them, and the first
+    ones of fingerprints that ball hashing links."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = nodes.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of_a, of_b = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    linked = ball_links(firsts.select("fp"), RADIUS).join(of_a, "a").join(of_b, "b").select("first_a", "first_b")
+    return equal.union(linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
 
 
 def similar_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, digest of the text, root of its component."""
-    text = F.col(text_col)
+    text = named(text_col)
     counts = bucket_counts(docs, text_col, words)
-    rows = docs.select(F.col(id_col).alias("id"), text_digest(text).alias("digest"), prefixes(text, counts, words).alias("p")).select("id", "digest", "p.*")
-    rows = materialize(rows, "shingle-prefixes")
-    nodes = rows.groupBy("signature").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
+    rows = docs.select(named(id_col).alias("id"), text_digest(text).alias("digest"), prefixes(text, counts, words).alias("p")).select("id", "digest", "p.*")
+    rows = materialize(rows.withColumn("node", F.monotonically_increasing_id()), "shingle-prefixes")
+    # Texts of equal signature have equal sets: the first one stands for all.
+    firsts = rows.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("signature", "first")
+    copies = materialize(rows.select("signature", "node").join(firsts, "signature").filter("node > first").select(F.col("node").alias("copy"), "first"), "copies")
+    nodes = rows.join(few(copies.select("copy")), F.col("node") == F.col("copy"), "left_anti")
 
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    heads = postings.groupBy("shingle").agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.count(F.lit(1)).alias("met")).filter("met > 1").drop("met")
+    heads = postings.groupBy("shingle").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
     shared = materialize(postings.join(heads, "shingle"), "shared-shingles")
-
-    # Texts of equal signature have equal sets, so any one of them will do; null texts have no shingles.
-    needed = shared.select("node").distinct().join(nodes.select("node", F.col("digest").alias("needed")), "node")
-    texts = docs.select(text_digest(text).alias("digest"), text.alias("text"))
-    texts = texts.join(needed.select("needed"), F.col("digest") == F.col("needed"), "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    sets = texts.join(needed, F.col("digest") == F.col("needed")).select("node", set_column(F.col("text"), words).alias("shingles"))
-    sets = materialize(sets, "shingle-sets")
-
-    stars = shared.filter("node > head.node").filter(reachable("n", "head.n", "least(n - pos, head.n - head.pos)"))
-    first = materialize(verified(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), sets), "similar")
+    of_head = shared.filter("node = head").select("shingle", F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
+    stars = shared.filter("node > head").join(of_head, "shingle").filter(reachable("n", "head_n", "least(n - pos, head_n - head_pos)"))
+    first = verified(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(print_pairs(nodes.select("node", "fp"))), rows, docs, text_col, words)
     reached = components(first)
     open_ = shared.drop("head").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = materialize(open_, "shared-shingles")
@@ -122,14 +139,15 @@ def similar_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = open_.join(split, "shingle", "left_semi")
     a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root")]) for x in "ab")
     met = a.join(b, "shingle").filter("node_a < node_b AND root_a <> root_b").filter(reachable("n_a", "n_b", "least(n_a - pos_a, n_b - pos_b)"))
-    second = verified(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets)
+    second = verified(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), rows, docs, text_col, words)
 
-    roots = components(first.union(second))
-    placed = nodes.select("signature", "node").join(roots, "node", "left").select("signature", F.coalesce("root", "node").alias("root"))
-    return rows.select("id", "digest", "signature").join(placed, "signature").select("id", "digest", "root")
+    roots = components(first.union(second)).select(F.col("node").alias("own"), "root")
+    own = rows.select("id", "digest", "node").join(copies, F.col("node") == F.col("copy"), "left").select("id", "digest", F.coalesce("first", "node").alias("node"))
+    return own.join(roots, F.col("node") == F.col("own"), "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row of docs, all its columns, for each component of similar texts: that with the smallest
     identifier, nulls last. Null and wordless texts are one component; an empty table gives none."""
-    return one_for_each_root(docs, similar_roots(docs, id_col, text_col, words), id_col, text_col)
+    roots = materialize(similar_roots(docs, id_col, text_col, words), "similar-roots")
+    return one_for_each_root(docs, roots, id_col, text_col)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, table
+from strandmill.llm.common import all_columns, few, materialize, named, partitions, table
 
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
@@ -43,8 +43,12 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
-    """Signed 64-bit SimHash: a bit is set if it is set in over half of the shingle hashes; 0 without words."""
-    hashes = shingle_hashes(text, words)
+    """Signed 64-bit SimHash of the shingles; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
         block = np.ascontiguousarray(hashes[i : i + BLOCK], "<u8")
@@ -70,11 +74,12 @@ def ball(radius: int) -> list[int]:
 
 def ball_links(prints: DataFrame, radius: int) -> DataFrame:
     """Links (a, b), a < b, at most radius bits apart, that span the components of all such links.
-    prints: distinct values in column fp."""
+    prints: distinct values in column fp. They are dealt out first: a few MB become many times as much."""
     if radius % 2:
         raise ValueError("the radius must be even: balls of half the radius meet in the middle")
     masks = F.explode(F.array(*[F.lit(m).cast("bigint") for m in ball(radius // 2)]))
-    variants = prints.select("fp", masks.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    dealt = prints.repartition(partitions(prints.sparkSession), "fp")
+    variants = dealt.select("fp", masks.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.withColumn("a", F.min("fp").over(Window.partitionBy("variant"))).filter("a <> fp")
     return met.select("a", F.col("fp").alias("b")).filter(F.expr(f"bit_count(a ^ b) <= {radius}")).distinct()
 
@@ -118,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null identifiers never become a component_id unless a component has no other. Repeated rows give
     repeated rows; an empty table gives none; other columns of docs are not read.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")), "fingerprints")
+    rows = materialize(docs.select(named(id_col).alias("id"), fingerprint_column(named(text_col), words).alias("fp")), "fingerprints")
     placed = print_roots(rows, radius)
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("members").alias("component_size"))
     by_print = placed.select("fp", "root").join(whole, "root").select("fp", "component_id", "component_size")
@@ -134,25 +139,33 @@ def one_for_each_root(docs: DataFrame, rows: DataFrame, id_col: str, text_col: s
     """One row of docs, all its columns, for each root of rows (id, digest, root): the one with the
     smallest identifier, nulls last, and of those the one with the smallest text digest.
 
-    Only survivors' texts travel further than one join; rows that repeat identifier and text are
-    interchangeable, and all but one for each task are dropped before they travel.
+    Narrow rows decide which (id, digest) go; documents are only filtered by those, without a shuffle
+    while they are few. Rows that repeat identifier and text are interchangeable: all but one for
+    each task are dropped before they travel.
     """
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best"))
-    kept = best.select(F.col("best.id").alias("kept_id"), F.col("best.digest").alias("kept_digest"))
-    all_rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    left = all_rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
-    return left.groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best")).select("root", "best.id", "best.digest")
+    best = best.select(F.col("root").alias("r"), F.col("id").alias("best_id"), F.col("digest").alias("best_digest"))
+    told = rows.groupBy("id", "digest", "root").agg(F.count(F.lit(1)).alias("n")).join(best, F.col("root") == F.col("r"))
+    stays = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest"))
+    odd = materialize(told.filter(~stays | (F.col("n") > 1)).select(F.col("id").alias("odd_id"), F.col("digest").alias("odd_digest"), stays.alias("stays")), "not-kept")
+    all_rows = docs.select(F.struct(*all_columns(docs)).alias("row"), named(id_col).alias("id"), text_digest(named(text_col)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("digest") == F.col("odd_digest"))
+    alone = all_rows.join(few(odd), same, "left_anti").select("row.*")
+    repeated = all_rows.join(few(odd.filter("stays")), same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    return alone.union(repeated.select("row.*"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row of docs, all its columns, for each component, chosen as one_for_each_root says."""
-    text = F.col(text_col)
-    rows = materialize(docs.select(F.col(id_col).alias("id"), text_digest(text).alias("digest"), fingerprint_column(text, words).alias("fp")), "fingerprints")
+    text = named(text_col)
+    rows = materialize(docs.select(named(id_col).alias("id"), text_digest(text).alias("digest"), fingerprint_column(text, words).alias("fp")), "fingerprints")
     roots = print_roots(rows, radius).select("fp", "root")
     return one_for_each_root(docs, rows.join(roots, "fp").select("id", "digest", "root"), id_col, text_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents: null and wordless texts link like any other, null identifiers never
+    name a component that has another, repeated rows stay repeated, an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
