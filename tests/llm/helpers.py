@@ -20,7 +20,7 @@ TEXTS = [
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, {}"
 #: Names that operators use inside.
-CLASHES = "id bigint, fp bigint, content string, digest string, mixing string, bpe string, secrets string, weight double, keep_id bigint, stats string, kept boolean, row string, place bigint, kept_id bigint, kept_digest string, __row bigint, __id bigint, __text string, __digest string"
+CLASHES = "id bigint, fp bigint, content string, digest string, mixing string, bpe string, secrets string, weight double, keep_id bigint, stats string, kept boolean, row string, place bigint, kept_id bigint, kept_digest string, __row bigint, __id bigint, __text string, __digest string, cell string, drawn double, hot boolean, piece int, hash bigint, beginning string, root bigint, best string, told string, d string, r string, node bigint, `a.b` string, `c``d` string"
 
 
 def documents(spark, texts=TEXTS, ids=None):

@@ -6,8 +6,7 @@ import re
 import pytest
 from helpers import documents, empty_documents, odd_documents
 
-import corpus_pipeline
-from strandmill.llm import exact_dedup, near_jaccard
+from strandmill.llm import near_jaccard
 
 
 def slow_set(text, n=5):
@@ -69,14 +68,3 @@ def test_edges(spark):
     first, second = "first text about rivers and hills", "second story of ships at sea"
     kept = near_jaccard.keep_one(documents(spark, [first, first.upper(), second, second + " now"], [None, None, None, 1]))
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept.collect()) == [("1", second + " now"), ("None", first), ("None", second)]
-
-
-def test_pipeline_stage_on_documents(spark):
-    docs = exact_dedup.keep_first(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()
-    rows = sorted(docs.select("doc_id", "text").collect())
-    groups = slow_groups([r.text for r in rows])
-    least = {}
-    for r in rows:
-        least.setdefault(groups[slow_set(r.text)], r.doc_id)
-    near = corpus_pipeline.near_stage(spark, docs, "/root/testdata/sf0.01")
-    assert sorted(r.doc_id for r in near.collect()) == sorted(least.values()) and len(least) < len(rows)

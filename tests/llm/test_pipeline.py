@@ -4,7 +4,7 @@ import re
 
 from helpers import empty_documents, odd_documents
 from pyspark.sql import functions as F
-from test_simhash import slow_components, slow_print
+from test_near_jaccard import slow_groups, slow_set
 
 import corpus_pipeline
 from strandmill.llm import mixing, quality
@@ -26,11 +26,11 @@ def test_stages(spark):
         least.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text), r.doc_id)
     assert sorted(r.doc_id for r in exact.collect()) == sorted(least.values())
     near = stages["simhash"](spark, exact, SF).cache()
-    prints = {r.doc_id: slow_print(r.text, corpus_pipeline.SHINGLE_WORDS) for r in exact.collect()}
-    roots = slow_components(set(prints.values()), corpus_pipeline.RADIUS)
-    kept = {}
-    for i in sorted(prints):
-        kept.setdefault(roots[prints[i]], i)
+    rows = sorted((r.doc_id, r.text) for r in exact.collect())
+    groups, kept = slow_groups([t for _, t in rows]), {}
+    for i, t in rows:
+        kept.setdefault(groups[slow_set(t)], i)
+    assert len(kept) < len(rows)
     assert sorted(r.doc_id for r in near.collect()) == sorted(kept.values())
     mixed = stages["mixing"](spark, near, SF).cache()
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in mixing.mix(near).filter("mixing.sampled").collect())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from helpers import TEXTS, documents, empty_documents, odd_documents
@@ -48,6 +49,36 @@ def test_queries_never_lose_a_match(rule):
         assert len(found) < len(texts)
 
 
+@pytest.mark.parametrize("pattern", ["ÉCOLE=[0-9]+", "(?i)kiss=[0-9]+", "(?i)éCole=[0-9]", "a(?i:skip)b[0-9]", "(?ai)kiss=[0-9]+", "(?i:x(?-i:sky)z)[0-9]+", "abc(?=[0-9])[0-9]x"])
+def test_other_letters_and_flags(pattern):
+    texts = ["zz ÉCOLE=12", "école=1", "ÉcOlE=1", "KISS=1", "\u212aiſſ=1", "kİss=1", "aſKIPb1", "aSkipb1", "XskyZ1", "XSKYZ1", "abc1x", "none"]
+    rule = secrets.Rule("own", pattern)
+    query = secrets.trigram_query(pattern)
+    index = secrets.BlockIndex(frozenset(t for clause in query for s in clause for t in s))
+    index.build([t.encode() for t in texts])
+    found = set(index.find(query).tolist())
+    assert {i for i, t in enumerate(texts) if rule.compiled.search(t)} <= found
+
+
+def test_tokens_as_plain_patterns_find_them():
+    plain = {"jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "url_password": r"[a-z]+://[A-Za-z0-9._-]+:[^\s:@/]{3,}@"}
+    r = random.Random(9)
+    bits = ["eyJ", "eyJa", ".", "x", "_", " ", "-", "eyJa.eyJb.c", "http", "://", "u", ":", "pass", "@", "/", "É", "https://a:bcd@"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(14)))
+        for rule in secrets.MORE:
+            if rule.kind in plain:
+                assert [(a, b) for _, a, b in rule.spans(text)] == [m.span() for m in re.finditer(plain[rule.kind], text)], text
+
+
+def test_time_is_linear():
+    for text in ("a" * 2_000_000, "eyJ" * 700_000, "eyJa.eyJb" * 200_000, "password" + " " * 2_000_000, "://" * 600_000, "-----BEGIN " + "A" * 2_000_000, "ghp_" * 500_000):
+        began = time.perf_counter()
+        for rule in secrets.RULES:
+            list(rule.spans(text))
+        assert time.perf_counter() - began < 10
+
+
 def test_base_spans(spark):
     for r in secrets.find_secrets(odd_documents(spark)).collect():
         base = [(s.start, [k[0] for k in KINDS].index(s.kind), s.end) for s in r.secrets if s.kind in {k[0] for k in KINDS}]

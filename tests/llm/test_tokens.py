@@ -85,7 +85,7 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(token_output.vocabulary())
-    own.encode_special_tokens = True
+    assert own.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     docs = documents(spark, [*TEXTS, "a <|endoftext|> b"], [9 * i % 31 for i in range(len(TEXTS) + 1)])
     rows, manifest, _ = token_rows(docs)
     at = 0
@@ -123,6 +123,31 @@ def test_random_access_and_checks(spark):
         token_output.TokenFile(manifest.first().file, words + b"x")
 
 
+def test_narrow_ids_are_refused():
+    assert token_output.serialised(np.array([65535], np.uint32), 0, 2) == b"\xff\xff\0\0"
+    with pytest.raises(ValueError, match="bytes"):
+        token_output.serialised(np.array([70000], np.uint32), None, 2)
+    assert token_output.id_width(token_output.vocabulary()) == 2
+
+
+def test_samples_come_from_the_whole_text():
+    ids = np.arange(100_000)
+    found = token_output.sampled(ids)
+    assert len(found) == token_output.SAMPLE_PIECES and found[0][0] == 0 and found[-1][-1] == 99_999
+    assert np.concatenate(token_output.sampled(ids[:1000])).tolist() == list(range(1000)) and token_output.sampled(ids[:0]) == []
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    from strandmill.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHED", 100)
+    encode = pretokens.BatchEncoder(lambda new: [list(m) for m in new])
+    for k in range(50):
+        text = f"{'x' * 300} word{k} other{k}"
+        assert bytes(encode([text])[0].astype(np.uint8)) == text.encode()
+        assert encode.held < 400 and all(len(m) <= pretokens.LONG for m in encode.known)
+
+
 def test_wide_ids(spark):
     manifest, folder = token_output.write_tokens(documents(spark, [LONG, "x"]), width=4)
     rows = token_output.read_tokens(token_output.placed(manifest), folder).collect()
