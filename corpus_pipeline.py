@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from strandmill.llm import bpe_tree, exact_dedup, mixing, near_jaccard, quality
 from strandmill.llm.common import materialize, table
 
-#: The rule of op3's contract, which binds that query only and no stage here. tests/llm/test_pipeline.py reads them.
-SHINGLE_WORDS, RADIUS = 3, 2
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -20,6 +16,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash balls, completed by a similarity join, as fingerprints alone miss most texts of similarity 0.8."""
     return near_jaccard.keep_one(docs)
 
 
