@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,12 +34,40 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written inside of each open scratch().
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialized_from(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of make(), whose own tables are deleted."""
+    with scratch(spark):
+        out = materialize(make(), name)
+        kept = _scratch[-1].pop()
+    if _scratch:
+        _scratch[-1].append(kept)
+    return out
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later steps neither recompute it
     nor depend on an executor that may be lost."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +76,28 @@ def split_uri(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def without(docs: DataFrame, odd: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, all their columns, but for those whose identifier and text_digest are in odd (id,
+    digest, stays; each once); of the rows of a pair that stays, one is left.
+
+    While odd is small, documents are only filtered, without a shuffle. Rows of the same identifier and text are
+    interchangeable: all but one for each task are dropped before they travel.
+    """
+    odd = odd.select(F.col("id").alias("odd_id"), F.col("digest").alias("odd_digest"), "stays")
+    rows = docs.select(F.struct(*all_columns(docs)).alias("row"), named(id_col).alias("id"), text_digest(named(text_col)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("digest") == F.col("odd_digest"))
+    alone = rows.join(few(odd), same, "left_anti").select("row.*")
+    repeated = odd.filter("stays")
+    if not repeated.limit(1).count():
+        return alone
+    return alone.union(rows.join(few(repeated), same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*"))
+
+
 def few(keys: DataFrame) -> DataFrame:
     """keys, to be broadcast if they were counted to be few. Counts them: pass a written table."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import all_columns, materialize, named, partitions, table
+from strandmill.llm.common import materialize, materialized_from, named, partitions, table, text_digest, without
 
 #: Characters of a splitter.
 SPLITTER = 32
@@ -43,17 +43,18 @@ def hot_texts(docs: DataFrame, text_col: str, n: int, sampled: int = SAMPLED) ->
     return often.select("hot_beginning", "hot_hash", F.ceil(F.col("met") / share).cast("int").alias("pieces"))
 
 
-def content_sorted(docs: DataFrame, id_col: str, text_col: str, n: int | None = None, row: Column | None = None) -> DataFrame:
-    """id, digest of the text, hot (whether its text was cut into pieces), place in its run by identifier,
-    least and members: the smallest identifier and the rows of the run. `row` is carried along."""
+def content_sorted(docs: DataFrame, id_col: str, text_col: str, n: int | None = None, raw: bool = False) -> DataFrame:
+    """id, digest of the normalised text, hot (whether its text was cut into pieces), place in its run by
+    identifier, least and members: the smallest identifier and the rows of the run; and raw, the digest of
+    the text as it is, if asked for, by which rows of equal identifiers are ordered."""
     n = n or partitions(docs.sparkSession)
-    carried = [row.alias("row")] if row is not None else []
-    rows = docs.select(named(id_col).alias("id"), normalised(named(text_col)).alias("content"), *carried)
+    extra = [text_digest(named(text_col)).alias("raw")] if raw else []
+    rows = docs.select(named(id_col).alias("id"), normalised(named(text_col)).alias("content"), *extra)
     rows = rows.withColumns({"beginning": F.substring("content", 1, SPLITTER), "hash": F.xxhash64("content")})
     often = F.broadcast(materialize(hot_texts(docs, text_col, n), "hot-texts"))  # at most a few for each partition
     rows = rows.join(often, (F.col("beginning") == F.col("hot_beginning")) & (F.col("hash") == F.col("hot_hash")), "left")
     rows = rows.withColumns({"hot": F.col("pieces").isNotNull(), "piece": F.coalesce(F.pmod(F.xxhash64("id"), "pieces"), F.lit(0))})
-    run = Window.partitionBy("beginning", "hash", "piece", "content").orderBy(F.col("id").asc_nulls_last())
+    run = Window.partitionBy("beginning", "hash", "piece", "content").orderBy(F.col("id").asc_nulls_last(), *["raw" for _ in extra])
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.repartitionByRange(n, "beginning", "hash", "piece").select(
         "id",
@@ -62,7 +63,7 @@ def content_sorted(docs: DataFrame, id_col: str, text_col: str, n: int | None =
         F.row_number().over(run).alias("place"),
         F.min("id").over(whole).alias("least"),
         F.count(F.lit(1)).over(whole).alias("members"),
-        *["row" for _ in carried],
+        *["raw" for _ in extra],
     )
 
 
@@ -74,10 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     runs = materialize(content_sorted(docs, id_col, text_col, n), "exact-dedup-runs")
-    heads = runs.filter("hot AND place = 1")
-    settled = heads.groupBy("digest").agg(F.min("least").alias("all_least"), F.sum("members").alias("all_members"))
-    rows = runs.join(F.broadcast(settled), "digest", "left")  # at most one for each hot text
-    keep = F.when(F.col("hot"), F.col("all_least")).otherwise(F.col("least"))
+    rows, keep = settled(runs)
     return rows.select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
@@ -87,18 +85,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def settled(runs: DataFrame) -> tuple[DataFrame, Column]:
+    """runs with the totals of hot texts, and the smallest identifier of each row's text."""
+    heads = runs.filter("hot AND place = 1").groupBy("digest").agg(F.min("least").alias("all_least"), F.sum("members").alias("all_members"))
+    rows = runs.join(F.broadcast(heads), "digest", "left")  # at most one for each hot text
+    return rows, F.when(F.col("hot"), F.col("all_least")).otherwise(F.col("least"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
-    """The rows of docs, all their columns, that exact_dedup keeps; they take part in the sort, so that each
-    row is shuffled once.
+    """The rows of docs, all their columns, that exact_dedup keeps. The sort has told which ones go; documents
+    are filtered by those.
 
     Rows that repeat both identifier and text are interchangeable for it; one of them stays.
     """
-    heads = materialize(content_sorted(docs, id_col, text_col, n, F.struct(*all_columns(docs))).filter("place = 1"), "exact-dedup-heads")
-    ranked = F.struct(F.col("id").isNull(), "id")
-    settled = heads.filter("hot").groupBy("digest").agg(F.min(ranked)["id"].alias("best"))
-    hot = heads.filter("hot").join(F.broadcast(settled), "digest").filter(F.col("id").eqNullSafe(F.col("best")))
-    # an identifier lies in one piece of a text, so that exactly one head has it
-    return heads.filter("NOT hot").select("row.*").union(hot.select("row.*"))
+
+    def odd() -> DataFrame:
+        rows, keep = settled(materialize(content_sorted(docs, id_col, text_col, n, raw=True), "exact-dedup-runs"))
+        # an identifier lies in one piece of a text, so that exactly one first row has it
+        kept = (F.col("place") == 1) & F.col("id").eqNullSafe(keep)
+        rows = rows.select("id", F.col("raw").alias("digest"), kept.alias("kept"))
+        gone = rows.filter("NOT kept").select("id", "digest").distinct()
+        left = rows.filter("kept").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+        same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+        return gone.join(left, same, "left").select("id", "digest", F.col("kept_digest").isNotNull().alias("stays"))
+
+    return without(docs, materialized_from(docs.sparkSession, odd, "not-kept"), id_col, text_col)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

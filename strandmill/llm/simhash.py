@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import all_columns, few, materialize, named, partitions, table
+from strandmill.llm.common import materialize, materialized_from, named, partitions, table, text_digest, without
 
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
@@ -92,7 +92,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pre-aggregated before the shuffle, and the join of edges with minima is left to adaptive execution,
     which splits the partition of a hub.
     """
-    edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    return materialized_from(links.sparkSession, lambda: _stars(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))), "components")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    edges = materialize(links.filter("u <> v").distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -130,29 +134,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def text_digest(text: Column) -> Column:
-    """SHA-256; null counts as empty."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
-
-
 def one_for_each_root(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs, all its columns, for each root of rows (id, digest, root): the one with the
     smallest identifier, nulls last, and of those the one with the smallest text digest.
 
-    Narrow rows decide which (id, digest) go; documents are only filtered by those, without a shuffle
-    while they are few. Rows that repeat identifier and text are interchangeable: all but one for
-    each task are dropped before they travel.
+    Narrow rows decide which (id, digest) go.
     """
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best")).select("root", "best.id", "best.digest")
-    best = best.select(F.col("root").alias("r"), F.col("id").alias("best_id"), F.col("digest").alias("best_digest"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best")).select(F.col("root").alias("r"), F.col("best.id").alias("best_id"), F.col("best.digest").alias("best_digest"))
     told = rows.groupBy("id", "digest", "root").agg(F.count(F.lit(1)).alias("n")).join(best, F.col("root") == F.col("r"))
     stays = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest"))
-    odd = materialize(told.filter(~stays | (F.col("n") > 1)).select(F.col("id").alias("odd_id"), F.col("digest").alias("odd_digest"), stays.alias("stays")), "not-kept")
-    all_rows = docs.select(F.struct(*all_columns(docs)).alias("row"), named(id_col).alias("id"), text_digest(named(text_col)).alias("digest"))
-    same = F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("digest") == F.col("odd_digest"))
-    alone = all_rows.join(few(odd), same, "left_anti").select("row.*")
-    repeated = all_rows.join(few(odd.filter("stays")), same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
-    return alone.union(repeated.select("row.*"))
+    odd = materialize(told.filter(~stays | (F.col("n") > 1)).select("id", "digest", stays.alias("stays")), "not-kept")
+    return without(docs, odd, id_col, text_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
