@@ -6,8 +6,8 @@ more come from prefix filtering, which misses none: if shingles have one order f
 texts share one of the first n - ceil(0.8 n) + 1 of their n. The order puts shingles of rarely met hash
 buckets first, so that common lines and passages are seldom among them; it decides the cost only. A shingle
 first links its texts to one of them, in numbers linear in its texts; then only pairs are made that lie in
-different components so far. Every link is verified on both whole sets, and only texts that some candidate
-names are fetched for that. Shingles are compared by their XXH64.
+different components so far. Candidates are first held against the bound that both whole prefixes give, and
+then verified on both whole sets, for which only those texts are fetched. Shingles are compared by their XXH64.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import few, materialize, named, pieces
-from strandmill.llm.simhash import ball_links, components, fingerprint_of, one_for_each_root, shingle_hashes, text_digest
+from strandmill.llm.common import few, materialize, materialized_from, named, pieces, text_digest
+from strandmill.llm.simhash import ball_links, components, fingerprint_of, one_for_each_root, shingle_hashes
 
 #: Words of a shingle; bits at which fingerprints give candidates.
 WORDS, RADIUS = 5, 2
 #: Counters of shingle hashes; their table goes to the driver and to tasks, whatever the input's size.
 BUCKETS = 1 << 16
+#: Texts sampled to find shingles that many prefixes share, and how many of them make a shingle hot.
+SAMPLED, HOT = 20_000, 20
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -59,18 +61,22 @@ def prefix_length(n: int) -> int:
 
 
 def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
-    """Struct of signature (of the set), n (its size), fp (SimHash) and prefix."""
-    names = [("signature", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    """Struct of signature (of the set), n (its size), fp (SimHash), prefix, and last: where in the order of
+    all shingles the prefix ends."""
+    last = pa.struct([("met", pa.int64()), ("hash", pa.int64())])
+    names = [("signature", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("last", last)]
 
-    @F.arrow_udf("struct<signature:string,n:int,fp:bigint,prefix:array<bigint>>")
+    @F.arrow_udf("struct<signature:string,n:int,fp:bigint,prefix:array<bigint>,last:struct<met:bigint,hash:bigint>>")
     def prefix(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
             for x in pc.cast(batch, pa.binary()).to_pylist():
                 hashes = shingle_hashes(x or b"", words)
                 found = np.unique(hashes)
-                order = np.lexsort((found, counts[(found % np.uint64(BUCKETS)).astype(np.int64)]))
-                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), len(found), fingerprint_of(hashes), found[order[: prefix_length(len(found))]].view(np.int64)))
+                met = counts[(found % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((found, met))[: prefix_length(len(found))]
+                end = {"met": int(met[order[-1]]), "hash": int(found[order[-1]]) - (1 << 63)} if len(order) else {"met": -1, "hash": 0}
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), len(found), fingerprint_of(hashes), found[order].view(np.int64), end))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, names, strict=True)], [name for name, _ in names])
 
@@ -91,18 +97,37 @@ def reachable(na: str, nb: str, shared: str) -> Column:
     return F.expr(f"9 * ({shared}) >= 4 * ({na} + {nb})")
 
 
+def of_both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of both nodes, called c_a and c_b. nodes: node and others."""
+    a, b = (nodes.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in nodes.columns]) for x in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
+def among(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that pairs name."""
+    asked = materialize(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "asked")
+    return nodes.join(few(asked), F.col("node") == F.col("asked"), "left_semi")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar. The texts of those nodes alone are fetched."""
+    """The pairs (a, b) of nodes whose whole sets are similar.
+
+    Whichever prefix ends first holds all of its set's shingles up to there, and so does the other prefix; so
+    what the sets share is at most what the prefixes share and the rest of that set. For this bound half of
+    a hash will do: if it makes different shingles equal, the bound is only higher.
+    """
     pairs = materialize(pairs.filter("a < b").distinct(), "candidates")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = materialize(asked.join(rows.select("node", F.col("digest").alias("needed")), "node"), "needed")
+    short = F.transform("prefix", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix")
+    both = of_both(pairs, among(rows, pairs).select("node", "n", "last", F.size("prefix").alias("p"), short))
+    both = both.withColumn("c", F.size(F.array_intersect("prefix_a", "prefix_b")) + F.col("p_a") - F.size(F.array_distinct("prefix_a")))
+    bound = F.col("c") + F.when(F.col("last_a") <= F.col("last_b"), F.least(F.expr("n_a - p_a"), F.expr("n_b - c"))).otherwise(F.least(F.expr("n_b - p_b"), F.expr("n_a - c")))
+    pairs = materialize(both.withColumn("bound", bound).filter(reachable("n_a", "n_b", "bound")).select("a", "b"), "candidates")
+
+    needed = materialize(among(rows, pairs).select("node", F.col("digest").alias("needed")), "needed")
     texts = docs.select(text_digest(named(text_col)).alias("digest"), named(text_col).alias("text"))
     texts = texts.join(few(needed.select("needed")), F.col("digest") == F.col("needed"), "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    sets = materialize(texts.join(needed, F.col("digest") == F.col("needed")).select("node", set_column(F.col("text"), words).alias("shingles")), "shingle-sets")
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    similar = both.filter(reachable("size(set_a)", "size(set_b)", "size(array_intersect(set_a, set_b))"))
-    return materialize(similar.select("a", "b"), "similar")
+    sets = materialize(texts.join(needed, F.col("digest") == F.col("needed")).select("node", set_column(F.col("text"), words).alias("set")), "shingle-sets")
+    return of_both(pairs, sets).filter(reachable("size(set_a)", "size(set_b)", "size(array_intersect(set_a, set_b))")).select("a", "b")
 
 
 def print_pairs(nodes: DataFrame) -> DataFrame:
@@ -115,9 +140,35 @@ def print_pairs(nodes: DataFrame) -> DataFrame:
     return equal.union(linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
 
 
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """node, n, pos, shingle, head (node, n, pos of the shingle's first node) for each shingle that several
+    prefixes share. nodes: node, n, prefix.
+
+    The nodes of a shingle are brought together, but for hot shingles, which a bounded sample tells: for those heads
+    are pre-aggregated and joined back, which may split them.
+    """
+    total = nodes.count()
+    some = nodes.sample(SAMPLED / total, 7) if total > SAMPLED else nodes
+    often = some.select(F.explode("prefix").alias("often")).groupBy("often").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= HOT)
+    often = F.broadcast(materialize(often.select("often"), "hot-shingles"))  # bounded by the sample
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    is_hot = F.col("shingle") == F.col("often")
+    group = Window.partitionBy("shingle")
+    head = F.min(F.struct("node", "n", "pos"))
+    cold = postings.join(often, is_hot, "left_anti").withColumns({"head": head.over(group), "last": F.max("node").over(group)})
+    hot = postings.join(often, is_hot, "left_semi")
+    heads = hot.groupBy("shingle").agg(head.alias("head"), F.max("node").alias("last"))
+    columns = ["node", "n", "pos", "shingle", "head"]
+    return cold.filter("head.node < last").select(*columns).union(hot.join(heads, "shingle").filter("head.node < last").select(*columns))
+
+
 def similar_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per input row: id, digest of the text, root of its component."""
-    text = named(text_col)
+    """One row per input row: id, digest of the text, root of its component; written, all else being deleted."""
+    return materialized_from(docs.sparkSession, lambda: _similar_roots(docs, id_col, text_col, words), "similar-roots")
+
+
+def _similar_roots(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    spark, text = docs.sparkSession, named(text_col)
     counts = bucket_counts(docs, text_col, words)
     rows = docs.select(named(id_col).alias("id"), text_digest(text).alias("digest"), prefixes(text, counts, words).alias("p")).select("id", "digest", "p.*")
     rows = materialize(rows.withColumn("node", F.monotonically_increasing_id()), "shingle-prefixes")
@@ -125,21 +176,18 @@ def similar_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = rows.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("signature", "first")
     copies = materialize(rows.select("signature", "node").join(firsts, "signature").filter("node > first").select(F.col("node").alias("copy"), "first"), "copies")
     nodes = rows.join(few(copies.select("copy")), F.col("node") == F.col("copy"), "left_anti")
+    shared = materialize(shared_shingles(nodes.select("node", "n", "prefix")), "shared-shingles")
 
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    heads = postings.groupBy("shingle").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
-    shared = materialize(postings.join(heads, "shingle"), "shared-shingles")
-    of_head = shared.filter("node = head").select("shingle", F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
-    stars = shared.filter("node > head").join(of_head, "shingle").filter(reachable("n", "head_n", "least(n - pos, head_n - head_pos)"))
-    first = verified(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(print_pairs(nodes.select("node", "fp"))), rows, docs, text_col, words)
-    reached = components(first)
-    open_ = shared.drop("head").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = materialize(open_, "shared-shingles")
+    stars = shared.filter("node > head.node").filter(reachable("n", "head.n", "least(n - pos, head.n - head.pos)"))
+    stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).union(print_pairs(nodes.select("node", "fp")))
+    first = materialized_from(spark, lambda: verified(stars, rows, docs, text_col, words), "similar")
+    open_ = shared.drop("head").join(few(components(first).select(F.col("node").alias("own"), "root")), F.col("node") == F.col("own"), "left").withColumn("root", F.coalesce("root", "node"))
     split = open_.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
     open_ = open_.join(split, "shingle", "left_semi")
     a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root")]) for x in "ab")
     met = a.join(b, "shingle").filter("node_a < node_b AND root_a <> root_b").filter(reachable("n_a", "n_b", "least(n_a - pos_a, n_b - pos_b)"))
-    second = verified(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), rows, docs, text_col, words)
+    met = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    second = materialized_from(spark, lambda: verified(met, rows, docs, text_col, words), "similar")
 
     roots = components(first.union(second)).select(F.col("node").alias("own"), "root")
     own = rows.select("id", "digest", "node").join(copies, F.col("node") == F.col("copy"), "left").select("id", "digest", F.coalesce("first", "node").alias("node"))
@@ -149,5 +197,4 @@ def similar_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row of docs, all its columns, for each component of similar texts: that with the smallest
     identifier, nulls last. Null and wordless texts are one component; an empty table gives none."""
-    roots = materialize(similar_roots(docs, id_col, text_col, words), "similar-roots")
-    return one_for_each_root(docs, roots, id_col, text_col)
+    return one_for_each_root(docs, similar_roots(docs, id_col, text_col, words), id_col, text_col)
