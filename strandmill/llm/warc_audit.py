@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +121,26 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
             rest, member = (member.unused_data, None) if member.eof else (b"", member)
 
 
+def compressed(record: Column) -> Column:
+    """Each record as a gzip member of its own; null stays null."""
+
+    @F.arrow_udf("binary")
+    def member(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for data in pc.cast(batch, pa.binary()).to_pylist():
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.append(None if data is None else pack.compress(data) + pack.flush())
+            yield pa.array(out, pa.binary())
+
+    return member(record)
+
+
 def write_warc(records: DataFrame, file_col: str, order: list[str], record_col: str) -> DataFrame:
-    """Writes the records of each file, in order, compressed one by one, into a new shared folder; returns
-    file, path, records for each file. A file is written by one task, a record being held at a time, under
-    a name of its own for each attempt; only files of successful attempts are returned. Null records are
-    left out."""
+    """Writes the records of each file, in order, into a new shared folder; returns file, path, records for
+    each file. Records are compressed one by one where they lie, before they travel to their file. A file
+    is written by one task, a record being held at a time, under a name of its own for each attempt; only
+    files of successful attempts are returned. Null records are left out."""
     folder = work_path(records.sparkSession, "warc")
     system, root = split_uri(folder)
     system.create_dir(root)
@@ -144,14 +160,15 @@ def write_warc(records: DataFrame, file_col: str, order: list[str], record_col:
                         yield closed()
                     name, path, n = file, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
                     target = system.open_output_stream(split_uri(path)[1], compression=None)
-                pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-                target.write(pack.compress(record) + pack.flush())
+                target.write(record)
                 n += 1
         if target is not None:
             yield closed()
 
-    rows = records.filter(named(record_col).isNotNull()).repartition(named(file_col)).sortWithinPartitions(named(file_col), *map(named, order))
-    written = rows.select(named(file_col).cast("string"), named(record_col).cast("binary")).mapInArrow(write, "file string, path string, records bigint")
+    keys = [named(c).alias(f"o{k}") for k, c in enumerate(order)]
+    rows = records.filter(named(record_col).isNotNull()).select(named(file_col).cast("string").alias("file"), compressed(named(record_col)).alias("member"), *keys)
+    rows = rows.repartition("file").sortWithinPartitions("file", *[f"o{k}" for k in range(len(order))])
+    written = rows.select("file", "member").mapInArrow(write, "file string, path string, records bigint")
     return materialize(written, "warc-files")
 
 
