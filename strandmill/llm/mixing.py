@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, named, table
+from strandmill.llm.common import materialize, materialized_from, named, table
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -132,8 +132,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
 def sampled(rows: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int, budget: float) -> DataFrame:
     """rows, a written table with keyed as mixing, with the final mixing."""
     cells = at_hand(materialize(rows.select("mixing.*").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "cells"))
-    drawn = calibrate(rake(cells, targets, sweeps), budget)
-    drawn = materialize(drawn.select(F.struct(*DIMENSIONS).alias("cell"), F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability")), "drawn")
+    columns = [F.struct(*DIMENSIONS).alias("cell"), F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability")]
+    drawn = materialized_from(rows.sparkSession, lambda: calibrate(rake(cells, targets, sweeps), budget).select(*columns), "drawn")
     small = drawn.count() <= BROADCAST_CELLS
     out = rows.alias("d").join((F.broadcast(drawn) if small else drawn).alias("r"), F.struct(*[F.col(f"d.mixing.{d}") for d in DIMENSIONS]) == F.col("r.cell"))
     mixing = F.struct(*[F.col(f"d.mixing.{c}").alias(c) for c in (*DIMENSIONS, "tokens")], F.col("r.weight").alias("weight"), F.col("r.probability").alias("probability"), (F.col("d.mixing.draw") < F.col("r.probability")).alias("sampled"))
