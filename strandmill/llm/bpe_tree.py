@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm.common import named, pieces, table
-from strandmill.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, BatchEncoder, classes, ranks
+from strandmill.llm.pretokens import LETTER, NUMBER, OTHER, PIECE, SPACE, BatchEncoder, classes, ranks
 
 #: Code points of a part that is not halved further, and of the first window on either side of a seam.
 LEAF, WINDOW = 4096, 64
@@ -125,7 +125,7 @@ def tree_bpe(text: Column, path: str | None = None, with_ids: bool = True) -> Co
         decimal = [str(i) for i in range(len(tree.bytes_of))].__getitem__
         for batch in batches:
             ids, digests, decoded = [], [], []
-            for part in pieces(batch):
+            for part in pieces(batch, PIECE):
                 for own in tree.encode([x or "" for x in part.to_pylist()]):
                     ids.append(own)
                     digests.append(hashlib.sha256(" ".join(map(decimal, own.tolist())).encode()).hexdigest())

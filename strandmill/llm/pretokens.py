@@ -18,9 +18,11 @@ import pyarrow as pa
 import regex
 
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
-#: Bytes of matches and ids in a worker's cache, which is emptied when full; its memory is some times that,
-#: for the overhead of its entries. Longer matches than LONG bytes are not kept at all.
-CACHED, LONG = 16 << 20, 256
+#: Bytes of a worker's cache, which is emptied when full, and what an entry takes besides its match and ids.
+#: Longer matches than LONG bytes are not kept at all.
+CACHED, ENTRY, LONG = 24 << 20, 200, 256
+#: Bytes of text encoded at a time; arrays take some fifty times as much.
+PIECE = 1 << 19
 
 
 @cache
@@ -110,7 +112,7 @@ class BatchEncoder:
                 once[m] = coded_ids
             else:
                 known[m] = coded_ids
-                self.held += len(m) + len(coded_ids)
+                self.held += len(m) + len(coded_ids) + ENTRY
         parts = [known[m] if m in known else once[m] for m in unique]
         flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.common import materialize, named, partitions, pieces, split_uri, table, work_path
-from strandmill.llm.pretokens import BatchEncoder
+from strandmill.llm.pretokens import PIECE, BatchEncoder
 
 HEAD, TAIL = b"ZTIDS1\n", b"ZTIDX1\n"
 LEVEL, DICTIONARY_BYTES = 3, 65_536
@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in pieces(batch.column("text")):
+            for part in pieces(batch.column("text"), PIECE):
                 yield pa.record_batch({"ids": pa.array([serialised(piece, None, width) for x in encode(part.to_pylist()) for piece in sampled(x)], pa.binary())})
 
     chosen = rows.select("doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE_ROWS)
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out, at, total = None, len(HEAD) + 33, 0
         for batch in batches:
             names = iter(batch.column("doc_id").to_pylist())
-            for part in pieces(batch.column("text")):
+            for part in pieces(batch.column("text"), PIECE):
                 if out is None:
                     out = system.open_output_stream(target)
                     out.write(HEAD + bytes([width]) + hashlib.sha256(words).digest())
