@@ -67,10 +67,13 @@ def diagonal_bounds(hits: DataFrame) -> DataFrame:
 
 
 def ranged_diagonals(hits: DataFrame, chunks: int) -> DataFrame:
-    """Chunks of equal width in diagonals; those without hits are left out."""
-    low, high = diagonal_bounds(hits).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // chunks))
-    ranges = each_diagonal(hits).withColumn("chunk", F.floor((F.col("diag") - F.lit(low or 0)) / width))
+    """Chunks by diagonal: with half a width h = (largest - smallest) / (chunks - 1) / 2 in whole numbers, the
+    first chunk goes up to smallest + h, the next ones to + 3h, + 5h and so on, ends included, and the last
+    one takes all that is left. Chunks without hits are left out."""
+    low, high = (v or 0 for v in diagonal_bounds(hits).first())
+    half = (high - low) // (2 * (chunks - 1)) if chunks > 1 else 0
+    behind = F.ceil((F.col("diag") - F.lit(low + half)) / F.lit(2 * half)) if half else F.when(F.col("diag") > low, chunks - 1).otherwise(0)
+    ranges = each_diagonal(hits).withColumn("chunk", F.greatest(F.lit(0), F.least(F.lit(chunks - 1), behind)).cast("bigint"))
     return ranges.groupBy("chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("diag").alias("first_diag"), F.max("diag").alias("last_diag"))
 
 

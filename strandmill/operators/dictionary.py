@@ -9,6 +9,8 @@ from strandmill.functions.dna import packed_word
 
 #: Words with this many places or more are outliers; above this many places are strided.
 OUTLIER, STRIDED = 1001, 10_000
+#: Bases of a range in which a strided word's places are numbered on their own.
+RANGE = 1 << 20
 
 
 def dictionary(words: DataFrame) -> DataFrame:
@@ -50,8 +52,19 @@ def merged(words: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
     return words.join(counts.hint("merge"), by)
 
 
-def strided(words: DataFrame, cap: int = STRIDED, by: tuple[str, ...] = ("code",)) -> DataFrame:
-    """Keeps every (num div cap)-th place of a word, by (seq, pos), if it has over cap of them. words has num."""
-    step = F.greatest(F.lit(1), F.floor(F.col("num") / cap))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("seq", "pos")) - 1
-    return words.withColumn("__n", place).filter(F.pmod("__n", step) == 0).drop("__n")
+def strided(words: DataFrame, cap: int = STRIDED, by: tuple[str, ...] = ("code",), span: int = RANGE) -> DataFrame:
+    """Keeps every (num div cap)-th place of a word, by (seq, pos), if it has over cap of them. words has num,
+    and is read three times: pass a written table.
+
+    The places of a word that has any to be left out are numbered in ranges of `span` bases, and the ranges'
+    totals are added up, so that a word that is everywhere is not one group.
+    """
+    step = F.floor(F.col("num") / cap)
+    many = words.filter(step > 1).withColumn("__range", F.floor(F.col("pos") / span))
+    totals = many.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select(*by, "__range", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*by, "__range").orderBy("seq", "pos")) - 1
+    numbered = many.withColumn("__n", place).join(totals.hint("merge"), [*by, "__range"])
+    kept = numbered.filter(F.pmod(F.col("__n") + F.col("__before"), step) == 0)
+    return words.filter(step <= 1).unionByName(kept.select(*words.columns))

@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.storage import small
+
 #: Points of a match (a mismatch loses as many), and of a pair with an unknown base.
 MATCH, UNKNOWN = 4, -1
 #: Bases compared first; each further block is twice as long.
 BLOCK = 256
+#: Hits of one pair of sequences that a task extends, about; pairs with more are dealt out by diagonal.
+PAIR_HITS = 20_000
 EXTENDED = "strand string, diag bigint, posX bigint, posY bigint, seqX bigint, seqY bigint, xStart bigint, yStart bigint, xEnd bigint, yEnd bigint, length bigint, ident bigint, score bigint, similarity float"
 
 
@@ -51,26 +55,36 @@ def extend_hit(x: np.ndarray, y: np.ndarray, p: int, q: int, k: int) -> tuple[in
     return left, last - p, k + more + others, score
 
 
-def extend(hits: DataFrame, x: DataFrame, y: DataFrame, k: int = 32) -> DataFrame:
+def extend(hits: DataFrame, x: DataFrame, y: DataFrame, k: int = 32, collection: bool = False) -> DataFrame:
     """One row for each hit: the hit, and the fragment in coordinates without separators. y has both
-    strands (column strand). seqY stays that of its strand's own order.
+    strands (column strand). seqY stays that of its strand's own order. collection: x and y are tables with
+    a column genome, hits have genome_x and genome_y.
 
     Each pair of sequences that has hits travels once: it is sorted before its hits, and a task walks
-    through them holding one pair at a time.
+    through them holding one pair at a time. A pair with over PAIR_HITS hits travels to several tasks, each
+    of which takes a share of its diagonals. hits are read three times: pass a written table.
     """
-    pairs = hits.select("strand", "seqX", "seqY").distinct()
-    left = x.select(F.col("seq").alias("seqX"), F.col("dna").alias("x"), F.col("g_off").alias("x_off"))
-    right = y.select("strand", F.col("seq").alias("seqY"), F.col("dna").alias("y"), F.col("g_off").alias("y_off"))
+    of_x, of_y = (["genome_x"], ["genome_y"]) if collection else ([], [])
+    key = [*of_x, *of_y, "strand", "seqX", "seqY"]
+    pairs = hits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PAIR_HITS).cast("int").alias("parts"))
+    heavy = small(pairs.filter("parts > 1"))  # at most one for each PAIR_HITS hits
+    hits = hits.join(heavy, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("diag"), "parts"), F.lit(0)))
+    pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("parts") - 1).cast("bigint"))))
+    key = [*key, "part"]
+    left = x.select(*[F.col("genome").alias(c) for c in of_x], F.col("seq").alias("seqX"), F.col("dna").alias("x"), F.col("g_off").alias("x_off"))
+    right = y.select(*[F.col("genome").alias(c) for c in of_y], "strand", F.col("seq").alias("seqY"), F.col("dna").alias("y"), F.col("g_off").alias("y_off"))
     nothing = F.lit(None)
-    pairs = pairs.join(left, "seqX").join(right, ["strand", "seqY"]).select("strand", "seqX", "seqY", *[nothing.cast("bigint").alias(c) for c in ("diag", "posX", "posY")], "x", "y", "x_off", "y_off")
-    seeds = hits.select("strand", "seqX", "seqY", "diag", "posX", "posY", *[nothing.cast(t).alias(c) for c, t in (("x", "string"), ("y", "string"), ("x_off", "bigint"), ("y_off", "bigint"))])
+    pairs = pairs.join(left, [*of_x, "seqX"]).join(right, [*of_y, "strand", "seqY"]).select(*key, *[nothing.cast("bigint").alias(c) for c in ("diag", "posX", "posY")], "x", "y", "x_off", "y_off")
+    seeds = hits.select(*key, "diag", "posX", "posY", *[nothing.cast(t).alias(c) for c, t in (("x", "string"), ("y", "string"), ("x_off", "bigint"), ("y_off", "bigint"))])
+
+    names = "".join(f"{c} string, " for c in of_x + of_y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "float": pa.float32()}[t]) for n, t in (c.split() for c in EXTENDED.split(", "))])
+        schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "float": pa.float32()}[t]) for n, t in (c.split() for c in f"{names}{EXTENDED}".split(", "))])
         xs = ys = xo = yo = None
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
-            numbers = {c: columns[c].to_pylist() for c in ("strand", "seqX", "seqY", "diag", "posX", "posY", "x_off", "y_off")}
+            numbers = {c: columns[c].to_pylist() for c in (*of_x, *of_y, "strand", "seqX", "seqY", "diag", "posX", "posY", "x_off", "y_off")}
             out = []
             for i, pos in enumerate(numbers["posX"]):
                 if pos is None:
@@ -80,8 +94,8 @@ def extend(hits: DataFrame, x: DataFrame, y: DataFrame, k: int = 32) -> DataFram
                 q, sx, sy = numbers["posY"][i], numbers["seqX"][i], numbers["seqY"][i]
                 back, ahead, ident, score = extend_hit(xs, ys, pos - xo, q - yo, k)
                 length = ahead + back + 1
-                out.append((numbers["strand"][i], numbers["diag"][i], pos, q, sx, sy, pos - back - sx, q - back - sy, pos + ahead - sx, q + ahead - sy, length, ident, score, score * 100.0 / (length * MATCH)))
+                out.append((*[numbers[c][i] for c in of_x + of_y], numbers["strand"][i], numbers["diag"][i], pos, q, sx, sy, pos - back - sx, q - back - sy, pos + ahead - sx, q + ahead - sy, length, ident, score, score * 100.0 / (length * MATCH)))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    rows = pairs.unionByName(seeds).repartition("strand", "seqX", "seqY").sortWithinPartitions("strand", "seqX", "seqY", F.col("posX").isNotNull(), "diag", "posX")
-    return rows.mapInArrow(run, EXTENDED)
+    rows = pairs.unionByName(seeds).repartition(*key).sortWithinPartitions(*key, F.col("posX").isNotNull(), "diag", "posX")
+    return rows.mapInArrow(run, f"{names}{EXTENDED}")

@@ -23,17 +23,17 @@ def judged(extended: DataFrame, lmin: int, simthr: float) -> DataFrame:
     return extended.withColumn("accepted", (F.col("length") > lmin) & (F.col("similarity") > F.lit(float(simthr)).cast("float")))
 
 
-def fragments(used: DataFrame, n_y: int) -> DataFrame:
-    """The accepted ones among the used seeds, as fragment rows; seqY of the reverse strand is counted
-    from the forward strand's first record."""
-    seq_y = F.when(F.col("strand") == "r", F.lit(n_y) - F.col("seqY") - 1).otherwise(F.col("seqY"))
-    return used.filter("accepted").withColumn("seqY", seq_y).withColumn("block", F.lit(0).cast("bigint")).select(*COLUMNS)
+def fragments(used: DataFrame, n_y: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """The accepted ones among the used seeds, as fragment rows, with the columns of by; seqY of the reverse
+    strand is counted from the forward strand's first record."""
+    seq_y = F.when(F.col("strand") == "r", (F.lit(n_y) if isinstance(n_y, int) else n_y) - F.col("seqY") - 1).otherwise(F.col("seqY"))
+    return used.filter("accepted").withColumn("seqY", seq_y).withColumn("block", F.lit(0).cast("bigint")).select(*by, *COLUMNS)
 
 
-def coverage(used: DataFrame) -> DataFrame:
-    """Number of extended seeds by length (the last bin takes all longer ones) and whole percent of
+def coverage(used: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Number of extended seeds by the columns of by, by length (the last bin takes all longer ones) and whole percent of
     similarity, accepted or not, both strands together."""
-    return used.groupBy(F.least("length", F.lit(LAST_LENGTH)).cast("int").alias("len_bin"), F.floor("similarity").cast("int").alias("sim_bin")).agg(F.count(F.lit(1)).alias("n"))
+    return used.groupBy(*by, F.least("length", F.lit(LAST_LENGTH)).cast("int").alias("len_bin"), F.floor("similarity").cast("int").alias("sim_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def coverage_matrix(cover: DataFrame) -> DataFrame:

@@ -34,9 +34,10 @@ def pack_words(bases: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, words[starts]
 
 
-def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None) -> DataFrame:
-    """code (packed word as a long), seq, pos (place in the whole genome), and the string column `label`
-    of the sequence if one is named. Any letter but A, C, G and T ends a word; records never share one."""
+def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None, columns: tuple[str, ...] = ("code", "seq", "pos")) -> DataFrame:
+    """Of code (packed word as a long), seq and pos (place in the whole genome) those named, and the string
+    column `label` of the sequence if one is named. Spark can't see which columns are used later, so name
+    only those. Any letter but A, C, G and T ends a word; records never share one."""
     names = [label] if label else []
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +47,10 @@ def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None) ->
                 bases = np.frombuffer(dna.as_buffer(), np.uint8) if dna.is_valid else np.empty(0, np.uint8)
                 for a in range(0, max(len(bases) - WORD + 1, 0), SLICE):
                     starts, codes = pack_words(bases[a : a + SLICE + WORD - 1], mask)
-                    yield pa.record_batch({"code": pa.array(codes.view(np.int64)), "seq": pa.array(np.full(len(starts), seq)), "pos": pa.array(starts + (off + a))} | {c: pa.repeat(pa.scalar(own[i], pa.string()), len(starts)) for c, own in zip(names, kept, strict=True)})
+                    made = {"code": lambda codes=codes: codes.view(np.int64), "seq": lambda n=len(starts), seq=seq: np.full(n, seq), "pos": lambda starts=starts, off=off + a: starts + off}
+                    yield pa.record_batch({c: pa.array(made[c]()) for c in columns} | {c: pa.repeat(pa.scalar(own[i], pa.string()), len(starts)) for c, own in zip(names, kept, strict=True)})
 
-    return sequences.select("dna", "seq", "g_off", *names).mapInArrow(words, ", ".join(["code bigint, seq bigint, pos bigint", *[f"{c} string" for c in names]]))
+    return sequences.select("dna", "seq", "g_off", *names).mapInArrow(words, ", ".join([*[f"{c} bigint" for c in columns], *[f"{c} string" for c in names]]))
 
 
 def spelled(words: DataFrame) -> DataFrame:
@@ -60,3 +62,18 @@ def with_prefix(words: DataFrame, prefix: str) -> DataFrame:
     """Words that start with a prefix of 1 to 31 letters."""
     value = int("".join(str("ACGT".index(c)) for c in prefix), 4)
     return words.filter(F.shiftrightunsigned("code", 2 * (WORD - len(prefix))) == value)
+
+
+def with_prefixes(words: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The words of each of the prefixes, with the columns of its row. prefixes: prefix (1 to 31 letters) and
+    others; a workload of a few thousand rows at most. Prefixes of different lengths may overlap."""
+    lengths = [r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect()]
+    out = None
+    for n in sorted(lengths):
+        value = F.conv(F.translate("prefix", "ACGT", "0123"), 4, 10).cast("bigint")
+        own = prefixes.filter(F.length("prefix") == n).withColumn("__key", value)
+        found = words.withColumn("__key", F.shiftrightunsigned("code", 2 * (WORD - n))).join(F.broadcast(own), "__key").drop("__key")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no prefixes")
+    return out

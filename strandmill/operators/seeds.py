@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandmill.functions.dna import code_prefix
 from strandmill.operators.dictionary import STRIDED, frequent_enough, strided
 from strandmill.operators.kmers import kmers
-from strandmill.sources.genomes import reversed_genome
+from strandmill.sources.genomes import reversed_collection, reversed_genome
 from strandmill.storage import saved, small
 
 
@@ -31,10 +31,31 @@ def shared_words(x_words: DataFrame, y_words: DataFrame, k: int = 32, fl: int =
     met = x_words.withColumn("key", code_prefix(F.col("code"), k)).join(small(keys), "key", "left_semi")
     x = frequent_enough(saved(met, "met"), fl)
     if fl >= 2 * cap:  # else no word has a stride above one
-        x, y = strided(x, cap), strided(y, cap, ("strand", "code"))
+        x, y = strided(saved(x, "words"), cap), strided(saved(y, "words"), cap, ("strand", "code"))
     return x, y
 
 
+def collection_hits(sequences: DataFrame, pairs: DataFrame, k: int = 32, fl: int = 1000, mask: str = "skip") -> DataFrame:
+    """genome_x, genome_y and the columns of hits, for all pairs (genome_x, genome_y) of genomes at once, on both strands.
+    sequences: a collection; a word counts on either side if it has at most fl places in its genome and
+    strand, as in a comparison of two genomes.
+
+    Words that only one genome has are left out first, by the keys that two genomes have; each word's
+    numbers of places bound what it can give: fl * fl hits for each pair of genomes.
+    """
+    other = reversed_collection(sequences)
+    met = kmers(sequences, mask, "genome", ("code",)).unionByName(kmers(other, mask, "genome", ("code",))).select(code_prefix(F.col("code"), k).alias("key"), "genome")
+    keys = met.groupBy("key").agg(F.min("genome").alias("least"), F.max("genome").alias("most")).filter("least < most").select("key")
+    keys = small(saved(keys, "keys"))
+    words = [kmers(s, mask, "genome").withColumn("strand", F.lit(strand)) for s, strand in ((sequences, "f"), (other, "r"))]
+    words = saved(words[0].unionByName(words[1]).withColumn("key", code_prefix(F.col("code"), k)).join(keys, "key", "left_semi"), "words")
+    often = saved(frequent_enough(words, fl, ("genome", "strand", "code")), "words")
+    left = often.filter("strand = 'f'").select("key", F.col("genome").alias("genome_x"), F.col("seq").alias("seqX"), F.col("pos").alias("posX"))
+    right = often.select("key", F.col("genome").alias("genome_y"), "strand", F.col("seq").alias("seqY"), F.col("pos").alias("posY"))
+    wanted = small(saved(pairs.select("genome_x", "genome_y").distinct(), "pairs"))
+    return left.join(right, "key").join(wanted, ["genome_x", "genome_y"], "left_semi").select("genome_x", "genome_y", "strand", (F.col("posX") - F.col("posY")).alias("diag"), "posX", "posY", "seqX", "seqY")
+
+
 def join_words(x: DataFrame, y: DataFrame) -> DataFrame:
     left = x.select("key", F.col("seq").alias("seqX"), F.col("pos").alias("posX"))
     right = y.select("key", "strand", F.col("seq").alias("seqY"), F.col("pos").alias("posY"))

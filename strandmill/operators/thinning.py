@@ -28,10 +28,12 @@ def keep_greedily(places: np.ndarray, last: int | None, gap: int) -> tuple[list[
         i += 1
 
 
-def thin(hits: DataFrame, k: int = 32) -> DataFrame:
+def thin(hits: DataFrame, k: int = 32, by: tuple[str, ...] = ()) -> DataFrame:
     """Keeps a hit if it is the first of its (strand, diag, seqX, seqY) by posX, or lies over 2k - 1
-    behind the last kept one of them."""
+    behind the last kept one of them. by: further string columns that tell hits apart (genomes)."""
     gap = 2 * k - 1
+    groups = [*by, "strand", "diag", "seqX", "seqY"]
+    columns = [*by, "strand", "diag", "posX", "posY", "seqX", "seqY"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, last = None, None
@@ -39,7 +41,7 @@ def thin(hits: DataFrame, k: int = 32) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("strand", "diag", "seqX", "seqY")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in groups), strict=True))
             places = batch.column("posX").to_numpy()
             cuts = [i for i in range(1, n) if keys[i] != keys[i - 1]]
             kept: list[int] = []
@@ -50,23 +52,28 @@ def thin(hits: DataFrame, k: int = 32) -> DataFrame:
                 kept += [a + i for i in own]
             yield batch.take(pa.array(kept, pa.int64()))
 
-    rows = hits.select("strand", "diag", "posX", "posY", "seqX", "seqY").repartition("strand", "diag").sortWithinPartitions("strand", "diag", "seqX", "seqY", "posX")
-    return rows.mapInArrow(run, HIT)
+    rows = hits.select(*columns).repartition(*groups).sortWithinPartitions(*groups, "posX")
+    return rows.mapInArrow(run, rows.schema)
 
 
-def skip_covered(extended: DataFrame) -> DataFrame:
+def skip_covered(extended: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Keeps the seeds that are used: in order of posX on a diagonal (whatever the sequences), a seed is
     skipped if it lies before the end of the last accepted fragment, counted as that one's seed place plus
-    its length. extended has strand, diag, posX, length, accepted."""
+    its length. extended has strand, diag, posX, length, accepted, and the columns of by.
+
+    What is skipped depends on all before it, so a diagonal is one task's; of its seeds, which lie over twice
+    the word's length apart, that task holds one batch.
+    """
+    groups = [*by, "strand", "diag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, end = None, -1
         for batch in batches:
             used = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("strand", "diag", "posX", "length", "accepted")), strict=True)
-            for i, (strand, diag, pos, length, accepted) in enumerate(rows):
-                if (strand, diag) != group:
-                    group, end = (strand, diag), pos - 1
+            rows = zip(*(batch.column(c).to_pylist() for c in (*groups, "posX", "length", "accepted")), strict=True)
+            for i, (*own, pos, length, accepted) in enumerate(rows):
+                if own != group:
+                    group, end = own, pos - 1
                 if end > pos:
                     continue
                 used.append(i)
@@ -74,4 +81,4 @@ def skip_covered(extended: DataFrame) -> DataFrame:
                     end = pos + length
             yield batch.take(pa.array(used, pa.int64()))
 
-    return extended.repartition("strand", "diag").sortWithinPartitions("strand", "diag", "posX").mapInArrow(run, extended.schema)
+    return extended.repartition(*groups).sortWithinPartitions(*groups, "posX").mapInArrow(run, extended.schema)

@@ -1,20 +1,26 @@
-"""Whole comparisons of two genomes."""
+"""Whole comparisons of two genomes, and of all pairs of a collection."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from strandmill.operators.extension import extend
 from strandmill.operators.fragments import coverage, export, fragments, judged, least_length
-from strandmill.operators.seeds import hits, stranded
+from strandmill.operators.seeds import collection_hits, hits, stranded
 from strandmill.operators.thinning import skip_covered, thin
-from strandmill.sources.genomes import totals
+from strandmill.sources.genomes import reversed_collection, totals
 from strandmill.storage import saved
 
 
+def with_separators(total: Row) -> int:
+    """The length of a genome as run information tells it: a separator stands between two records."""
+    return total["total_length"] + max(total["n_sequences"] - 1, 0)
+
+
 @dataclass
 class Comparison:
     """Both strands of y against x. Each table is made when it is first asked for; the thinned hits and
@@ -31,10 +37,15 @@ class Comparison:
 
     def __post_init__(self):
         self._kept: dict[str, DataFrame] = {}
+        #: Seconds that each written table took.
+        self.timings: dict[str, float] = {}
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._kept:
-            self._kept[name] = saved(make(), name)
+            df = make()  # what it stands on has times of its own
+            began = time.perf_counter()
+            self._kept[name] = saved(df, name)
+            self.timings[name] = time.perf_counter() - began
         return self._kept[name]
 
     @property
@@ -74,5 +85,37 @@ class Comparison:
         used = self.used.groupBy("strand").agg(F.count(F.lit(1)).alias("hits_used"), F.sum(F.col("accepted").cast("bigint")).alias("fragments"))
         both = n_hits.join(used, "strand", "left").na.fill(0)
         both = both.unionByName(both.agg(F.lit("both").alias("strand"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "hits_used", "fragments")]))
-        lengths = [totals(g).first()["total_length"] for g in (self.x, self.y)]
+        lengths = [with_separators(totals(g).first()) for g in (self.x, self.y)]
         return both.select("strand", *[F.lit(v).cast("bigint").alias(c) for c, v in zip(("len_x", "len_y", "lmin", "simthr"), (*lengths, self.lmin, int(self.simthr)), strict=True)], "hits", "hits_used", "fragments")
+
+
+@dataclass
+class CollectionComparison:
+    """All of some pairs of a collection's genomes, both strands, as one job: pairs (genome_x, genome_y) are
+    columns of every table, so that no pair is a job or a task of its own."""
+
+    sequences: DataFrame
+    pairs: DataFrame
+    k: int = 32
+    lmin: int = 100
+    simthr: float = 65
+    fl: int = 1000
+
+    def __post_init__(self):
+        by = ("genome_x", "genome_y")
+        self.hits = saved(collection_hits(self.sequences, self.pairs, self.k, self.fl), "hits")
+        self.thinned = saved(thin(self.hits, self.k, by), "thinned")
+        other = reversed_collection(self.sequences).withColumn("strand", F.lit("r"))
+        both = self.sequences.withColumn("strand", F.lit("f")).unionByName(other)
+        self.extended = judged(extend(self.thinned, self.sequences, both, self.k, collection=True), self.lmin, self.simthr)
+        self.used = saved(skip_covered(self.extended, by), "used")
+
+    @property
+    def fragments(self) -> DataFrame:
+        """The fragments of each pair, seqY counted from the forward strand's first record."""
+        sizes = self.sequences.groupBy(F.col("genome").alias("genome_y")).agg(F.count(F.lit(1)).alias("n_y"))
+        return fragments(self.used.join(sizes, "genome_y"), F.col("n_y"), ("genome_x", "genome_y"))
+
+    @property
+    def coverage(self) -> DataFrame:
+        return coverage(self.used, ("genome_x", "genome_y"))

@@ -5,13 +5,13 @@ documents is genome X, benchmark genome Y (odd items reverse-complemented).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
 from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds
 from strandmill.plans import sql
-from strandmill.plans.compare import Comparison
+from strandmill.plans.compare import CollectionComparison, Comparison
 from strandmill.sources import fasta, fragment_files, genomes, reports, workloads
 from strandmill.storage import saved, shared_path
 
@@ -84,21 +84,21 @@ def kmers_listing(spark, sf_dir):
     return kmers.spelled(kmers.kmers(_y(spark, sf_dir))).select("seq", "pos", "word")
 
 
-@registered(sql.of("x kx", "SELECT substring(word, 1, 2) AS prefix, count(*) AS n FROM kx GROUP BY 1"))
+@registered(sql.of("x kx", "SELECT instr('ACGT', substring(word, 1, 1))::INT - 1 AS rank, substring(word, 1, 2) AS prefix, count(*) AS n FROM kx GROUP BY 1, 2"))
 def kmers_prefix(spark, sf_dir):
-    """Words by prefix, each prefix filtered on its own, as workers that own prefixes do."""
-    words = kmers.kmers(_x(spark, sf_dir))
-    lines = spark.createDataFrame([(i, ",".join("ACGT"[i] + b for b in "ACGT")) for i in range(4)], "rank int, line string")
-    owned = workloads.prefixes(lines).select("prefix")
-    value = F.translate(F.col("prefix"), "ACGT", "0123")
-    keyed = owned.select("prefix", F.conv(value, 4, 10).cast("bigint").alias("key"))
-    return words.groupBy(dna.code_prefix(F.col("code"), 2).alias("key")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(keyed), "key").select("prefix", "n")  # 16 prefixes
+    """Words of the prefixes that a workload file gives to each worker."""
+    path = shared_path(spark, "workload")
+    lines = [(i, ",".join("ACGT"[i] + b for b in "ACGT")) for i in range(4)]
+    workloads.write_workload(spark.createDataFrame(lines, "rank int, line string"), path)
+    owned = workloads.prefixes(workloads.read_workload(spark, path))
+    words = kmers.with_prefixes(kmers.kmers(_x(spark, sf_dir), columns=("code",)), owned)
+    return words.groupBy("rank", "prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered(sql.of("y ky", "SELECT word, list_reduce(list_transform(string_split(word, ''), lambda c: (instr('ACGT', c) - 1)::HUGEINT), lambda a, b: a * 4 + b)::VARCHAR AS packed FROM (SELECT DISTINCT word FROM ky)"))
 def kmer_pack(spark, sf_dir):
     """Distinct words and their packed values as unsigned decimals."""
-    words = kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir))))
+    words = kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir), columns=("code",))))
     return words.select("word", F.conv(dna.pack(F.col("word")), 16, 10).alias("packed"))
 
 
@@ -109,7 +109,7 @@ def index_to_kmer(spark, sf_dir):
 
 @registered(sql.of("y ky", "SELECT word, count(*) AS num FROM ky GROUP BY word"))
 def dictionary_build(spark, sf_dir):
-    return kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir)))).select("word", "num")
+    return kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir), columns=("code",)))).select("word", "num")
 
 
 @registered(sql.of("y ky", "SELECT word, count(*) AS num, array_to_string((list(seq || ':' || pos ORDER BY seq, pos))[1:12], ' ') AS places FROM ky GROUP BY word"))
@@ -120,17 +120,17 @@ def dictionary_locations(spark, sf_dir):
 
 @registered(sql.of("x kx", "SELECT num, count(*) AS n_words FROM (SELECT word, count(*) AS num FROM kx GROUP BY word) WHERE num < 1001 GROUP BY num"))
 def word_histogram(spark, sf_dir):
-    return dictionary.histogram(kmers.kmers(_x(spark, sf_dir)))
+    return dictionary.histogram(kmers.kmers(_x(spark, sf_dir), columns=("code",)))
 
 
 @registered(sql.of("x kx", "SELECT count(*) AS n_words, max(num) AS max_num, sum(num)::BIGINT AS sum_num, round(avg(num), 6) AS avg_num FROM (SELECT word, count(*) AS num FROM kx GROUP BY word)"))
 def dictionary_summary(spark, sf_dir):
-    return dictionary.summary(kmers.kmers(_x(spark, sf_dir)))
+    return dictionary.summary(kmers.kmers(_x(spark, sf_dir), columns=("code",)))
 
 
 @registered(sql.of("x kx", "SELECT word, count(*) AS num FROM kx GROUP BY word HAVING count(*) >= 101"))
 def freq_outliers(spark, sf_dir):
-    return dictionary.outliers(kmers.kmers(_x(spark, sf_dir)), 101)
+    return dictionary.outliers(kmers.kmers(_x(spark, sf_dir), columns=("code",)), 101)
 
 
 @registered(sql.of("y ky", "SELECT word, seq, pos, num FROM (SELECT *, count(*) OVER (PARTITION BY word) AS num FROM ky) WHERE num <= 1"))
@@ -141,8 +141,8 @@ def freq_filter(spark, sf_dir):
 @registered(sql.of("x kx", "SELECT word, seq, pos, num FROM (SELECT *, count(*) OVER (PARTITION BY word) AS num, row_number() OVER (PARTITION BY word ORDER BY seq, pos) - 1 AS k FROM kx) WHERE num >= 20 AND k % greatest(1, num // 10) = 0"))
 def stride_sample(spark, sf_dir):
     """Places of words with 20 or more, strided from 10 on."""
-    words = kmers.kmers(_x(spark, sf_dir))
-    counted = dictionary.merged(words, dictionary.dictionary(words).filter("num >= 20"), ["code"])
+    counts = dictionary.dictionary(kmers.kmers(_x(spark, sf_dir), columns=("code",))).filter("num >= 20")
+    counted = saved(dictionary.merged(kmers.kmers(_x(spark, sf_dir)), counts, ["code"]), "words")
     return kmers.spelled(dictionary.strided(counted, 10)).select("word", "seq", "pos", "num")
 
 
@@ -232,10 +232,20 @@ def fragments_percent(spark, sf_dir):
 
 @registered(sql.query(sql.used_blocks(), "SELECT * FROM fragments"))
 def fragment_codec(spark, sf_dir):
-    """Fragments through the 93-byte records and back."""
-    c = _compared(spark, sf_dir)
-    lengths = [genomes.totals(g).first()["total_length"] for g in (c.x, c.y)]
-    return _rounded(fragment_files.decode(fragment_files.encode(c.fragments, *lengths)))
+    """Fragments through files of 93-byte records and back."""
+    return _rounded(fragment_files.read_fragment_files(spark, _fragment_files(spark, _compared(spark, sf_dir))))
+
+
+def _fragment_files(spark, c: Comparison) -> str:
+    path = shared_path(spark, "fragments")
+    fragment_files.write_fragments(c.fragments, *[genomes.totals(g).first()["total_length"] for g in (c.x, c.y)], path)
+    return path
+
+
+@registered(sql.query(sql.used_blocks(), "SELECT sum(len)::BIGINT * (n > 0)::INT AS len_x, (SELECT sum(len) FROM y)::BIGINT * (n > 0)::INT AS len_y FROM x, (SELECT count(*) AS n FROM fragments) GROUP BY n"))
+def fragment_lengths(spark, sf_dir):
+    """Lengths from the headers of fragment files; zeros if there are no fragments."""
+    return fragment_files.read_lengths(spark, _fragment_files(spark, _compared(spark, sf_dir))).select("len_x", "len_y").distinct()
 
 
 @registered(sql.query(sql.used_blocks(), "SELECT least(length, 999)::INT AS len_bin, floor(similarity)::INT AS sim_bin, count(*) AS n FROM used GROUP BY 1, 2"))
@@ -248,7 +258,7 @@ def coverage_matrix(spark, sf_dir):
     return fragments.coverage_matrix(_compared(spark, sf_dir).coverage)
 
 
-@registered(sql.query(sql.used_blocks(), """SELECT s.strand, (SELECT sum(len) FROM x)::BIGINT AS len_x, (SELECT sum(len) FROM y)::BIGINT AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr, hits, hits_used, fragments FROM (
+@registered(sql.query(sql.used_blocks(), """SELECT s.strand, (SELECT sum(len) + count(*) - 1 FROM x)::BIGINT AS len_x, (SELECT sum(len) + count(*) - 1 FROM y)::BIGINT AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr, hits, hits_used, fragments FROM (
   SELECT coalesce(strand, 'both') AS strand, count(*) AS hits FROM thinned GROUP BY GROUPING SETS ((strand), ())) s JOIN (
   SELECT coalesce(strand, 'both') AS strand, count(*) AS hits_used, count(*) FILTER (accepted) AS fragments FROM used GROUP BY GROUPING SETS ((strand), ())) u USING (strand)"""))
 def run_info(spark, sf_dir):
@@ -295,7 +305,7 @@ def coverage_files(spark, sf_dir):
     return reports.read_matrix(spark, paths)
 
 
-@registered(sql.query(sql.used_blocks(), """SELECT 'documents' AS file_x, 'benchmark' AS file_y, (SELECT sum(len) FROM x)::BIGINT AS len_x, (SELECT sum(len) FROM y)::BIGINT AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr,
+@registered(sql.query(sql.used_blocks(), """SELECT 'documents' AS file_x, 'benchmark' AS file_y, (SELECT sum(len) + count(*) - 1 FROM x)::BIGINT AS len_x, (SELECT sum(len) + count(*) - 1 FROM y)::BIGINT AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr,
   (SELECT count(*) FROM thinned) AS hits, count(*) AS hits_used, count(*) FILTER (accepted) AS fragments FROM used HAVING (SELECT count(*) FROM thinned) > 0"""))
 def info_files(spark, sf_dir):
     """Run information of each strand, written and added up when read."""
@@ -312,7 +322,7 @@ UNION ALL SELECT num || chr(9) || count(*) FROM d WHERE num < 1001 GROUP BY num"
 def frequency_file(spark, sf_dir):
     """The lines of the word-frequency report."""
     path = shared_path(spark, "frequencies")
-    reports.write_frequencies(kmers.kmers(_x(spark, sf_dir)), path)
+    reports.write_frequencies(kmers.kmers(_x(spark, sf_dir), columns=("code",)), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -352,6 +362,39 @@ def all_vs_all_words(spark, sf_dir):
     return pairs.shared_word_counts(kmers.kmers(x, label="genome"), 1000)
 
 
+_PENDING = "a.genome <> (SELECT min(genome) FROM x)"
+
+
+def _all_talks(spark, sf_dir) -> CollectionComparison:
+    """All pairs of the genomes of conversations but those with the first one, which count as done."""
+    x = saved(genomes.conversations_collection(spark, sf_dir), "collection")
+    names = saved(x.groupBy("genome").agg(F.min("seq").alias("seq")), "genomes")
+    ranked = names.select("genome", F.row_number().over(Window.partitionBy().orderBy("genome")).alias("rank"))  # a row for each genome
+    every = pairs.all_pairs(ranked, "rank", "genome")
+    done = every.filter(F.col("name_x") == names.agg(F.min("genome")).first()[0])
+    wanted = pairs.pending(every, done).select(F.col("name_x").alias("genome_x"), F.col("name_y").alias("genome_y"))
+    return CollectionComparison(x, wanted)
+
+
+@registered(sql.query(sql.collection_blocks(sql.TALKS, 1000, pending=_PENDING), "SELECT * FROM fragments"))
+def all_vs_all_fragments(spark, sf_dir):
+    """Fragments of all pending pairs of genomes, both strands, in one job."""
+    return _rounded(_all_talks(spark, sf_dir).fragments)
+
+
+@registered(sql.query(sql.collection_blocks(sql.TALKS, 1000, pending=_PENDING), "SELECT genome_x, genome_y, least(length, 999)::INT AS len_bin, floor(similarity)::INT AS sim_bin, count(*) AS n FROM used GROUP BY ALL"))
+def all_vs_all_coverage(spark, sf_dir):
+    return _all_talks(spark, sf_dir).coverage
+
+
+@registered(sql.query(sql.collection_blocks(sql.SOURCES, 1000)[:1], "SELECT genome, seq, ident, len, g_off FROM x"))
+def fasta_collection(spark, sf_dir):
+    """Sources written as FASTA files of a folder each, and read back as genomes."""
+    path, x = shared_path(spark, "collection"), genomes.documents_collection(spark, sf_dir)
+    fasta.write_fasta_chunks(x.withColumnRenamed("genome", "chunk"), path)
+    return fasta.read_collection(spark, path, by_folder=True).select("genome", "seq", "ident", "len", "g_off")
+
+
 # chunks
 
 
@@ -396,7 +439,7 @@ def chunk_diag_balanced(spark, sf_dir):
     return chunking.balanced_diagonals(_saved_hits(spark, sf_dir), CHUNKS)
 
 
-@registered(sql.query([*sql.hits_blocks(strands="f"), _RANGES, "b AS (SELECT least(0, min(diag)) AS lo, greatest(0, max(diag)) AS hi FROM d)"], f'SELECT floor((diag - lo) / ceil((hi - lo + 1) / {CHUNKS}))::BIGINT AS chunk, min(start) AS start, max("end") AS "end", min(diag) AS first_diag, max(diag) AS last_diag FROM r, b GROUP BY 1'))
+@registered(sql.query([*sql.hits_blocks(strands="f"), _RANGES, "b AS (SELECT least(0, min(diag)) AS lo, greatest(0, max(diag)) AS hi FROM d)"], f'SELECT least({CHUNKS - 1}, (SELECT count(*) FROM range(0, {CHUNKS}) i(i) WHERE diag > lo + (2 * i + 1) * floor((hi - lo) / {CHUNKS - 1} / 2))) AS chunk, min(start) AS start, max("end") AS "end", min(diag) AS first_diag, max(diag) AS last_diag FROM r, b GROUP BY 1'))
 def chunk_diag_range(spark, sf_dir):
     return chunking.ranged_diagonals(_saved_hits(spark, sf_dir), CHUNKS)
 
@@ -413,6 +456,42 @@ def command_lines(spark, sf_dir):
     return workloads.command_lines(chunks, "search", "query.fasta", "query.out")
 
 
+@registered(f"SELECT chunk, p.pos, p.word FROM (SELECT chunk, unnest([{{pos: 0, word: 'search'}}, {{pos: 1, word: '-query'}}, {{pos: 2, word: printf('query.fasta-%04d', chunk)}}, {{pos: 3, word: '-out'}}, {{pos: 4, word: printf('query.out-%04d', chunk)}}]) AS p FROM (SELECT unnest(range(0, {CHUNKS})) AS chunk))")
+def command_tokens(spark, sf_dir):
+    """Command lines written, read back and cut into words."""
+    path = shared_path(spark, "commands")
+    command_lines(spark, sf_dir).select("line").write.text(path)
+    words = workloads.read_lines(spark, path).select(workloads.arguments(F.col("line")).alias("w"))
+    return words.select(F.substring(F.col("w")[2], -4, 4).cast("bigint").alias("chunk"), F.posexplode("w").alias("pos", "word"))
+
+
+@registered(f"SELECT 'query.fasta-' || lpad(chunk::VARCHAR, 4, '0') AS query, 'query.out-' || lpad(chunk::VARCHAR, 4, '0') AS out, 'query' AS prefix, 'out-' || lpad(chunk::VARCHAR, 4, '0') AS suffix FROM (SELECT unnest(range(0, {CHUNKS})) AS chunk)")
+def command_flags(spark, sf_dir):
+    return command_lines(spark, sf_dir).select(workloads.flags(F.col("line")).alias("f")).select("f.*")
+
+
+@registered(sql.of("y", "SELECT letter, instr('ACGT', letter)::INT - 1 AS base, count(*) AS n FROM (SELECT unnest(string_split(dna, '')) AS letter FROM y) GROUP BY ALL"))
+def base_indexes(spark, sf_dir):
+    letters = _y(spark, sf_dir).select(F.explode(F.split("dna", "")).alias("letter")).filter("letter <> ''")
+    return letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).select("letter", dna.base_index(F.col("letter")).cast("int").alias("base"), "n")
+
+
+@registered(sql.of("y", f"SELECT seq // size AS chunk, ident, len FROM y, (SELECT ceil(count(*) / {CHUNKS})::BIGINT AS size FROM y)"))
+def fasta_chunks(spark, sf_dir):
+    """Records written as FASTA files of equal numbers of records, and read back."""
+    y, path = saved(_y(spark, sf_dir), "y"), shared_path(spark, "chunks")
+    fasta.write_fasta_chunks(chunking.chunked(y, "seq", chunking.static_sizes(y.count(), CHUNKS)), path)
+    return fasta.read_collection(spark, path, by_folder=True).select(F.col("genome").cast("bigint").alias("chunk"), "ident", "len")
+
+
+@registered(sql.of("y ys", "SELECT seq, dna, len, g_off FROM ys WHERE strand = 'r'"))
+def fasta_reversed(spark, sf_dir):
+    """The other strand of benchmark, written as FASTA and read back."""
+    path = shared_path(spark, "fasta")
+    fasta.write_fasta(genomes.reversed_genome(_y(spark, sf_dir)), path)
+    return fasta.read_fasta(spark, path).select("seq", "dna", "len", "g_off")
+
+
 # kernels
 
 

@@ -48,25 +48,28 @@ def hits_blocks(k: int = 32, fl: int = 1000, strands: str = "fr") -> list[str]:
     ]
 
 
+def thinned(k: int = 32, by: str = "") -> str:
+    gap = 2 * k - 1
+    return f"""thinned AS MATERIALIZED (SELECT {by}strand, diag, "posX", "posX" - diag AS "posY", "seqX", "seqY" FROM (
+  SELECT {by}strand, diag, "seqX", "seqY", unnest(list_reduce(list_transform(list("posX" ORDER BY "posX"), lambda p: [p]), lambda a, p: CASE WHEN p[1] > a[-1] + {gap} THEN a || p ELSE a END)) AS "posX"
+  FROM hits GROUP BY {by}strand, diag, "seqX", "seqY"))"""
+
+
 def thin_blocks(**args) -> list[str]:
-    gap = 2 * args.get("k", 32) - 1
-    return [
-        *hits_blocks(**args),
-        f"""thinned AS MATERIALIZED (SELECT strand, diag, "posX", "posX" - diag AS "posY", "seqX", "seqY" FROM (
-  SELECT strand, diag, "seqX", "seqY", unnest(list_reduce(list_transform(list("posX" ORDER BY "posX"), lambda p: [p]), lambda a, p: CASE WHEN p[1] > a[-1] + {gap} THEN a || p ELSE a END)) AS "posX"
-  FROM hits GROUP BY strand, diag, "seqX", "seqY"))""",
-    ]
+    return [*hits_blocks(**args), thinned(args.get("k", 32))]
 
 
 def used_blocks(lmin: int = 100, simthr: float = 65, **args) -> list[str]:
-    k = args.get("k", 32)
+    return [*thin_blocks(**args), *extended_blocks(lmin, simthr, args.get("k", 32))]
+
+
+def extended_blocks(lmin: int = 100, simthr: float = 65, k: int = 32, by: str = "", on_x: str = "", on_y: str = "", n_y: str = "(SELECT count(*) FROM y)") -> list[str]:
     delta = "CASE WHEN a = 'N' OR b = 'N' THEN -1 WHEN a = b THEN 4 ELSE -4 END"
     return [
-        *thin_blocks(**args),
-        """seed AS MATERIALIZED (SELECT row_number() OVER () AS h, t.*, "posX" - x.g_off AS p, "posY" - ys.g_off AS q, 
+        f"""seed AS MATERIALIZED (SELECT row_number() OVER () AS h, t.*, "posX" - x.g_off AS p, "posY" - ys.g_off AS q, 
   least(x.len - p, ys.len - q) AS fn, least(p, q) AS bn, substring(x.dna, p + 1, fn) AS fx, substring(ys.dna, q + 1, fn) AS fy,
   reverse(substring(x.dna, p - bn + 1, bn)) AS bx, reverse(substring(ys.dna, q - bn + 1, bn)) AS bz
-  FROM thinned t JOIN x ON x.seq = t."seqX" JOIN ys ON ys.strand = t.strand AND ys.seq = t."seqY")""",
+  FROM thinned t JOIN x ON {on_x}x.seq = t."seqX" JOIN ys ON {on_y}ys.strand = t.strand AND ys.seq = t."seqY")""",
         f"""fw AS (SELECT h, t, {4 * k} + sum(d) OVER w AS c, sum((d = 4)::INT) OVER w AS m FROM (SELECT h, t, {delta} AS d FROM (
   SELECT h, t, substring(fx, t + 1, 1) AS a, substring(fy, t + 1, 1) AS b FROM (SELECT h, fx, fy, unnest(range({k}, fn)) AS t FROM seed)))
   WINDOW w AS (PARTITION BY h ORDER BY t ROWS UNBOUNDED PRECEDING))""",
@@ -78,17 +81,43 @@ def used_blocks(lmin: int = 100, simthr: float = 65, **args) -> list[str]:
   WINDOW w AS (PARTITION BY h ORDER BY t ROWS UNBOUNDED PRECEDING))""",
         "bstop AS (SELECT h, min(t) AS stop FROM bw WHERE c < 0 GROUP BY h)",
         "bbest AS (SELECT h, max(c) AS c, arg_max(t, (c, -t)) AS t, arg_max(m, (c, -t)) AS m FROM bw LEFT JOIN bstop USING (h) WHERE t < coalesce(stop, t + 1) AND c > fs GROUP BY h)",
-        f"""extended AS MATERIALIZED (SELECT *, length > {lmin} AND similarity > {float(simthr)}::FLOAT AS accepted, row_number() OVER (PARTITION BY strand, diag ORDER BY "posX") AS rn FROM (
+        f"""extended AS MATERIALIZED (SELECT *, length > {lmin} AND similarity > {float(simthr)}::FLOAT AS accepted, row_number() OVER (PARTITION BY {by}strand, diag ORDER BY "posX") AS rn FROM (
   SELECT *, (score * 100.0::DOUBLE / (length * 4))::FLOAT AS similarity FROM (
-  SELECT strand, diag, "posX", "posY", "seqX", "seqY", "posX" - coalesce(t, 0) - "seqX" AS "xStart", "posY" - coalesce(t, 0) - "seqY" AS "yStart",
+  SELECT {by}strand, diag, "posX", "posY", "seqX", "seqY", "posX" - coalesce(t, 0) - "seqX" AS "xStart", "posY" - coalesce(t, 0) - "seqY" AS "yStart",
          "posX" + ahead - "seqX" AS "xEnd", "posY" + ahead - "seqY" AS "yEnd", (ahead + coalesce(t, 0) + 1)::BIGINT AS length, (fi + coalesce(m, 0))::BIGINT AS ident, coalesce(c, fs)::BIGINT AS score
   FROM half LEFT JOIN bbest USING (h))))""",
-        """fold AS (SELECT strand, diag, rn, true AS is_used, CASE WHEN accepted THEN "posX" + length ELSE "posX" - 1 END AS fin FROM extended WHERE rn = 1
-  UNION ALL SELECT e.strand, e.diag, e.rn, f.fin <= e."posX", CASE WHEN f.fin <= e."posX" AND e.accepted THEN e."posX" + e.length ELSE f.fin END
-  FROM fold f JOIN extended e ON e.strand = f.strand AND e.diag = f.diag AND e.rn = f.rn + 1)""",
-        "used AS MATERIALIZED (SELECT e.* FROM extended e JOIN fold USING (strand, diag, rn) WHERE is_used)",
-        """fragments AS MATERIALIZED (SELECT diag, "xStart", "yStart", "xEnd", "yEnd", length, ident, score, round(similarity::DOUBLE, 4) AS similarity, "seqX",
-  CASE strand WHEN 'r' THEN (SELECT count(*) FROM y) - 1 - "seqY" ELSE "seqY" END AS "seqY", 0::BIGINT AS block, strand FROM used WHERE accepted)""",
+        f"""fold AS (SELECT {by}strand, diag, rn, true AS is_used, CASE WHEN accepted THEN "posX" + length ELSE "posX" - 1 END AS fin FROM extended WHERE rn = 1
+  UNION ALL SELECT {"".join(f"e.{c.strip()}, " for c in by.split(",") if c.strip())}e.strand, e.diag, e.rn, f.fin <= e."posX", CASE WHEN f.fin <= e."posX" AND e.accepted THEN e."posX" + e.length ELSE f.fin END
+  FROM fold f JOIN extended e ON {"".join(f"e.{c.strip()} = f.{c.strip()} AND " for c in by.split(",") if c.strip())}e.strand = f.strand AND e.diag = f.diag AND e.rn = f.rn + 1)""",
+        f"used AS MATERIALIZED (SELECT e.* FROM extended e JOIN fold USING ({by}strand, diag, rn) WHERE is_used)",
+        f"""fragments AS MATERIALIZED (SELECT {by}diag, "xStart", "yStart", "xEnd", "yEnd", length, ident, score, round(similarity::DOUBLE, 4) AS similarity, "seqX",
+  CASE strand WHEN 'r' THEN {n_y} - 1 - "seqY" ELSE "seqY" END AS "seqY", 0::BIGINT AS block, strand FROM used WHERE accepted)""",
+    ]
+
+
+#: genome, place, ident and dna of the records of two collections: documents by source, and turns of
+#: conversations by conversation, those with odd numbers reverse-complemented.
+SOURCES = f"SELECT source AS genome, doc_id AS place, doc_id::VARCHAR AS ident, {DNA} AS dna FROM documents"
+TALKS = f"SELECT (conv_id % 5)::VARCHAR AS genome, conv_id * 1000 + turn AS place, conv_id || '-' || turn AS ident, CASE WHEN turn % 2 = 1 THEN {rc(DNA)} ELSE {DNA} END AS dna FROM conversations"
+
+
+def collection_blocks(records: str, fl: int, k: int = 32, lmin: int = 100, simthr: float = 65, pending: str = "true") -> list[str]:
+    """All pairs of genomes, both strands; pending: which pairs."""
+    def placed(order: str) -> str:
+        return f"coalesce(sum(len + 1) OVER (PARTITION BY genome ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+
+    return [
+        f"""x AS MATERIALIZED (SELECT *, {placed('seq')} AS g_off FROM (
+  SELECT genome, row_number() OVER (PARTITION BY genome ORDER BY place) - 1 AS seq, ident, dna, length(dna) AS len FROM ({records})))""",
+        f"""ys AS MATERIALIZED (SELECT 'f' AS strand, genome, seq, dna, len, g_off FROM x UNION ALL SELECT 'r', genome, seq, dna, len, {placed('seq')} FROM (
+  SELECT genome, count(*) OVER (PARTITION BY genome) - 1 - seq AS seq, {rc('dna')} AS dna, len FROM x))""",
+        words("kys", "ys", "strand, genome, "),
+        f"""met AS (SELECT key FROM (SELECT substring(word, 1, {k}) AS key, genome FROM kys) GROUP BY key HAVING count(DISTINCT genome) > 1)""",
+        f"""often AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY genome, strand, word) AS num, substring(word, 1, {k}) AS key FROM kys WHERE substring(word, 1, {k}) IN (FROM met)) WHERE num <= {fl})""",
+        f"""hits AS MATERIALIZED (SELECT a.genome AS genome_x, b.genome AS genome_y, b.strand, a.pos - b.pos AS diag, a.pos AS "posX", b.pos AS "posY", a.seq AS "seqX", b.seq AS "seqY"
+  FROM often a JOIN often b ON a.key = b.key AND a.strand = 'f' AND a.genome < b.genome WHERE {pending})""",
+        thinned(k, "genome_x, genome_y, "),
+        *extended_blocks(lmin, simthr, k, "genome_x, genome_y, ", "x.genome = t.genome_x AND ", "ys.genome = t.genome_y AND ", "(SELECT count(*) FROM x WHERE x.genome = genome_y)"),
     ]
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +18,64 @@ HEADER = np.dtype([("lenX", ">u8"), ("lenY", ">u8")])
 SCHEMA = ", ".join(f"{n} {'float' if n == 'similarity' else 'string' if n == 'strand' else 'bigint'}" for n in RECORD.names)
 
 
-def encode(fragments: DataFrame, len_x: int, len_y: int) -> DataFrame:
-    """content: the bytes of one file for each partition, header included; at least none."""
+def packed(batch: pa.RecordBatch) -> bytes:
+    """The records of a batch."""
+    rows = np.zeros(batch.num_rows, RECORD)
+    for name in RECORD.names:
+        rows[name] = [s.encode() for s in batch.column(name).to_pylist()] if name == "strand" else batch.column(name).to_numpy()
+    return rows.tobytes()
+
+
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+
+def write_fragments(fragments: DataFrame, len_x: int, len_y: int, path: str) -> None:
+    """Writes a folder of fragment files, one for each partition that has any, each with the header. Without
+    fragments there is one file with a header of zeros and no records.
+
+    A task writes under a hidden name and renames the whole file, so that a failed attempt leaves nothing
+    that is read, and a repeated one the same file.
+    """
+    system, root = located(path)
+    system.create_dir(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.array([(len_x, len_y)], HEADER).tobytes()
+        system, target = located(path)
+        hidden, name, out, n = f"{target}/.{uuid.uuid4().hex}", f"{target}/part-{TaskContext.get().partitionId():06d}.frags", None, 0
         for batch in batches:
             if batch.num_rows:
-                rows = np.zeros(batch.num_rows, RECORD)
-                for name in RECORD.names:
-                    rows[name] = [s.encode() for s in batch.column(name).to_pylist()] if name == "strand" else batch.column(name).to_numpy()
-                yield pa.record_batch({"content": pa.array([head + rows.tobytes()], pa.binary())})
+                if out is None:
+                    out = system.open_output_stream(hidden)
+                    out.write(np.array([(len_x, len_y)], HEADER).tobytes())
+                out.write(packed(batch))
+                n += batch.num_rows
+        if out is not None:
+            out.close()
+            system.move(hidden, name)
+            yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    written = fragments.select(*RECORD.names).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
+    if not written:
+        with system.open_output_stream(f"{root}/part-none.frags") as out:
+            out.write(bytes(HEADER.itemsize))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path)
 
-    return fragments.select(*RECORD.names).mapInArrow(run, "content binary")
 
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """file, len_x, len_y from the header of each file."""
 
-def decode(files: DataFrame) -> DataFrame:
-    """Fragments of a table of file contents; records without length are left out."""
+    def number(at: int):
+        return F.conv(F.hex(F.substr("content", F.lit(at), F.lit(8))), 16, 10).cast("bigint")
+
+    return _files(spark, path).select(F.col("path").alias("file"), number(1).alias("len_x"), number(9).alias("len_y"))
+
+
+def read_fragment_files(spark: SparkSession, path: str) -> DataFrame:
+    """The fragments of all files; records without length are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,8 +84,4 @@ def decode(files: DataFrame) -> DataFrame:
                 rows = rows[rows["length"] > 0]
                 yield pa.record_batch({n: pa.array([s.decode() for s in rows[n]], pa.string()) if n == "strand" else pa.array(rows[n].astype(rows[n].dtype.newbyteorder("="))) for n in RECORD.names})
 
-    return files.select("content").mapInArrow(run, SCHEMA)
-
-
-def read_fragment_files(spark: SparkSession, path: str) -> DataFrame:
-    return decode(spark.read.format("binaryFile").load(path).select(F.col("content")))
+    return _files(spark, path).select("content").mapInArrow(run, SCHEMA)

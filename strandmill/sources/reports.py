@@ -65,6 +65,13 @@ def combined_info(infos: DataFrame) -> DataFrame:
     return infos.groupBy(*[c for c in LABELS if c not in _COUNTERS]).agg(*[F.sum(c).alias(c) for c in _COUNTERS])
 
 
+def write_timings(spark: SparkSession, timings: dict[str, float], path: str) -> None:
+    """The number of cores, the stages' names and what they took, in minutes and seconds."""
+    took = (f"{int(t // 60)}:{t % 60:05.2f}" for t in timings.values())
+    lines = ["=" * 35, f"Number of cores: {spark.sparkContext.defaultParallelism}", "=" * 35, ";".join(timings), ";".join(took)]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+
+
 def write_matrix(coverage: DataFrame, path: str) -> None:
     """A line for each length from 0 to LAST_LENGTH, with the counts of 0 to 100 percent, each followed by
     a tab. coverage: len_bin, sim_bin, n."""

@@ -15,6 +15,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line")).filter(F.length(F.trim("line")) > 0)
 
 
+def read_workload(spark: SparkSession, path: str) -> DataFrame:
+    """rank, line: the lines of a workload file, counted from 0 as workers are. A last line without a line
+    end doesn't count. One row for each worker."""
+    text = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"))
+    return text.select(F.posexplode(F.slice("lines", F.lit(1), F.size("lines") - 1)).alias("rank", "line"))
+
+
+def write_workload(workload: DataFrame, path: str) -> None:
+    """A line for each rank, in order."""
+    workload.repartition(1).sortWithinPartitions("rank").select("line").write.text(path)  # one row for each worker
+
+
+def flags(line: Column) -> Column:
+    """Struct of query, and of out with its first two parts between dots as prefix and suffix, from a command
+    line with `-query FILE -out FILE`; null where a flag or part is missing."""
+    def value(flag: str) -> Column:
+        found = F.regexp_extract(line, rf"(?:^|\s)-{flag}\s+(\S+)", 1)
+        return F.when(found != "", found)
+
+    out = value("out")
+    parts = F.filter(F.split(out, r"\."), lambda p: p != "")
+    return F.struct(value("query").alias("query"), out.alias("out"), F.get(parts, F.lit(0)).alias("prefix"), F.get(parts, F.lit(1)).alias("suffix"))
+
+
 def prefixes(lines: DataFrame) -> DataFrame:
     """rank, prefix: the comma-separated prefixes of each line. lines: rank, line."""
     return lines.select("rank", F.explode(F.split("line", ",")).alias("prefix")).select("rank", F.trim("prefix").alias("prefix")).filter("prefix <> ''")

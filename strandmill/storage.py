@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as on one machine.
+#: Used where spark.checkpoint.dir is unset; on one machine only.
 LOCAL = "file:///tmp/checkpoints"
 #: Rows up to which a narrow table is broadcast (a few tens of bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = LOCAL
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,6 +6,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
@@ -29,6 +31,23 @@ def test_nothing_else_imports_the_optional_part():
             assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names), path
 
 
+def test_clusters_need_a_shared_folder():
+    from strandmill.storage import shared_path
+
+    class Session:
+        def __init__(self, **conf):
+            self.sparkContext, self.conf = self, conf
+
+        def getConf(self):
+            return {k.replace("_", "."): v for k, v in self.conf.items()}
+
+    assert shared_path(Session(spark_master="local[4]"), "x").startswith("file:///tmp/")
+    assert shared_path(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://h/c/"), "x").startswith("hdfs://h/c/x-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="share"):
+            shared_path(Session(spark_master=master), "x")
+
+
 def test_works_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT / "strandmill", tmp_path / "strandmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)

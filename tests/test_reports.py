@@ -46,6 +46,15 @@ def test_frequencies(spark, tmp_path, monkeypatch):
     assert dictionary.OUTLIER == 1001
 
 
+def test_timings(spark, tmp_path):
+    g = genome(spark, S40)
+    c = Comparison(g, g, lmin=30, strands="f")
+    c.fragments.count()
+    assert list(c.timings) == ["hits", "thinned", "used"] and all(t > 0 for t in c.timings.values())
+    reports.write_timings(spark, {"hits": 75.5, "used": 0.25}, f"file://{tmp_path}/t")
+    assert lines(tmp_path / "t") == ["=" * 35, f"Number of cores: {spark.sparkContext.defaultParallelism}", "=" * 35, "hits;used", "1:15.50;0:00.25"]
+
+
 def test_csv_report(spark, tmp_path):
     g = genome(spark, S40)
     c = Comparison(g, g, lmin=30, strands="f")
