@@ -359,7 +359,7 @@ def all_vs_all_words(spark, sf_dir):
     """Sources as genomes: the words that every two of them share."""
     docs = _table(spark, sf_dir, "documents")
     x = _x(spark, sf_dir).join(docs.select(F.col("doc_id").cast("string").alias("ident"), F.col("source").alias("genome")), "ident")
-    return pairs.shared_word_counts(kmers.kmers(x, label="genome"), 1000)
+    return pairs.shared_word_counts(kmers.kmers(x, label="genome", columns=("code",)), 1000)
 
 
 _PENDING = "a.genome <> (SELECT min(genome) FROM x)"
