@@ -31,6 +31,8 @@ FILE_RECORDS = 1000
 CRLF = "\r\n"
 #: Bytes read at a time; how a compressed record begins.
 CHUNK, MEMBER = 1 << 16, b"\x1f\x8b\x08"
+#: Records that a reading task holds at most: so many, or just over so many bytes. Level of the compression.
+BATCH_ROWS, BATCH_BYTES, LEVEL = 1000, 4 << 20, 3
 
 
 def warc_record(uri: Column, payload: Column, key: Column | None = None) -> Column:
@@ -129,7 +131,7 @@ def compressed(record: Column) -> Column:
         for batch in batches:
             out = []
             for data in pc.cast(batch, pa.binary()).to_pylist():
-                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 out.append(None if data is None else pack.compress(data) + pack.flush())
             yield pa.array(out, pa.binary())
 
@@ -172,21 +174,32 @@ def write_warc(records: DataFrame, file_col: str, order: list[str], record_col:
     return materialize(written, "warc-files")
 
 
-def read_warc(files: DataFrame) -> DataFrame:
-    """file, node (place in the file), offset and length (in the uncompressed file), uri, key, warc_type and record of every record.
-    files: file, path. A file is read by one task, which holds a record at a time."""
+def read_warc(files: DataFrame, with_records: bool = True) -> DataFrame:
+    """file, node (place in the file), offset and length (in the uncompressed file), digest, uri, key,
+    warc_type and record (null unless with_records) of every record. files: file, path. A file is read by
+    one task, which holds some records at a time."""
+    fields = {"file": pa.string(), "node": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "digest": pa.string(), "uri": pa.string(), "key": pa.string(), "warc_type": pa.string(), "record": pa.binary()}
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def told() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.record_batch({n: pa.array(list(c), kind) for (n, kind), c in zip(fields.items(), columns, strict=True)})
+
         for batch in batches:
             for name, path in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 system, own = split_uri(path)
                 with system.open_input_stream(own, compression=None) as data:
                     chunks = iter(lambda data=data: data.read(CHUNK), b"")
                     for node, (offset, head, record) in enumerate(parse_warc(inflated(chunks))):
-                        yield pa.record_batch({
-                            "file": pa.array([name], pa.string()), "node": [node], "offset": [offset], "length": [len(record)], "digest": [hashlib.sha256(record).hexdigest()],
-                            **{c: pa.array([head.get(h)], pa.string()) for c, h in (("uri", "warc-target-uri"), ("key", "warc-record-id"), ("warc_type", "warc-type"))}, "record": pa.array([record], pa.binary()),
-                        })
+                        rows.append((name, node, offset, len(record), hashlib.sha256(record).hexdigest(), head.get("warc-target-uri"), head.get("warc-record-id"), head.get("warc-type"), record if with_records else None))
+                        held += len(record) if with_records else 0
+                        if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                            yield told()
+                            rows, held = [], 0
+        if rows:
+            yield told()
 
     return files.select("file", "path").mapInArrow(records, "file string, node bigint, offset bigint, length bigint, digest string, uri string, key string, warc_type string, record binary")
 
@@ -198,7 +211,7 @@ def leaf_hash() -> Column:
 def hashed_files(files: DataFrame) -> DataFrame:
     """Level 0 of files of records: file, node, offset, length, digest, key, hash. Records are hashed where
     they are read, and don't travel."""
-    return read_warc(files).select("file", "node", "offset", "length", "digest", "key", leaf_hash().alias("hash"))
+    return read_warc(files, with_records=False).select("file", "node", "offset", "length", "digest", "key", leaf_hash().alias("hash"))
 
 
 def leaves(records: DataFrame, file_col: str = "file", offset_col: str = "offset", record_col: str = "record", key_col: str | None = None) -> DataFrame:
