@@ -70,7 +70,7 @@ def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
     def prefix(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for x in pc.cast(batch, pa.binary()).to_pylist():
+            for x in (x for part in pieces(pc.cast(batch, pa.binary())) for x in part.to_pylist()):
                 hashes = shingle_hashes(x or b"", words)
                 found = np.unique(hashes)
                 met = counts[(found % np.uint64(BUCKETS)).astype(np.int64)]
@@ -87,7 +87,9 @@ def set_column(text: Column, words: int) -> Column:
     @F.arrow_udf("array<bigint>")
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shingle_set(x, words).view(np.int64).tolist() for x in pc.cast(batch, pa.binary()).to_pylist()], pa.list_(pa.int64()))
+            sets = [shingle_set(x, words) for part in pieces(pc.cast(batch, pa.binary())) for x in part.to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
 
     return shingles(text)
 

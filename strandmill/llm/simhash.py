@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, materialized_from, named, partitions, table, text_digest, without
+from strandmill.llm.common import materialize, materialized_from, named, partitions, pieces, table, text_digest, without
 
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
@@ -61,7 +61,7 @@ def fingerprint_column(text: Column, words: int = 3) -> Column:
     @F.arrow_udf("bigint")
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint(x or b"", words) for x in pc.cast(batch, pa.binary()).to_pylist()], pa.int64())
+            yield pa.array([fingerprint(x or b"", words) for part in pieces(pc.cast(batch, pa.binary())) for x in part.to_pylist()], pa.int64())
 
     return simhash(text)
 
