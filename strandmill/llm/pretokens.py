@@ -20,9 +20,9 @@ import regex
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 #: Bytes of a worker's cache, which is emptied when full, and what an entry takes besides its match and ids.
 #: Longer matches than LONG bytes are not kept at all.
-CACHED, ENTRY, LONG = 24 << 20, 200, 256
+CACHED, ENTRY, LONG = 128 << 20, 200, 256
 #: Bytes of text encoded at a time; arrays take some fifty times as much.
-PIECE = 1 << 19
+PIECE = 1 << 20
 
 
 @cache
