@@ -47,20 +47,23 @@ def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
     m = _HEADER.match(data)
     if not m:
         raise ValueError("not a Netpbm image")
-    kind, w, h = map(int, m.groups())
+    kind, w, h = int(m[1]), number(m[2]), number(m[3])
     at, most = m.end(), 1
     if kind not in (1, 4):
         n = _MAXVAL.match(data, at)
-        if not n or not 0 < int(n[1]) < 1 << 16:
+        if not n or not 0 < number(n[1]) < 1 << 16:
             raise ValueError("no valid greatest value")
-        at, most = n.end(), int(n[1])
+        at, most = n.end(), number(n[1])
     shape = (h, w, 3) if kind in (3, 6) else (h, w)
-    size = int(np.prod(shape))
+    size = h * w * (3 if kind in (3, 6) else 1)
+    # Bytes that so many samples take at least: made-up sizes are refused before anything is allocated.
+    if (h * -(-w // 8) if kind == 4 else size * (2 if kind > 4 and most > 255 else 1)) > len(data) - at:
+        raise ValueError("the image is larger than its data")
     if kind == 1:  # digits may touch each other
         found = np.frombuffer(re.sub(rb"#[^\n]*|[^01]", b"", data[at:]), np.uint8)[:size]
         return (ord("1") - found).reshape(shape), most
     if kind < 4:
-        found = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:size], np.int64)
+        found = np.array([number(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:size]], np.int64)
         return checked(found, most).astype(np.uint16 if most > 255 else np.uint8).reshape(shape), most
     at += 1  # one white space
     if kind == 4:
@@ -69,6 +72,13 @@ def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
     return checked(np.frombuffer(data, np.dtype(">u2" if most > 255 else "u1"), size, at), most).reshape(shape), most
 
 
+def number(digits: bytes) -> int:
+    """A whole number of up to ten digits, leading zeros aside; nothing else is one."""
+    if not digits.isdigit() or len(digits.lstrip(b"0")) > 10:
+        raise ValueError("not a number of an image")
+    return int(digits)
+
+
 def checked(samples: np.ndarray, most: int) -> np.ndarray:
     if len(samples) and int(samples.max()) > most:
         raise ValueError("a sample is over the greatest value")
@@ -84,6 +94,8 @@ def decode_bmp(data: bytes) -> tuple[np.ndarray, int]:
     if packed or bits not in (1, 4, 8, 16, 24, 32) or w <= 0:
         raise ValueError(f"BMP with {bits} bits and compression {packed}")
     stride = (w * bits + 31) // 32 * 4
+    if stride * abs(h) > len(data) - at:
+        raise ValueError("the image is larger than its data")
     rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
     if bits >= 24:
