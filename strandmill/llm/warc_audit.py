@@ -16,7 +16,6 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +30,8 @@ FILE_RECORDS = 1000
 CRLF = "\r\n"
 #: Bytes read at a time; how a compressed record begins.
 CHUNK, MEMBER = 1 << 16, b"\x1f\x8b\x08"
+#: How a record ends.
+END = b"\r\n\r\n"
 #: Records that a reading task holds at most: so many, or just over so many bytes. Level of the compression.
 BATCH_ROWS, BATCH_BYTES, LEVEL = 1000, 4 << 20, 3
 
@@ -98,9 +99,9 @@ def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], b
 
 
 def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The bytes of records compressed one by one (gzip members). What can't be inflated is passed over up
-    to the next member. Other files pass as they are."""
-    rest, member, packed = b"", None, None
+    """The bytes of records compressed one by one (gzip members). A member that can't be inflated comes as far as it goes, and what is left of it,
+    up to the next member, as it stands, so that it is a damaged record and not a lost one. Other files pass as they are."""
+    rest, member, packed, broken = b"", None, None, False
     for chunk in chunks:
         packed = chunk.startswith(MEMBER) if packed is None else packed
         if not packed:
@@ -110,17 +111,24 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
         while rest:
             if member is None:
                 k = rest.find(MEMBER)
-                rest = rest[k:] if k >= 0 else rest[-2:]
+                passed, rest = (rest[:k], rest[k:]) if k >= 0 else (rest[:-2], rest[-2:])
+                if passed:
+                    yield passed
                 if k < 0:
                     break
-                member = zlib.decompressobj(31)
+                if broken:
+                    yield END
+                member, broken = zlib.decompressobj(31), False
             try:
                 out = member.decompress(rest)
             except zlib.error:
-                rest, member = rest[1:], None
+                yield rest[:1]
+                rest, member, broken = rest[1:], None, True
                 continue
             yield out
             rest, member = (member.unused_data, None) if member.eof else (b"", member)
+    if member is None and packed and rest:
+        yield rest
 
 
 def compressed(record: Column) -> Column:
@@ -275,7 +283,8 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places of equal digests in both lists, rising in both: common beginnings and ends, then digests
-    that each side has once, and so on between those."""
+    that each side has once, and so on between those; where all are repeated, equal ones by their turn. The time is
+    n log n for each level of parts."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, k, j, m = todo.pop()
@@ -296,11 +305,25 @@ def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
                 i, j = x + 1, y + 1
             out += chain
         elif in_a.keys() & in_b.keys():
-            blocks = SequenceMatcher(None, a[i:k], b[j:m], autojunk=False).get_matching_blocks()
-            out += [(i + x + n, j + y + n) for x, y, size in blocks for n in range(size)]
+            out += longest_chain(by_turn(a[i:k], b[j:m], i, j))
     return sorted(out)
 
 
+def by_turn(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int]]:
+    """Places (from i and j) of equal digests, the n-th of a kind in a with the n-th in b."""
+    seen, turns = Counter(), {}
+    for y, digest in enumerate(b):
+        turns[digest, seen[digest]] = j + y
+        seen[digest] += 1
+    seen = Counter()
+    met = []
+    for x, digest in enumerate(a):
+        if (y := turns.get((digest, seen[digest]))) is not None:
+            met.append((i + x, y))
+        seen[digest] += 1
+    return met
+
+
 def pairing(a: list[tuple[str, str | None]], b: list[tuple[str, str | None]], parts: tuple[list[int], list[int]] | None = None) -> list[tuple[int | None, int | None, str]]:
     """(place in a, place in b, status) of all records (digest, key) of a file's two replicas. parts: what
     lies between records left out since they agree; the numbers of both sides' parts."""
@@ -367,13 +390,16 @@ def fixity(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFram
 
 
 def page_replica(pages: DataFrame, damaged: bool) -> DataFrame:
-    """file, page_id, tie, record of pages as WARC records, FILE_RECORDS identifiers to a file; null
-    identifiers have a file of their own. In the damaged replica, two of three files have another first byte
+    """file, page_id, tie, record of pages as WARC records, FILE_RECORDS identifiers to a file; rows with
+    null identifiers have files of their own, of about as many rows. In the damaged replica, two of three files have another first byte
     in each page whose identifier ends in 37; of those, one in three has lost a record at place 120, has
     another one after place 180, and file 3 ends at place 900."""
     number = F.floor(F.coalesce("page_id", F.lit(-1)) / FILE_RECORDS)
     turn, place, key = F.pmod(number, F.lit(3)), F.pmod("page_id", F.lit(FILE_RECORDS)), F.col("page_id").cast("string")
-    rows = pages.select("page_id", "url", "html", F.concat(F.lit("pages-"), number.cast("string"), F.lit(".warc")).alias("file"), key.alias("key"), turn.alias("turn"), place.alias("place"))
+    nameless = pages.filter("page_id IS NULL").count()
+    shares = F.lit(max(1, -(-nameless // FILE_RECORDS)))
+    name = F.when(F.col("page_id").isNull(), F.concat(F.lit("none-"), F.pmod(F.xxhash64("url", "html", F.monotonically_increasing_id()), shares).cast("string"))).otherwise(number.cast("string"))
+    rows = pages.select("page_id", "url", "html", F.concat(F.lit("pages-"), name, F.lit(".warc")).alias("file"), key.alias("key"), turn.alias("turn"), place.alias("place"))
     if damaged:
         changed = (F.col("turn") < 2) & (F.pmod("page_id", F.lit(100)) == 37) & F.col("html").startswith("<")
         rows = rows.withColumn("html", F.when(changed, F.concat(F.lit("X"), F.substr("html", F.lit(2)))).otherwise(F.col("html")))
