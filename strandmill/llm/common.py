@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, the folder that driver and executors share."""
     conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not root:
         if not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -34,29 +35,36 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths written inside of each open scratch().
-_scratch: list[list[str]] = []
+#: Paths written inside of the innermost open scratch() of this thread.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside are deleted at the end."""
-    _scratch.append([])
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are written inside are deleted at the end, but for those taken off the list of paths."""
+    paths: list[str] = []
+    outer = _scratch.set(paths)
     try:
-        yield
+        yield paths
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(outer)
+        for path in paths:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _written(path: str) -> None:
+    paths = _scratch.get()
+    if paths is not None:
+        paths.append(path)
+
+
 def materialized_from(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The written result of make(), whose own tables are deleted."""
-    with scratch(spark):
+    with scratch(spark) as paths:
         out = materialize(make(), name)
-        kept = _scratch[-1].pop()
-    if _scratch:
-        _scratch[-1].append(kept)
+        kept = paths.pop()
+    _written(kept)
     return out
 
 
@@ -66,8 +74,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
+    _written(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
