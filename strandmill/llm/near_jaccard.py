@@ -30,6 +30,8 @@ WORDS, RADIUS = 5, 2
 BUCKETS = 1 << 16
 #: Texts sampled to find shingles that many prefixes share, and how many of them make a shingle hot.
 SAMPLED, HOT = 20_000, 20
+#: Shingles before its own that each member of a pair shows to tell that the pair has met before.
+RECENT = 32
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -185,9 +187,13 @@ def _similar_roots(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
     first = materialized_from(spark, lambda: verified(stars, rows, docs, text_col, words), "similar")
     open_ = shared.drop("head").join(few(components(first).select(F.col("node").alias("own"), "root")), F.col("node") == F.col("own"), "left").withColumn("root", F.coalesce("root", "node"))
     split = open_.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
-    open_ = open_.join(split, "shingle", "left_semi")
-    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root")]) for x in "ab")
+    # Members of a group share most shingles: a pair is made at the first one, where the bound is lowest. At another one it is
+    # dropped if one of the few before it, in the order that all prefixes have, is common too.
+    recent = Window.partitionBy("node").orderBy("pos").rowsBetween(-RECENT, -1)
+    open_ = open_.join(split, "shingle", "left_semi").withColumn("recent", F.collect_list("shingle").over(recent))
+    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "recent")]) for x in "ab")
     met = a.join(b, "shingle").filter("node_a < node_b AND root_a <> root_b").filter(reachable("n_a", "n_b", "least(n_a - pos_a, n_b - pos_b)"))
+    met = met.filter(~F.arrays_overlap("recent_a", "recent_b"))
     met = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     second = materialized_from(spark, lambda: verified(met, rows, docs, text_col, words), "similar")
 
