@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandmill.operators.indexing import with_places
 
+#: Places of a range in which the hits of a diagonal are numbered on their own.
+SPAN = 1 << 20
+
 
 def static_sizes(n: int, chunks: int) -> list[int]:
     size = -(-n // chunks) if chunks else 0
@@ -77,7 +80,13 @@ def ranged_diagonals(hits: DataFrame, chunks: int) -> DataFrame:
     return ranges.groupBy("chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("diag").alias("first_diag"), F.max("diag").alias("last_diag"))
 
 
-def numbered(hits: DataFrame) -> DataFrame:
-    """Each hit with its place along its diagonal."""
-    order = Window.partitionBy("strand", "diag").orderBy("posX")
-    return hits.withColumn("place", F.row_number().over(order).cast("bigint"))
+def numbered(hits: DataFrame, span: int = SPAN) -> DataFrame:
+    """Each hit with its place along its diagonal, by posX. Hits are numbered in ranges of `span` places, whose totals are added up,
+    so that a long diagonal is not one group. hits are read twice: pass a written table."""
+    rows = hits.withColumn("__range", F.floor(F.col("posX") / span))
+    totals = rows.groupBy("strand", "diag", "__range").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = Window.partitionBy("strand", "diag").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("strand", "diag", "__range", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"))
+    order = Window.partitionBy("strand", "diag", "__range").orderBy("posX")
+    placed = rows.withColumn("place", F.row_number().over(order).cast("bigint")).join(totals, ["strand", "diag", "__range"])
+    return placed.select(*hits.columns, (F.col("place") + F.col("__before")).alias("place"))

@@ -18,7 +18,16 @@ def least_length(lmin: int, x: DataFrame | None = None, y: DataFrame | None = No
     return int(min(first) * (lmin / 100.0))
 
 
-def judged(extended: DataFrame, lmin: int, simthr: float) -> DataFrame:
+def least_lengths(lmin: int, pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """genome_x, genome_y, least: lmin percent of the shorter first record of each pair."""
+    first = records.filter("seq = 0").select("genome", "len")
+    x, y = (first.select(F.col("genome").alias(f"genome_{s}"), F.col("len").alias(f"first_{s}")) for s in "xy")
+    both = pairs.join(x, "genome_x", "left").join(y, "genome_y", "left")
+    shorter = F.least(F.coalesce("first_x", F.lit(0)), F.coalesce("first_y", F.lit(0)))
+    return both.select("genome_x", "genome_y", (shorter * F.lit(lmin / 100.0)).cast("bigint").alias("least"))
+
+
+def judged(extended: DataFrame, lmin: int | Column, simthr: float) -> DataFrame:
     """Adds accepted: longer than lmin and more similar than simthr, both strictly."""
     return extended.withColumn("accepted", (F.col("length") > lmin) & (F.col("similarity") > F.lit(float(simthr)).cast("float")))
 
@@ -45,13 +54,15 @@ def two_places(x: Column) -> Column:
     return F.format_string("%.2f", x)
 
 
-def export(rows: DataFrame, y_total: int) -> DataFrame:
-    """The table as exported: coordinates of the reverse strand counted from the forward start, ratios
+def export(rows: DataFrame, y_total: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """The table as exported, with the columns of by: coordinates of the reverse strand counted from the forward start, ratios
     with two decimals."""
+    total = F.lit(y_total) if isinstance(y_total, int) else y_total
+
     def flipped(c: str) -> Column:
-        return F.when(F.col("strand") == "r", F.lit(y_total) - F.col(c) - 1).otherwise(F.col(c)).alias(c)
+        return F.when(F.col("strand") == "r", total - F.col(c) - 1).otherwise(F.col(c)).alias(c)
 
-    return rows.select(F.lit("Frag").alias("Type"), "xStart", flipped("yStart"), "xEnd", flipped("yEnd"), "strand", "block", "length", "score", "ident", two_places(F.col("score") / (F.col("length") * 4.0)).alias("similarity"), two_places(F.col("ident") / F.col("length").cast("double")).alias("pct_ident"), "seqX", "seqY")
+    return rows.select(*by, F.lit("Frag").alias("Type"), "xStart", flipped("yStart"), "xEnd", flipped("yEnd"), "strand", "block", "length", "score", "ident", two_places(F.col("score") / (F.col("length") * 4.0)).alias("similarity"), two_places(F.col("ident") / F.col("length").cast("double")).alias("pct_ident"), "seqX", "seqY")
 
 
 def write_csv(exported: DataFrame, path: str) -> None:

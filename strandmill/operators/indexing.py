@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Relative error of the bucket bounds; it decides balance only.
 ERROR = 0.001
 
 
+def below(value: Column, bounds: list[float], first: int) -> Column:
+    """`first` and the number of the sorted bounds up to the value, by halving them: a row makes few comparisons, whatever
+    the number of bounds."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value >= F.lit(float(bounds[half])), below(value, bounds[half + 1 :], first + half + 1)).otherwise(below(value, bounds[:half], first))
+
+
 def with_places(df: DataFrame, key: str | list[str], size: str | None = None, index: str = "place", before: str = "before", spot: str | None = None) -> DataFrame:
     """Adds `index`, the row's place by key (one column or several) from 0, and, if size names a column,
     `before`, the sum of size over all earlier rows. Rows of equal keys stand by a hash of the whole row, so
@@ -24,7 +33,7 @@ def with_places(df: DataFrame, key: str | list[str], size: str | None = None, in
     quantiles = df.approxQuantile(spot, [i / n for i in range(1, n)], ERROR) if n > 1 else []
     bounds = sorted(set(quantiles))
     value = F.col(spot)
-    inside = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= value)) if bounds else F.lit(0)
+    inside = below(value, bounds, 0)
     # Shares of a cut value, one for each bucket that it alone would fill, come before larger values of its bucket.
     cuts = F.lit(1)
     if len(keys) == 1:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.dna import packed_word
+from strandmill.operators.keyfilter import passes
 
 WORD = 32
 #: Bases taken at a time, so that memory doesn't grow with a record.
@@ -34,10 +36,11 @@ def pack_words(bases: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, words[starts]
 
 
-def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None, columns: tuple[str, ...] = ("code", "seq", "pos")) -> DataFrame:
+def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None, columns: tuple[str, ...] = ("code", "seq", "pos"), keys: tuple[Broadcast, int] | None = None) -> DataFrame:
     """Of code (packed word as a long), seq and pos (place in the whole genome) those named, and the string
     column `label` of the sequence if one is named. Spark can't see which columns are used later, so name
-    only those. Any letter but A, C, G and T ends a word; records never share one."""
+    only those. Any letter but A, C, G and T ends a word; records never share one. keys: a filter of keys and their number of letters;
+    words whose first letters don't pass are not made into rows."""
     names = [label] if label else []
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +50,9 @@ def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None, co
                 bases = np.frombuffer(dna.as_buffer(), np.uint8) if dna.is_valid else np.empty(0, np.uint8)
                 for a in range(0, max(len(bases) - WORD + 1, 0), SLICE):
                     starts, codes = pack_words(bases[a : a + SLICE + WORD - 1], mask)
+                    if keys:
+                        few = passes(keys[0].value, codes >> np.uint64(2 * (WORD - keys[1])))
+                        starts, codes = starts[few], codes[few]
                     made = {"code": lambda codes=codes: codes.view(np.int64), "seq": lambda n=len(starts), seq=seq: np.full(n, seq), "pos": lambda starts=starts, off=off + a: starts + off}
                     yield pa.record_batch({c: pa.array(made[c]()) for c in columns} | {c: pa.repeat(pa.scalar(own[i], pa.string()), len(starts)) for c, own in zip(names, kept, strict=True)})
 

@@ -7,53 +7,76 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.dna import code_prefix
 from strandmill.operators.dictionary import STRIDED, frequent_enough, strided
+from strandmill.operators.keyfilter import key_filter
 from strandmill.operators.kmers import kmers
-from strandmill.sources.genomes import reversed_collection, reversed_genome
-from strandmill.storage import saved, small
+from strandmill.sources.blocks import BlockedGenome, strand_of
+from strandmill.sources.genomes import reversed_collection
+from strandmill.storage import BROADCAST_ROWS, saved, small
 
 
-def stranded(y: DataFrame) -> DataFrame:
-    """Both strands of a genome as one table with a column strand, f or r."""
-    return y.withColumn("strand", F.lit("f")).unionByName(reversed_genome(y).withColumn("strand", F.lit("r")))
-
-
-def stranded_kmers(y: DataFrame, strands: str = "fr", mask: str = "skip") -> DataFrame:
-    parts = [kmers(y if s == "f" else reversed_genome(y), mask).withColumn("strand", F.lit(s)) for s in strands]
+def stranded_kmers(y: DataFrame | BlockedGenome, strands: str = "fr", mask: str = "skip") -> DataFrame:
+    parts = [kmers(strand_of(y, s), mask).withColumn("strand", F.lit(s)) for s in strands]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def shared_words(x_words: DataFrame, y_words: DataFrame, k: int = 32, fl: int = 1000, cap: int = STRIDED) -> tuple[DataFrame, DataFrame]:
+def shared_words(x: DataFrame | BlockedGenome, y_words: DataFrame, k: int = 32, fl: int = 1000, cap: int = STRIDED, mask: str = "skip") -> tuple[DataFrame, DataFrame]:
     """The words of either side that may meet: at most fl places on their own side, and the key (the first
-    k letters) on the other one. The keys of y go to x before x is shuffled, by broadcast if they are few;
-    what is left of x is written, so that its words are made once and its size is known."""
+    k letters) on the other one. The keys of y go to x before x is shuffled, as they are if they are few, as a Bloom
+    filter where words are made if they aren't; what is left of x is written, so that its words are made once and its
+    size is known."""
     y = saved(frequent_enough(y_words, fl, ("strand", "code")).withColumn("key", code_prefix(F.col("code"), k)), "words")
     keys = saved(y.select("key").distinct(), "keys")
-    met = x_words.withColumn("key", code_prefix(F.col("code"), k)).join(small(keys), "key", "left_semi")
+    n = keys.count()
+    own = strand_of(x, "f")
+    if n <= BROADCAST_ROWS:
+        met = kmers(own, mask).withColumn("key", code_prefix(F.col("code"), k)).join(F.broadcast(keys), "key", "left_semi")
+    else:  # the few others that pass find no partner later
+        met = kmers(own, mask, keys=(key_filter(keys, n), k)).withColumn("key", code_prefix(F.col("code"), k))
     x = frequent_enough(saved(met, "met"), fl)
     if fl >= 2 * cap:  # else no word has a stride above one
         x, y = strided(saved(x, "words"), cap), strided(saved(y, "words"), cap, ("strand", "code"))
     return x, y
 
 
-def collection_hits(sequences: DataFrame, pairs: DataFrame, k: int = 32, fl: int = 1000, mask: str = "skip") -> DataFrame:
-    """genome_x, genome_y and the columns of hits, for all pairs (genome_x, genome_y) of genomes at once, on both strands.
-    sequences: a collection; a word counts on either side if it has at most fl places in its genome and
-    strand, as in a comparison of two genomes.
+def collection_words(sequences: DataFrame, wanted: DataFrame, k: int, fl: int, mask: str, cap: int) -> DataFrame:
+    """genome, strand, key, code, seq, pos, num of the words that may meet others of their collection: forward ones of all genomes that wanted
+    names, reverse ones of those that it names as genome_y. As between two genomes, a word counts if it has at most fl places in its
+    genome and strand, and is strided if it has many.
+
+    Words of one genome only are left out before they travel, by the keys that two genomes have.
+    """
+    roles = wanted.select(F.col("genome_x").alias("genome"), F.lit(False).alias("as_y")).unionByName(wanted.select(F.col("genome_y").alias("genome"), F.lit(True).alias("as_y")))
+    roles = small(saved(roles.groupBy("genome").agg(F.max("as_y").alias("as_y")), "roles"))
+    own = {"f": sequences.join(roles, "genome", "left_semi"), "r": reversed_collection(sequences).join(roles.filter("as_y"), "genome", "left_semi")}
+
+    def words(*columns: str) -> DataFrame:
+        f, r = (kmers(own[s], mask, "genome", columns).withColumn("strand", F.lit(s)) for s in "fr")
+        return f.unionByName(r).withColumn("key", code_prefix(F.col("code"), k))
+
+    keys = words("code").groupBy("key").agg(F.min("genome").alias("least"), F.max("genome").alias("most")).filter("least < most").select("key")
+    met = saved(words("code", "seq", "pos").join(small(saved(keys, "keys")), "key", "left_semi"), "words")
+    often = saved(frequent_enough(met, fl, ("genome", "strand", "code")), "words")
+    return saved(strided(often, cap, ("genome", "strand", "code")), "words") if fl >= 2 * cap else often
+
+
+def collection_hits(sequences: DataFrame, pairs: DataFrame, k: int = 32, fl: int = 1000, mask: str = "skip", cap: int = STRIDED) -> DataFrame:
+    """genome_x, genome_y and the columns of hits, for all pairs (genome_x, genome_y) of genomes at once, on both strands: the same
+    as hits gives for each pair. sequences: a collection.
 
-    Words that only one genome has are left out first, by the keys that two genomes have; each word's
-    numbers of places bound what it can give: fl * fl hits for each pair of genomes.
+    Words are routed before they are joined: for each key the set of genomes that have it is held against the partners that each
+    genome is wanted with, and a place of X goes once to each such partner. So places that aren't a wanted hit never meet.
     """
-    other = reversed_collection(sequences)
-    met = kmers(sequences, mask, "genome", ("code",)).unionByName(kmers(other, mask, "genome", ("code",))).select(code_prefix(F.col("code"), k).alias("key"), "genome")
-    keys = met.groupBy("key").agg(F.min("genome").alias("least"), F.max("genome").alias("most")).filter("least < most").select("key")
-    keys = small(saved(keys, "keys"))
-    words = [kmers(s, mask, "genome").withColumn("strand", F.lit(strand)) for s, strand in ((sequences, "f"), (other, "r"))]
-    words = saved(words[0].unionByName(words[1]).withColumn("key", code_prefix(F.col("code"), k)).join(keys, "key", "left_semi"), "words")
-    often = saved(frequent_enough(words, fl, ("genome", "strand", "code")), "words")
-    left = often.filter("strand = 'f'").select("key", F.col("genome").alias("genome_x"), F.col("seq").alias("seqX"), F.col("pos").alias("posX"))
+    wanted = saved(pairs.select("genome_x", "genome_y").distinct(), "pairs")
+    often = collection_words(sequences, wanted, k, fl, mask, cap)
+    partners = small(saved(wanted.groupBy("genome_x").agg(F.collect_set("genome_y").alias("partners")), "partners"))
+    # Both lists have at most as many members as there are genomes.
+    holders = often.select("key", "genome").distinct().groupBy("key").agg(F.collect_set("genome").alias("holders"))
+    routes = often.filter("strand = 'f'").select("key", F.col("genome").alias("genome_x")).distinct().join(holders, "key").join(partners, "genome_x")
+    routes = routes.select("key", "genome_x", F.explode(F.array_intersect("holders", "partners")).alias("genome_y"))
+    x = often.filter("strand = 'f'").select("key", F.col("genome").alias("genome_x"), F.col("seq").alias("seqX"), F.col("pos").alias("posX"))
+    left = x.join(routes, ["key", "genome_x"])
     right = often.select("key", F.col("genome").alias("genome_y"), "strand", F.col("seq").alias("seqY"), F.col("pos").alias("posY"))
-    wanted = small(saved(pairs.select("genome_x", "genome_y").distinct(), "pairs"))
-    return left.join(right, "key").join(wanted, ["genome_x", "genome_y"], "left_semi").select("genome_x", "genome_y", "strand", (F.col("posX") - F.col("posY")).alias("diag"), "posX", "posY", "seqX", "seqY")
+    return left.join(right, ["key", "genome_y"]).select("genome_x", "genome_y", "strand", (F.col("posX") - F.col("posY")).alias("diag"), "posX", "posY", "seqX", "seqY")
 
 
 def join_words(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -62,15 +85,15 @@ def join_words(x: DataFrame, y: DataFrame) -> DataFrame:
     return left.join(right, "key").select("strand", (F.col("posX") - F.col("posY")).alias("diag"), "posX", "posY", "seqX", "seqY")
 
 
-def hits(x: DataFrame, y: DataFrame, k: int = 32, fl: int = 1000, strands: str = "fr", mask: str = "skip", cap: int = STRIDED) -> DataFrame:
-    """strand, diag, posX, posY, seqX, seqY. x, y: sequences; k: letters that must agree, where words of
+def hits(x: DataFrame | BlockedGenome, y: DataFrame | BlockedGenome, k: int = 32, fl: int = 1000, strands: str = "fr", mask: str = "skip", cap: int = STRIDED) -> DataFrame:
+    """strand, diag, posX, posY, seqX, seqY. x, y: sequences, or genomes in blocks; k: letters that must agree, where words of
     32 start."""
-    return join_words(*shared_words(kmers(x, mask), stranded_kmers(y, strands, mask), k, fl, cap))
+    return join_words(*shared_words(x, stranded_kmers(y, strands, mask), k, fl, cap, mask))
 
 
 def hits_summary(x: DataFrame, y: DataFrame, k: int = 32, fl: int = 1000) -> DataFrame:
     """For each strand the keys that both sides have, and the hits, from counts alone."""
-    left, right = shared_words(kmers(x), stranded_kmers(y), k, fl)
+    left, right = shared_words(x, stranded_kmers(y), k, fl)
     a = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     b = right.groupBy("strand", "key").agg(F.count(F.lit(1)).alias("m"))
     return b.join(a, "key").groupBy("strand").agg(F.count(F.lit(1)).alias("word_matches"), F.sum(F.col("n") * F.col("m")).alias("n_hits"))

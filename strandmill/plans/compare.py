@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from strandmill.operators.extension import extend
-from strandmill.operators.fragments import coverage, export, fragments, judged, least_length
-from strandmill.operators.seeds import collection_hits, hits, stranded
+from strandmill.operators.fragments import coverage, export, fragments, judged, least_length, least_lengths
+from strandmill.operators.seeds import collection_hits, hits
+from strandmill.operators.stored import StoredDictionary, stored_hits
 from strandmill.operators.thinning import skip_covered, thin
-from strandmill.sources.genomes import reversed_collection, totals
-from strandmill.storage import saved
+from strandmill.sources.blocks import BlockedGenome, blocked
+from strandmill.sources.genomes import totals
+from strandmill.storage import saved, small
 
 
 def with_separators(total: Row) -> int:
@@ -23,20 +25,25 @@ def with_separators(total: Row) -> int:
 
 @dataclass
 class Comparison:
-    """Both strands of y against x. Each table is made when it is first asked for; the thinned hits and
-    the used seeds, on which all results stand, are written to the shared folder."""
+    """Both strands of y against x. Each table is made when it is first asked for; hits, thinned hits, their
+    fragments and the used seeds are written to the shared folder.
 
-    x: DataFrame
-    y: DataFrame
+    x and y are tables of sequences, or genomes in blocks, which any record fits. stored: the dictionaries of x and of y's
+    strands, if a store has them; they bring k with them."""
+
+    x: DataFrame | BlockedGenome
+    y: DataFrame | BlockedGenome
     k: int = 32
     lmin: int = 100
     simthr: float = 65
     fl: int = 1000
     strands: str = "fr"
     percent: bool = False
+    stored: tuple[StoredDictionary, list[StoredDictionary]] | None = None
 
     def __post_init__(self):
         self._kept: dict[str, DataFrame] = {}
+        self._blocks: dict[str, BlockedGenome] = {}
         #: Seconds that each written table took.
         self.timings: dict[str, float] = {}
 
@@ -48,8 +55,21 @@ class Comparison:
             self.timings[name] = time.perf_counter() - began
         return self._kept[name]
 
+    def blocks(self, side: str) -> BlockedGenome:
+        own = getattr(self, side)
+        if side not in self._blocks:
+            self._blocks[side] = own if isinstance(own, BlockedGenome) else blocked(own)
+        return self._blocks[side]
+
+    def size(self, side: str) -> Row:
+        """n_sequences and total_length."""
+        own = getattr(self, side)
+        return totals(own.records if isinstance(own, BlockedGenome) else own).first()
+
     @property
     def hits(self) -> DataFrame:
+        if self.stored:
+            return self._once("hits", lambda: stored_hits(self.stored[0], [y for y in self.stored[1] if y.strand in self.strands], self.fl))
         return self._once("hits", lambda: hits(self.x, self.y, self.k, self.fl, self.strands))
 
     @property
@@ -59,8 +79,10 @@ class Comparison:
     @property
     def extended(self) -> DataFrame:
         """Every thinned hit's fragment, with accepted."""
-        least = least_length(self.lmin, self.x, self.y) if self.percent else self.lmin
-        return judged(extend(self.thinned, self.x, stranded(self.y), self.k), least, self.simthr)
+        least = least_length(self.lmin, *[self.blocks(s).records for s in "xy"]) if self.percent else self.lmin
+        if "extended" not in self._kept:  # the states it is read off are written
+            self._kept["extended"] = judged(extend(self.thinned, self.blocks("x"), self.blocks("y"), self.k), least, self.simthr)
+        return self._kept["extended"]
 
     @property
     def used(self) -> DataFrame:
@@ -68,7 +90,7 @@ class Comparison:
 
     @property
     def fragments(self) -> DataFrame:
-        return fragments(self.used, totals(self.y).first()["n_sequences"])
+        return fragments(self.used, self.size("y")["n_sequences"])
 
     @property
     def coverage(self) -> DataFrame:
@@ -76,7 +98,7 @@ class Comparison:
 
     @property
     def exported(self) -> DataFrame:
-        return export(self.fragments, totals(self.y).first()["total_length"])
+        return export(self.fragments, self.size("y")["total_length"])
 
     @property
     def run_info(self) -> DataFrame:
@@ -85,14 +107,18 @@ class Comparison:
         used = self.used.groupBy("strand").agg(F.count(F.lit(1)).alias("hits_used"), F.sum(F.col("accepted").cast("bigint")).alias("fragments"))
         both = n_hits.join(used, "strand", "left").na.fill(0)
         both = both.unionByName(both.agg(F.lit("both").alias("strand"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "hits_used", "fragments")]))
-        lengths = [with_separators(totals(g).first()) for g in (self.x, self.y)]
+        lengths = [with_separators(self.size(g)) for g in "xy"]
         return both.select("strand", *[F.lit(v).cast("bigint").alias(c) for c, v in zip(("len_x", "len_y", "lmin", "simthr"), (*lengths, self.lmin, int(self.simthr)), strict=True)], "hits", "hits_used", "fragments")
 
 
+BY = ("genome_x", "genome_y")
+
+
 @dataclass
 class CollectionComparison:
     """All of some pairs of a collection's genomes, both strands, as one job: pairs (genome_x, genome_y) are
-    columns of every table, so that no pair is a job or a task of its own."""
+    columns of every table, so that no pair is a job or a task of its own. Each pair has the results that a comparison of its
+    two genomes has. percent: lmin is percent of the shorter first record of each pair."""
 
     sequences: DataFrame
     pairs: DataFrame
@@ -100,22 +126,52 @@ class CollectionComparison:
     lmin: int = 100
     simthr: float = 65
     fl: int = 1000
+    percent: bool = False
 
     def __post_init__(self):
-        by = ("genome_x", "genome_y")
+        self.pairs = saved(self.pairs.select(*BY).distinct(), "pairs")
         self.hits = saved(collection_hits(self.sequences, self.pairs, self.k, self.fl), "hits")
-        self.thinned = saved(thin(self.hits, self.k, by), "thinned")
-        other = reversed_collection(self.sequences).withColumn("strand", F.lit("r"))
-        both = self.sequences.withColumn("strand", F.lit("f")).unionByName(other)
-        self.extended = judged(extend(self.thinned, self.sequences, both, self.k, collection=True), self.lmin, self.simthr)
-        self.used = saved(skip_covered(self.extended, by), "used")
+        self.thinned = saved(thin(self.hits, self.k, BY), "thinned")
+        own = blocked(self.sequences)
+        self.sizes = saved(own.sizes(), "sizes")
+        rows, least = extend(self.thinned, own, own, self.k), F.lit(self.lmin)
+        if self.percent:
+            rows, least = rows.join(small(saved(least_lengths(self.lmin, self.pairs, own.records), "least")), [*BY]), F.col("least")
+        self.extended = judged(rows, least, self.simthr).drop("least")
+        self.used = saved(skip_covered(self.extended, BY), "used")
+
+    @property
+    def parameters(self) -> str:
+        """What results depend on besides the sequences."""
+        return f"k={self.k} lmin={self.lmin}{'%' * self.percent} simthr={self.simthr} fl={self.fl}"
+
+    def _of_y(self) -> DataFrame:
+        return small(self.sizes.select(F.col("genome").alias("genome_y"), F.col("n_sequences").alias("n_y"), F.col("total_length").alias("y_total")))
 
     @property
     def fragments(self) -> DataFrame:
         """The fragments of each pair, seqY counted from the forward strand's first record."""
-        sizes = self.sequences.groupBy(F.col("genome").alias("genome_y")).agg(F.count(F.lit(1)).alias("n_y"))
-        return fragments(self.used.join(sizes, "genome_y"), F.col("n_y"), ("genome_x", "genome_y"))
+        return fragments(self.used.join(self._of_y(), "genome_y"), F.col("n_y"), BY)
 
     @property
     def coverage(self) -> DataFrame:
-        return coverage(self.used, ("genome_x", "genome_y"))
+        return coverage(self.used, BY)
+
+    @property
+    def exported(self) -> DataFrame:
+        """The CSV of each pair, with the pair's names."""
+        return export(self.fragments.join(self._of_y(), "genome_y"), F.col("y_total"), BY)
+
+    @property
+    def run_info(self) -> DataFrame:
+        """For each pair a row for each strand with hits, and one for both."""
+        zero, counts = F.lit(0).cast("bigint"), ("hits", "hits_used", "fragments")
+        n = self.thinned.select(*BY, "strand", F.lit(1).alias("hits"), F.lit(0).alias("hits_used"), F.lit(0).alias("fragments"))
+        n = n.unionByName(self.used.select(*BY, "strand", F.lit(0).alias("hits"), F.lit(1).alias("hits_used"), F.col("accepted").cast("int").alias("fragments")))
+        each = n.groupBy(*BY, "strand").agg(*[F.sum(c).alias(c) for c in counts])
+        both = self.pairs.join(each.groupBy(*BY).agg(*[F.sum(c).alias(c) for c in counts]), [*BY], "left")
+        both = both.select(*BY, F.lit("both").alias("strand"), *[F.coalesce(c, zero).alias(c) for c in counts])
+        length = F.col("total_length") + F.greatest(F.col("n_sequences") - 1, zero)
+        x, y = (small(self.sizes.select(F.col("genome").alias(f"genome_{s}"), length.alias(f"len_{s}"))) for s in "xy")
+        told = {"lmin": F.lit(self.lmin).cast("bigint"), "simthr": F.lit(int(self.simthr)).cast("bigint")}
+        return each.unionByName(both).join(x, "genome_x").join(y, "genome_y").select(*BY, "strand", "len_x", "len_y", *[v.alias(c) for c, v in told.items()], *counts)

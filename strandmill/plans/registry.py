@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
-from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds
+from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds, stored
 from strandmill.plans import sql
 from strandmill.plans.compare import CollectionComparison, Comparison
-from strandmill.sources import fasta, fragment_files, genomes, reports, workloads
+from strandmill.sources import blocks, fasta, fragment_files, genomes, reports, workloads
 from strandmill.storage import saved, shared_path
 
 QUERIES: dict = {}
@@ -146,6 +146,15 @@ def stride_sample(spark, sf_dir):
     return kmers.spelled(dictionary.strided(counted, 10)).select("word", "seq", "pos", "num")
 
 
+@registered(sql.of("x", f"SELECT seq, ident, len, g_off, b AS block, substring(dna, b * {blocks.BLOCK} + 1, {blocks.BLOCK}) AS bases, substring(dna, (b + 1) * {blocks.BLOCK} + 1, 31) AS tail FROM (SELECT *, unnest(range(0, (len - 1) // {blocks.BLOCK} + 1)) AS b FROM x WHERE len > 0)"))
+def fasta_blocks(spark, sf_dir):
+    """Documents written as FASTA and read in splits, as blocks."""
+    path = shared_path(spark, "fasta")
+    fasta.write_fasta(_x(spark, sf_dir), path, 80)
+    own = blocks.read_blocks(spark, path)
+    return own.records.join(own.blocks, "seq").select("seq", "ident", "len", "g_off", "block", "bases", "tail")
+
+
 # hits
 
 
@@ -154,6 +163,14 @@ def hits(spark, sf_dir):
     return seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir))
 
 
+@registered(sql.query(sql.hits_blocks(), "SELECT * FROM hits"))
+def hits_stored(spark, sf_dir):
+    """Hits of dictionaries that a store keeps, joined bucket by bucket."""
+    store = stored.DictionaryStore(spark, shared_path(spark, "dictionaries"))
+    y = saved(_y(spark, sf_dir), "y")
+    return stored.stored_hits(store.put("documents", saved(_x(spark, sf_dir), "x")), [store.put("benchmark", y, s) for s in "fr"])
+
+
 @registered(sql.query(sql.hits_blocks(k=16), 'SELECT strand, "seqX", "seqY", count(*) AS n FROM hits GROUP BY ALL'))
 def hits_prefix_k16(spark, sf_dir):
     found = seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir), k=16)
@@ -167,7 +184,7 @@ def hits_summary(spark, sf_dir):
 
 @registered(sql.query(sql.hits_blocks(), 'SELECT *, row_number() OVER (PARTITION BY strand, diag ORDER BY "posX") AS place FROM hits'))
 def hits_sorted(spark, sf_dir):
-    return chunking.numbered(seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir)))
+    return chunking.numbered(saved(seeds.hits(_x(spark, sf_dir), _y(spark, sf_dir)), "hits"))
 
 
 @registered(sql.query(sql.thin_blocks(), "SELECT * FROM thinned"))
@@ -365,15 +382,21 @@ def all_vs_all_words(spark, sf_dir):
 _PENDING = "a.genome <> (SELECT min(genome) FROM x)"
 
 
-def _all_talks(spark, sf_dir) -> CollectionComparison:
-    """All pairs of the genomes of conversations but those with the first one, which count as done."""
+def _talks(spark, sf_dir) -> tuple[DataFrame, DataFrame, str]:
+    """The genomes of conversations, all their pairs, and the first one's name."""
     x = saved(genomes.conversations_collection(spark, sf_dir), "collection")
     names = saved(x.groupBy("genome").agg(F.min("seq").alias("seq")), "genomes")
     ranked = names.select("genome", F.row_number().over(Window.partitionBy().orderBy("genome")).alias("rank"))  # a row for each genome
-    every = pairs.all_pairs(ranked, "rank", "genome")
-    done = every.filter(F.col("name_x") == names.agg(F.min("genome")).first()[0])
-    wanted = pairs.pending(every, done).select(F.col("name_x").alias("genome_x"), F.col("name_y").alias("genome_y"))
-    return CollectionComparison(x, wanted)
+    every = pairs.all_pairs(ranked, "rank", "genome").withColumnsRenamed({"name_x": "genome_x", "name_y": "genome_y"})
+    return x, every, names.agg(F.min("genome")).first()[0]
+
+
+def _all_talks(spark, sf_dir, **args) -> CollectionComparison:
+    """All pairs of the genomes of conversations but those with the first one, which count as done."""
+    x, every, first = _talks(spark, sf_dir)
+    every = every.withColumnsRenamed({"genome_x": "name_x", "genome_y": "name_y"})
+    wanted = pairs.pending(every, every.filter(F.col("name_x") == first))
+    return CollectionComparison(x, wanted.withColumnsRenamed({"name_x": "genome_x", "name_y": "genome_y"}), **args)
 
 
 @registered(sql.query(sql.collection_blocks(sql.TALKS, 1000, pending=_PENDING), "SELECT * FROM fragments"))
@@ -387,6 +410,47 @@ def all_vs_all_coverage(spark, sf_dir):
     return _all_talks(spark, sf_dir).coverage
 
 
+_EVERY = """p AS (SELECT a.genome AS genome_x, b.genome AS genome_y FROM (SELECT DISTINCT genome FROM x) a JOIN (SELECT DISTINCT genome FROM x) b ON a.genome < b.genome)"""
+_INFO = f"""SELECT genome_x, genome_y, strand, a.len AS len_x, b.len AS len_y, 100::BIGINT AS lmin, 65::BIGINT AS simthr, hits, hits_used, fragments FROM (
+  SELECT genome_x, genome_y, strand, sum(h)::BIGINT AS hits, sum(u)::BIGINT AS hits_used, sum(f)::BIGINT AS fragments FROM (
+    SELECT genome_x, genome_y, unnest([strand, 'both']) AS strand, h, u, f FROM (
+      SELECT genome_x, genome_y, strand, 1 AS h, 0 AS u, 0 AS f FROM thinned UNION ALL SELECT genome_x, genome_y, strand, 0, 1, accepted::INT FROM used)
+    UNION ALL SELECT genome_x, genome_y, 'both', 0, 0, 0 FROM p WHERE {_PENDING.replace('a.genome', 'genome_x')}) GROUP BY ALL)
+  JOIN (SELECT genome AS genome_x, sum(len)::BIGINT + count(*) - 1 AS len FROM x GROUP BY 1) a USING (genome_x) JOIN (SELECT genome AS genome_y, sum(len)::BIGINT + count(*) - 1 AS len FROM x GROUP BY 1) b USING (genome_y)"""
+
+
+@registered(sql.query([*sql.collection_blocks(sql.TALKS, 1000, pending=_PENDING), _EVERY], _INFO))
+def all_vs_all_run_info(spark, sf_dir):
+    """Run information of each pair."""
+    return _all_talks(spark, sf_dir).run_info
+
+
+@registered(sql.query(sql.collection_blocks(sql.TALKS, 1000, pending=_PENDING), """SELECT genome_x, genome_y, 'Frag' AS "Type", "xStart", CASE strand WHEN 'r' THEN t - "yStart" - 1 ELSE "yStart" END AS "yStart", "xEnd", CASE strand WHEN 'r' THEN t - "yEnd" - 1 ELSE "yEnd" END AS "yEnd",
+  strand, block, length, score, ident, printf('%.2f', score / (length * 4.0::DOUBLE)) AS similarity, printf('%.2f', ident / length::DOUBLE) AS pct_ident, "seqX", "seqY" FROM fragments JOIN (SELECT genome AS genome_y, sum(len)::BIGINT AS t FROM x GROUP BY 1) USING (genome_y)"""))
+def all_vs_all_csv(spark, sf_dir):
+    """The exported table of each pair."""
+    return _all_talks(spark, sf_dir).exported
+
+
+_PERCENT = "(SELECT floor(least(a.len, b.len) * 0.3) FROM x a, x b WHERE a.seq = 0 AND b.seq = 0 AND a.genome = genome_x AND b.genome = genome_y)"
+
+
+@registered(sql.query(sql.collection_blocks(sql.TALKS, 1000, lmin=_PERCENT, pending=_PENDING), "SELECT * FROM fragments"))
+def all_vs_all_percent(spark, sf_dir):
+    """Minimum length as 30 percent of the shorter first record of each pair."""
+    return _rounded(_all_talks(spark, sf_dir, lmin=30, percent=True).fragments)
+
+
+@registered(sql.query(sql.collection_blocks(sql.TALKS, 1000), "SELECT * FROM fragments"))
+def all_vs_all_resumed(spark, sf_dir):
+    """All pairs of genomes, after a run over all but those with the first one; the second run compares only what is missing."""
+    x, every, first = _talks(spark, sf_dir)
+    results = pairs.PairResults(spark, shared_path(spark, "results"))
+    for wanted in (every.filter(F.col("genome_x") != first), every):
+        out = results.complete(wanted, x, lambda missing: CollectionComparison(x, missing).fragments, "defaults")
+    return _rounded(out)
+
+
 @registered(sql.query(sql.collection_blocks(sql.SOURCES, 1000)[:1], "SELECT genome, seq, ident, len, g_off FROM x"))
 def fasta_collection(spark, sf_dir):
     """Sources written as FASTA files of a folder each, and read back as genomes."""

@@ -72,25 +72,6 @@ def test_thinning(spark, hits, kept):
     assert sorted(r.posX for r in thinning.thin(thinned, 32).collect()) == kept
 
 
-def bytes_of(text):
-    return np.frombuffer(text.encode(), np.uint8)
-
-
-@pytest.mark.parametrize(
-    ("x", "y", "p", "expected"),
-    [
-        (S40, S40, 0, (0, 39, 40, 40, 160)),
-        (S32, S32, 0, (0, 32, 33, 32, 128)),
-        (S32 + "NACGTA", S32 + "NACGTA", 0, (0, 37, 38, 37, 147)),
-        (S32 + "AACGTA", S32 + "CACGTA", 0, (0, 37, 38, 37, 144)),
-        ("ACGTAG" + S32, "ACGTAT" + S32, 6, (0, 38, 39, 37, 144)),
-    ],
-)
-def test_extension(x, y, p, expected):
-    left, ahead, ident, score = extension.extend_hit(bytes_of(x), bytes_of(y), p, p, 32)
-    assert (p - left, p + ahead, ahead + left + 1, ident, score) == expected
-
-
 def slow_extension(x, y, p, q, k):
     score = best = 4 * k
     ident = best_ident = k
@@ -126,18 +107,6 @@ def slow_extension(x, y, p, q, k):
     return p - left, right - p, best_ident, best
 
 
-def test_extension_against_slow_model(monkeypatch):
-    monkeypatch.setattr(extension, "BLOCK", 3)
-    r = random.Random(5)
-    for _ in range(300):
-        core = "".join(r.choice("ACGT") for _ in range(6))
-        sides = ["".join(r.choice("AACGTN") for _ in range(r.randrange(40))) for _ in range(4)]
-        shared = [sides[i] if r.random() < 0.5 else sides[i - 1] for i in (1, 3)]
-        x, y = sides[0] + core + sides[2], shared[0] + core + shared[1]
-        p, q = len(sides[0]), len(shared[0])
-        assert extension.extend_hit(bytes_of(x), bytes_of(y), p, q, 6) == slow_extension(x, y, p, q, 6)
-
-
 @pytest.mark.parametrize("limit", [1, 3, 10_000])
 def test_pairs_with_many_hits_are_dealt_out(spark, monkeypatch, limit):
     r = random.Random(11)
