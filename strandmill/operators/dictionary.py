@@ -26,17 +26,17 @@ def locations(words: DataFrame, most: int = 12) -> DataFrame:
     return merged(dictionary(words), first, ["code"])
 
 
-def histogram(words: DataFrame) -> DataFrame:
-    """n_words for each num below the outliers."""
-    return dictionary(words).filter(F.col("num") < OUTLIER).groupBy("num").agg(F.count(F.lit(1)).alias("n_words"))
+def histogram(counts: DataFrame) -> DataFrame:
+    """n_words for each num below the outliers. counts: code, num, of a dictionary."""
+    return counts.filter(F.col("num") < OUTLIER).groupBy("num").agg(F.count(F.lit(1)).alias("n_words"))
 
 
-def summary(words: DataFrame) -> DataFrame:
-    return dictionary(words).agg(F.count(F.lit(1)).alias("n_words"), F.max("num").alias("max_num"), F.sum("num").alias("sum_num"), F.round(F.avg("num"), 6).alias("avg_num"))
+def summary(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.count(F.lit(1)).alias("n_words"), F.max("num").alias("max_num"), F.sum("num").alias("sum_num"), F.round(F.avg("num"), 6).alias("avg_num"))
 
 
-def outliers(words: DataFrame, least: int = OUTLIER) -> DataFrame:
-    return dictionary(words).filter(F.col("num") >= least).select(packed_word(F.col("code")).alias("word"), "num")
+def outliers(counts: DataFrame, least: int = OUTLIER) -> DataFrame:
+    return counts.filter(F.col("num") >= least).select(packed_word(F.col("code")).alias("word"), "num")
 
 
 def frequent_enough(words: DataFrame, fl: int, by: tuple[str, ...] = ("code",)) -> DataFrame:

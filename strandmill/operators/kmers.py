@@ -18,22 +18,31 @@ WORD = 32
 SLICE = 1 << 20
 
 
-def pack_words(bases: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the valid words of a byte array, and their packed values. mask: what lower-case bases
-    are, "skip" (no bases) or "upper"."""
+def base_codes(bases: np.ndarray, mask: str) -> np.ndarray:
+    """0 to 3 for A, C, G and T, 255 for any other byte. mask: what lower-case bases are, "skip" (no bases) or "upper"."""
     codes = np.full(256, 255, np.uint8)
     for i, letter in enumerate(b"ACGT"):
         codes[letter] = i
         if mask == "upper":
             codes[letter + 32] = i
-    x = codes[bases]
-    bad = np.concatenate([[0], np.cumsum(x > 3)])
-    words, n = x.astype(np.uint64), 1
+    return codes[bases]
+
+
+def words_of(codes: np.ndarray) -> np.ndarray:
+    """The packed word that begins at each base code but the last ones."""
+    words, n = codes.astype(np.uint64), 1
     while n < WORD:  # words of 2n letters from pairs of words of n
         words = words[:-n] << np.uint64(2 * n) | words[n:]
         n *= 2
+    return words
+
+
+def pack_words(bases: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the valid words of a byte array, and their packed values."""
+    x = base_codes(bases, mask)
+    bad = np.concatenate([[0], np.cumsum(x > 3)])
     starts = np.flatnonzero(bad[WORD:] == bad[:-WORD])
-    return starts, words[starts]
+    return starts, words_of(x)[starts]
 
 
 def kmers(sequences: DataFrame, mask: str = "skip", label: str | None = None, columns: tuple[str, ...] = ("code", "seq", "pos"), keys: tuple[Broadcast, int] | None = None) -> DataFrame:

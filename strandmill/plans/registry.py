@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
-from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds, stored
+from strandmill.operators import chunking, dictionary, fragments, kernels, kmers, pairs, seeds, stored, superwords
 from strandmill.plans import sql
 from strandmill.plans.compare import CollectionComparison, Comparison
 from strandmill.sources import blocks, fasta, fragment_files, genomes, reports, workloads
@@ -109,7 +109,7 @@ def index_to_kmer(spark, sf_dir):
 
 @registered(sql.of("y ky", "SELECT word, count(*) AS num FROM ky GROUP BY word"))
 def dictionary_build(spark, sf_dir):
-    return kmers.spelled(dictionary.dictionary(kmers.kmers(_y(spark, sf_dir), columns=("code",)))).select("word", "num")
+    return kmers.spelled(superwords.word_counts(_y(spark, sf_dir))).select("word", "num")
 
 
 @registered(sql.of("y ky", "SELECT word, count(*) AS num, array_to_string((list(seq || ':' || pos ORDER BY seq, pos))[1:12], ' ') AS places FROM ky GROUP BY word"))
@@ -120,17 +120,17 @@ def dictionary_locations(spark, sf_dir):
 
 @registered(sql.of("x kx", "SELECT num, count(*) AS n_words FROM (SELECT word, count(*) AS num FROM kx GROUP BY word) WHERE num < 1001 GROUP BY num"))
 def word_histogram(spark, sf_dir):
-    return dictionary.histogram(kmers.kmers(_x(spark, sf_dir), columns=("code",)))
+    return dictionary.histogram(superwords.word_counts(_x(spark, sf_dir)))
 
 
 @registered(sql.of("x kx", "SELECT count(*) AS n_words, max(num) AS max_num, sum(num)::BIGINT AS sum_num, round(avg(num), 6) AS avg_num FROM (SELECT word, count(*) AS num FROM kx GROUP BY word)"))
 def dictionary_summary(spark, sf_dir):
-    return dictionary.summary(kmers.kmers(_x(spark, sf_dir), columns=("code",)))
+    return dictionary.summary(superwords.word_counts(_x(spark, sf_dir)))
 
 
 @registered(sql.of("x kx", "SELECT word, count(*) AS num FROM kx GROUP BY word HAVING count(*) >= 101"))
 def freq_outliers(spark, sf_dir):
-    return dictionary.outliers(kmers.kmers(_x(spark, sf_dir), columns=("code",)), 101)
+    return dictionary.outliers(superwords.word_counts(_x(spark, sf_dir)), 101)
 
 
 @registered(sql.of("y ky", "SELECT word, seq, pos, num FROM (SELECT *, count(*) OVER (PARTITION BY word) AS num FROM ky) WHERE num <= 1"))
