@@ -9,6 +9,8 @@ counts the texts, whose result is written, and the last scan of that. Only DataF
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,12 +78,14 @@ def at_hand(cells: DataFrame) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds weight, the factor on a cell's tokens, after at most `sweeps` rounds over all dimensions. Cells of
-    values with a target of zero have weight zero."""
+    values with a target of zero have weight zero. Where the marginals aren't met by then, as of targets that can't all be,
+    it warns and tells by what share of all tokens one is missed most."""
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     out = cells.withColumn("weight", F.lit(1.0))
     for dimension, target in targets.items():
         out = out.join(shares(cells, dimension, target, whole), dimension)
     out = at_hand(materialize(out, "raked"))
+    left = 0.0
     for _ in range(sweeps):
         for dimension in targets:
             now = out.groupBy(dimension).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
@@ -93,8 +97,12 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps:
             sums = out.groupBy(dimension).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"), F.first(f"{dimension}_share").alias("share"))
             own = sums.agg(F.max(F.abs(F.col("now") - F.col("share") * F.lit(whole)) / F.lit(whole)).alias("apart"))
             apart = own if apart is None else apart.union(own)
-        if apart is None or (apart.agg(F.max("apart")).first()[0] or 0.0) <= tolerance:
+        left = 0.0 if apart is None else apart.agg(F.max("apart")).first()[0] or 0.0
+        if left <= tolerance:
             break
+    else:
+        if left > tolerance:
+            warnings.warn(f"after {sweeps} sweeps a target is missed by {left:.3g} of all tokens", stacklevel=2)
     return out
 
 

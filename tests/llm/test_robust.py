@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.llm import common, media, warc_audit
+from strandmill.llm import common, media, mixing, warc_audit
 
 ODD_IMAGES = [
     b"P5 " + b"9" * 21 + b" 4 255\n" + bytes(16),
@@ -112,3 +112,10 @@ def test_threads_keep_their_own_tables(spark):
     for t in threads:
         t.join()
     assert not errors
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    """Each source has a language of its own, so their targets contradict each other."""
+    cells = spark.createDataFrame([("a", "en", "t", 10, 1), ("b", "de", "t", 10, 1)], "source string, lang string, topic string, tokens bigint, documents bigint")
+    with pytest.warns(UserWarning, match="missed by 0.4"):
+        mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, 3)
