@@ -35,9 +35,9 @@ from strandmill.llm.pretokens import PIECE, BatchEncoder
 HEAD, TAIL = b"ZTIDS1\n", b"ZTIDX1\n"
 LEVEL, DICTIONARY_BYTES = 3, 65_536
 #: The dictionary is trained on this many documents at most, those with the smallest hashes, and of each on
-#: so many pieces of so many ids, spread evenly over it: 8 MB at two bytes an id. It decides sizes only,
-#: never contents.
-SAMPLE_ROWS, SAMPLE_PIECES, PIECE_IDS = 512, 16, 512
+#: so many pieces of so many characters (of short texts: ids), spread evenly over it: some 8 MB at two bytes an id. It decides
+#: sizes only, never contents.
+SAMPLE_ROWS, SAMPLE_PIECES, PIECE_CHARS, PIECE_IDS = 512, 16, 2_560, 512
 BATCH_IDS = 1 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("named", "<u1"), ("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("n", "<u8")])
 
@@ -75,6 +75,13 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     return encode
 
 
+def cut(text: Column, pieces: int = SAMPLE_PIECES, size: int = PIECE_CHARS) -> Column:
+    """A text whole, or, if it is longer than that, `pieces` pieces of it, spread evenly: so that no long text travels for the sample."""
+    n = F.length(text)
+    at = [F.floor((n - size) * i / (pieces - 1)).cast("int") + 1 for i in range(pieces)]
+    return F.when(n <= pieces * size, F.array(text)).otherwise(F.array(*[F.substring(text, a, F.lit(size)) for a in at]))
+
+
 def sampled(ids: np.ndarray, pieces: int = SAMPLE_PIECES, size: int = PIECE_IDS) -> list[np.ndarray]:
     """Up to `pieces` pieces of ids, spread evenly."""
     if len(ids) <= pieces * size:
@@ -145,8 +152,9 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     chosen = rows.select("doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE_ROWS)
     most = chosen.agg(F.max("h")).first()[0]
-    few = rows.filter(F.xxhash64("doc_id") <= F.lit(most if most is not None else 0)).limit(2 * SAMPLE_ROWS)
-    samples = [r.ids for r in few.select("text").mapInArrow(sample, "ids binary").collect()]
+    few = rows.filter(F.xxhash64("doc_id") <= F.lit(most if most is not None else 0)).select(cut(F.col("text")).alias("cuts")).limit(2 * SAMPLE_ROWS)
+    few = few.repartition(partitions(spark)).select(F.explode("cuts").alias("text"))
+    samples = [r.ids for r in few.mapInArrow(sample, "ids binary").collect()]
     dictionary = train_dictionary(samples) if samples else b""
     name = hashlib.sha256(dictionary).hexdigest()
     with system.open_output_stream(f"{root}/{name}.dict") as out:

@@ -11,6 +11,7 @@ import tiktoken
 from helpers import LONG, TEXTS, documents, empty_documents, odd_documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandmill.llm import bpe_tree, token_output
 from strandmill.llm.pretokens import ranks, split
@@ -152,3 +153,12 @@ def test_wide_ids(spark):
     manifest, folder = token_output.write_tokens(documents(spark, [LONG, "x"]), width=4)
     rows = token_output.read_tokens(token_output.placed(manifest), folder).collect()
     assert len(rows) == 2
+
+
+def test_cuts_come_from_the_whole_text(spark):
+    long = "".join(f"{i:06d} " for i in range(20_000))
+    rows = spark.createDataFrame([("short",), ("",), (long,)], "text string").select(token_output.cut(F.col("text")).alias("cuts")).collect()
+    assert [r.cuts for r in rows[:2]] == [["short"], [""]]
+    own = rows[2].cuts
+    assert len(own) == token_output.SAMPLE_PIECES and all(len(c) == token_output.PIECE_CHARS and c in long for c in own)
+    assert long.startswith(own[0]) and long.endswith(own[-1])
