@@ -5,8 +5,8 @@ The first candidates come from SimHash balls, as in simhash.py; but 64 bits can'
 more come from prefix filtering, which misses none: if shingles have one order for all texts, two similar
 texts share one of the first n - ceil(0.8 n) + 1 of their n. The order puts shingles of rarely met hash
 buckets first, so that common lines and passages are seldom among them; it decides the cost only. A shingle
-first links its texts to one of them, in numbers linear in its texts; then only pairs are made that lie in
-different components so far. Candidates are first held against the bound that both whole prefixes give, and
+first links its texts to one of them, then, if it has many, to a few others at random, in numbers linear in its texts; then only
+pairs are made that lie in different components so far. Candidates are first held against the bound that both whole prefixes give, and
 then verified on both whole sets, for which only those texts are fetched. Shingles are compared by their XXH64.
 """
 
@@ -30,6 +30,10 @@ WORDS, RADIUS = 5, 2
 BUCKETS = 1 << 16
 #: Texts sampled to find shingles that many prefixes share, and how many of them make a shingle hot.
 SAMPLED, HOT = 20_000, 20
+#: Nodes of a shingle that are compared pair by pair at once.
+CROWD = 8
+#: Bits of a set's parities.
+PARITIES = 512
 #: Shingles before its own that each member of a pair shows to tell that the pair has met before.
 RECENT = 32
 
@@ -57,18 +61,32 @@ def bucket_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return out
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of PARITIES classes of hashes has an odd number of members, as bits of longs. Classes in which two sets
+    differ hold at least one member each that the sets don't share."""
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def near_enough(a: str = "parities_a", b: str = "parities_b", n: str = "n_a + n_b") -> Column:
+    """Whether sets with so many different parities can have a Jaccard similarity of 0.8: of two with d members that they don't
+    share it is (n - d) / (n + d)."""
+    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(PARITIES // 64))
+    return F.expr(f"9 * ({apart}) <= {n}")
+
+
 def prefix_length(n: int) -> int:
     """So many first shingles of n, that any set with a similarity of 0.8 or more has one of them."""
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
 def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
-    """Struct of signature (of the set), n (its size), fp (SimHash), prefix, and last: where in the order of
-    all shingles the prefix ends."""
+    """Struct of signature (of the set), n (its size), fp (SimHash), prefix, last: where in the order of
+    all shingles the prefix ends, and parities."""
     last = pa.struct([("met", pa.int64()), ("hash", pa.int64())])
-    names = [("signature", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("last", last)]
+    names = [("signature", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("last", last), ("parities", pa.list_(pa.int64()))]
 
-    @F.arrow_udf("struct<signature:string,n:int,fp:bigint,prefix:array<bigint>,last:struct<met:bigint,hash:bigint>>")
+    @F.arrow_udf("struct<signature:string,n:int,fp:bigint,prefix:array<bigint>,last:struct<met:bigint,hash:bigint>,parities:array<bigint>>")
     def prefix(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
@@ -78,7 +96,7 @@ def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
                 met = counts[(found % np.uint64(BUCKETS)).astype(np.int64)]
                 order = np.lexsort((found, met))[: prefix_length(len(found))]
                 end = {"met": int(met[order[-1]]), "hash": int(found[order[-1]]) - (1 << 63)} if len(order) else {"met": -1, "hash": 0}
-                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), len(found), fingerprint_of(hashes), found[order].view(np.int64), end))
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), len(found), fingerprint_of(hashes), found[order].view(np.int64), end, parities(found)))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, names, strict=True)], [name for name, _ in names])
 
@@ -166,6 +184,25 @@ def shared_shingles(nodes: DataFrame) -> DataFrame:
     return cold.filter("head.node < last").select(*columns).union(hot.join(heads, "shingle").filter("head.node < last").select(*columns))
 
 
+def still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Of node, n, pos, shingle those rows whose shingle has nodes of different components of the links so far; with root, and members, the
+    number of the shingle's rows."""
+    roots = few(components(links).select(F.col("node").alias("own"), "root"))
+    rows = shared.join(roots, F.col("node") == F.col("own"), "left").withColumn("root", F.coalesce("root", "node")).drop("own")
+    split = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members")).filter("x < y")
+    return materialize(rows.join(split.select("shingle", "members"), "shingle"), "open-shingles")
+
+
+def some_pairs(open_: DataFrame) -> DataFrame:
+    """Candidates (a, b) of shingles with many nodes: these are dealt into groups of some four at random, twice, and each of a group goes
+    with its smallest. Texts that are similar to many others are linked by these few pairs, and needn't be compared with all."""
+    many = open_.filter(F.col("members") > CROWD).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    many = many.withColumn("group", F.pmod(F.xxhash64("shingle", "node", "turn"), F.ceil(F.col("members") / 4)))
+    heads = many.groupBy("shingle", "turn", "group").agg(F.min(F.struct("node", "n", "pos", "root")).alias("head"))
+    met = many.join(heads, ["shingle", "turn", "group"]).filter("root <> head.root").filter(reachable("n", "head.n", "least(n - pos, head.n - head.pos)"))
+    return met.select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+
+
 def similar_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, digest of the text, root of its component; written, all else being deleted."""
     return materialized_from(docs.sparkSession, lambda: _similar_roots(docs, id_col, text_col, words), "similar-roots")
@@ -185,19 +222,22 @@ def _similar_roots(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
     stars = shared.filter("node > head.node").filter(reachable("n", "head.n", "least(n - pos, head.n - head.pos)"))
     stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).union(print_pairs(nodes.select("node", "fp")))
     first = materialized_from(spark, lambda: verified(stars, rows, docs, text_col, words), "similar")
-    open_ = shared.drop("head").join(few(components(first).select(F.col("node").alias("own"), "root")), F.col("node") == F.col("own"), "left").withColumn("root", F.coalesce("root", "node"))
-    split = open_.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
+    near = materialized_from(spark, lambda: verified(some_pairs(still_open(shared.drop("head"), first)), rows, docs, text_col, words), "similar")
+    similar = first.union(near)
+    open_ = still_open(shared.drop("head"), similar)
     # Members of a group share most shingles: a pair is made at the first one, where the bound is lowest. At another one it is
-    # dropped if one of the few before it, in the order that all prefixes have, is common too.
+    # dropped if one of the few before it, in the order that all prefixes have, is common too. Most members of a group of copies with
+    # many changes each aren't similar; their parities tell so before a pair is made.
     recent = Window.partitionBy("node").orderBy("pos").rowsBetween(-RECENT, -1)
-    open_ = open_.join(split, "shingle", "left_semi").withColumn("recent", F.collect_list("shingle").over(recent))
-    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "recent")]) for x in "ab")
+    open_ = open_.withColumn("recent", F.collect_list("shingle").over(recent))
+    open_ = open_.join(nodes.select("node", "parities"), "node")
+    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "recent", "parities")]) for x in "ab")
     met = a.join(b, "shingle").filter("node_a < node_b AND root_a <> root_b").filter(reachable("n_a", "n_b", "least(n_a - pos_a, n_b - pos_b)"))
-    met = met.filter(~F.arrays_overlap("recent_a", "recent_b"))
+    met = met.filter(near_enough()).filter(~F.arrays_overlap("recent_a", "recent_b"))
     met = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     second = materialized_from(spark, lambda: verified(met, rows, docs, text_col, words), "similar")
 
-    roots = components(first.union(second)).select(F.col("node").alias("own"), "root")
+    roots = components(similar.union(second)).select(F.col("node").alias("own"), "root")
     own = rows.select("id", "digest", "node").join(copies, F.col("node") == F.col("copy"), "left").select("id", "digest", F.coalesce("first", "node").alias("node"))
     return own.join(roots, F.col("node") == F.col("own"), "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
 

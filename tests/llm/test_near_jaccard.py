@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import documents, empty_documents, odd_documents
 
@@ -68,3 +69,13 @@ def test_edges(spark):
     first, second = "first text about rivers and hills", "second story of ships at sea"
     kept = near_jaccard.keep_one(documents(spark, [first, first.upper(), second, second + " now"], [None, None, None, 1]))
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept.collect()) == [("1", second + " now"), ("None", first), ("None", second)]
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, changed in ((50, 3), (200, 30), (3000, 900)):
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 62, changed, dtype=np.uint64)]))
+        apart = sum(((int(x) ^ int(y)) & ((1 << 64) - 1)).bit_count() for x, y in zip(near_jaccard.parities(a), near_jaccard.parities(b), strict=True))
+        assert apart <= len(np.setxor1d(a, b)) and (changed > 100 or apart > changed)
+    assert near_jaccard.parities(np.empty(0, np.uint64)).tolist() == [0] * 8
