@@ -264,6 +264,41 @@ def test_figures_of_shipped_sequences(spark):
     assert (c.hits.filter("strand = 'f'").count(), c.thinned.filter("strand = 'f'").count()) == (6720, 128)
 
 
+def slow_hits(x, y, k):
+    """(diag, posX, seqX, seqY) of every two places of forward words that agree, by looking words up one by one."""
+    def places(records):
+        at, out = 0, []
+        for i, dna in enumerate(records):
+            out += [(dna[j : j + k], at + j, i) for j in range(len(dna) - k + 1) if set(dna[j : j + k]) <= set("ACGT")]
+            at += len(dna) + 1
+        return out
+
+    table = {}
+    for w, p, i in places(y):
+        table.setdefault(w, []).append((p, i))
+    return [(p - q, p, i, j) for w, p, i in places(x) for q, j in table.get(w, [])]
+
+
+def slow_thinned(hits, gap):
+    kept, last = 0, {}
+    for d, p, i, j in sorted(hits):
+        if p > last.get((d, i, j), -gap - 1) + gap:
+            kept, last[d, i, j] = kept + 1, p
+    return kept
+
+
+def test_figures_of_generated_sequences(spark):
+    r = random.Random(9)
+    pool = ["".join(r.choice("ACGT") for _ in range(r.randrange(40, 160))) for _ in range(12)]
+    x = ["".join(r.sample(pool, 2)) for _ in range(8)] + ["A" * 90, "ACGT" * 20 + "N" + S40]
+    y = [r.choice(pool) + "".join(r.choice("ACGT") for _ in range(30)) for _ in range(20)] + ["A" * 70, "CGTA" * 15]
+    expected = slow_hits(x, y, 32)
+    c = Comparison(genome(spark, *x), genome(spark, *y), strands="f")
+    assert len(expected) > 1000 and sorted((h.diag, h.posX, h.seqX, h.seqY) for h in c.hits.collect()) == sorted(expected)
+    assert c.thinned.count() == slow_thinned(expected, 63)
+    assert {i.strand: (i.len_x, i.len_y) for i in c.run_info.collect()}["both"] == tuple(sum(map(len, g)) + len(g) - 1 for g in (x, y))
+
+
 @pytest.mark.parametrize("values", [[5] * 60 + list(range(40)), [None] * 50 + [3] * 50, [1, 1, 2, None], [], [7] * 30, list(range(99, -1, -1))])
 def test_places(spark, values):
     rows = spark.createDataFrame([(v, i % 3 + 1) for i, v in enumerate(values)], "k bigint, n bigint")
