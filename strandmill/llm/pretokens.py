@@ -4,17 +4,18 @@
 
 Where a match begins depends on the classes of a few neighbouring characters only, so the beginnings in a
 whole batch are found with array operations; equal matches are then encoded once for a batch, and once
-for a worker while they are in its cache.
+for a worker while they are in its cache: a dictionary for small batches, arrays for large ones.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
@@ -23,6 +24,8 @@ SPACE, LETTER, NUMBER, OTHER, END = range(5)
 CACHED, ENTRY, LONG = 128 << 20, 200, 256
 #: Bytes of text encoded at a time; arrays take some fifty times as much.
 PIECE = 1 << 20
+#: Bytes of text in a large batch, whose matches are looked up together (it is split by pieces), and of the arrays that its cache holds.
+BATCH, KEPT = 8 << 20, 32 << 20
 
 
 @cache
@@ -127,6 +130,67 @@ class BatchEncoder:
         return [ids[a:b] for a, b in zip(total[starts].tolist(), total[ends].tolist(), strict=True)]
 
 
+def runs(texts: list[str], size: int) -> Iterator[list[str]]:
+    """Cuts texts into runs of at most `size` characters, one text at least."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield texts[start:]
+
+
+class BlockEncoder:
+    """Encodes large batches of texts by a function from an array of matches to an order of them, their ids in that order,
+    and how many each has."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.ids, self.sizes = pa.array([], pa.binary()), np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def held(self) -> int:
+        return self.keys.nbytes + self.ids.nbytes + self.sizes.nbytes
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as uint32."""
+        if not texts:
+            return []
+        cut = [split(part) for part in runs(texts, PIECE)]
+        coded = pa.concat_arrays([matches for matches, _ in cut]).dictionary_encode()
+        unique, indices = coded.dictionary, coded.indices.to_numpy()
+        if self.held() > KEPT:
+            self.clear()
+        known = pc.index_in(unique, value_set=self.keys)
+        missing = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
+        at = known.fill_null(0).to_numpy().astype(np.int64)
+        order, new_ids, new_sizes = self.encode(unique.take(pa.array(missing)))
+        at[missing[order]] = len(self.keys) + np.arange(len(missing))
+        flat, sizes = np.concatenate([self.ids, new_ids]), np.concatenate([self.sizes, new_sizes])
+        first = np.cumsum(sizes) - sizes
+        out: list[np.ndarray] = []
+        done = 0
+        for matches, ends in cut:
+            index, done = at[indices[done : done + len(matches)]], done + len(matches)
+            count = sizes[index]
+            upto = np.cumsum(count)
+            total = np.concatenate([[0], upto])
+            # the k-th id of a match lies at first + k: positions run on by one within a match
+            ids = flat[np.arange(total[-1]) + np.repeat(first[index] - total[:-1], count)]
+            starts = np.concatenate([[0], ends[:-1] + 1])  # a separator is a match of its own, left out here
+            out += [ids[a:b] for a, b in zip(total[starts].tolist(), total[ends].tolist(), strict=True)]
+        new = unique.take(pa.array(missing[order]))
+        short = pc.binary_length(new).to_numpy() <= LONG
+        self.keys = pa.concat_arrays([self.keys, new.filter(pa.array(short))])
+        self.ids = np.concatenate([self.ids, new_ids[np.repeat(short, new_sizes)]])
+        self.sizes = np.concatenate([self.sizes, new_sizes[short]])
+        return out
+
+
 @lru_cache(2)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:

@@ -21,16 +21,18 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.common import materialize, named, partitions, pieces, split_uri, table, work_path
-from strandmill.llm.pretokens import PIECE, BatchEncoder
+from strandmill.llm.pretokens import BATCH, BlockEncoder
 
 HEAD, TAIL = b"ZTIDS1\n", b"ZTIDX1\n"
 LEVEL, DICTIONARY_BYTES = 3, 65_536
@@ -39,6 +41,8 @@ LEVEL, DICTIONARY_BYTES = 3, 65_536
 #: sizes only, never contents.
 SAMPLE_ROWS, SAMPLE_PIECES, PIECE_CHARS, PIECE_IDS = 512, 16, 2_560, 512
 BATCH_IDS = 1 << 20
+#: Matches that the tokenizer gets as one text.
+JOINED = 1_000
 INDEX = np.dtype([("doc_id", "<i8"), ("named", "<u1"), ("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("n", "<u8")])
 
 
@@ -60,11 +64,54 @@ def id_width(path: str) -> int:
     return 2 if max(load(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
 
 
+def match_encoder(tokenizer) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For BlockEncoder: the ids of matches, as the library gives them.
+
+    A call costs the library more than a match, so matches that begin with a space and a letter or digit are handed over in runs,
+    as one text each: however they follow one another, the pattern splits them at their spaces. Which ids are
+    whose is told by the bytes that they stand for; where these don't add up, matches go one by one.
+    """
+    lengths = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, np.int64)
+    for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
+        lengths[k] = len(token)  # a character of the byte-level alphabet for each byte
+
+    def call(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode(matches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = matches.cast(pa.string())
+        spaced = pc.match_substring_regex(words, r"^ [\pL\pN]").to_numpy(zero_copy_only=False)
+        together, alone = np.flatnonzero(spaced), [np.flatnonzero(~spaced)]
+        ends = np.cumsum(pc.binary_length(matches).to_numpy()[together].astype(np.int64))
+        text = b"".join(matches.filter(pa.array(spaced)).to_pylist())
+        cuts = [0, *ends[JOINED - 1 :: JOINED].tolist()]
+        cuts += [len(text)] if cuts[-1] < len(text) else []
+        order, found, sizes = [], [], []
+        for k, ids in enumerate(call([text[a:b].decode() for a, b in zip(cuts, cuts[1:])])):
+            own, upto = together[k * JOINED : (k + 1) * JOINED], ends[k * JOINED : (k + 1) * JOINED] - cuts[k]
+            reached = np.cumsum(lengths[ids])
+            last = np.searchsorted(reached, upto)
+            if not len(ids) or reached[-1] != upto[-1] or not np.array_equal(reached[last], upto):
+                alone.append(own)
+                continue
+            order.append(own)
+            found.append(ids)
+            sizes.append(np.diff(last, prepend=-1))
+        rest = np.concatenate(alone)
+        single = call(words.take(pa.array(rest)).to_pylist())
+        counts = np.fromiter(map(len, single), np.int64, len(single))
+        return np.concatenate([*order, rest]), np.concatenate([*found, *single, np.empty(0, np.uint32)]), np.concatenate([*sizes, counts]).astype(np.int64)
+
+    return encode
+
+
+@lru_cache(1)
 def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Encodes as the tokenizers library does without adding special tokens, but each distinct match of the
-    splitting pattern once. Texts that hold an added token's string go to the library whole."""
+    splitting pattern once for a worker, whose later tasks find it in the bounded cache. Texts that hold an added token's
+    string go to the library whole."""
     tokenizer = load(path)
-    batch = BatchEncoder(lambda new: (e.ids for e in tokenizer.encode_batch_fast([m.decode() for m in new], add_special_tokens=False)) if new else [])
+    batch = BlockEncoder(match_encoder(tokenizer))
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     holds = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
 
@@ -147,7 +194,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in pieces(batch.column("text"), PIECE):
+            for part in pieces(batch.column("text"), BATCH):
                 yield pa.record_batch({"ids": pa.array([serialised(piece, None, width) for x in encode(part.to_pylist()) for piece in sampled(x)], pa.binary())})
 
     chosen = rows.select("doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE_ROWS)
@@ -170,7 +217,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out, at, total = None, len(HEAD) + 33, 0
         for batch in batches:
             names = iter(batch.column("doc_id").to_pylist())
-            for part in pieces(batch.column("text"), PIECE):
+            for part in pieces(batch.column("text"), BATCH):
                 if out is None:
                     out = system.open_output_stream(target)
                     out.write(HEAD + bytes([width]) + hashlib.sha256(words).digest())

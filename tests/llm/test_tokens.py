@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -149,6 +150,38 @@ def test_the_cache_is_bounded(monkeypatch):
         assert encode.held < 2000 and len(encode.known) < 9 and all(len(m) <= pretokens.LONG for m in encode.known)
 
 
+def by_bytes(matches):
+    rows = [list(m) for m in matches.to_pylist()]
+    order = np.arange(len(rows))[::-1]
+    return order, np.array([x for i in order for x in rows[i]], np.uint32), np.array([len(rows[i]) for i in order], np.int64)
+
+
+def test_the_cache_of_large_batches_is_bounded(monkeypatch):
+    from strandmill.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "KEPT", 1000)
+    monkeypatch.setattr(pretokens, "PIECE", 64)
+    encode = pretokens.BlockEncoder(by_bytes)
+    for k in range(50):
+        texts = [f"{'x' * 300} word{k} other{k}", "", f"again word{k} \u00fcber{k}", "y" * 40, " "]
+        assert [bytes(x.astype(np.uint8)) for x in encode(texts)] == [t.encode() for t in texts]
+        assert encode.held() < 3000 and all(len(m) <= pretokens.LONG for m in encode.keys.to_pylist())
+    assert encode([]) == [] and [len(x) for x in encode([""])] == [0] and [len(x) for x in encode(["", "z" * 70, "", "z" * 70])] == [0, 70, 0, 70]
+
+
+@pytest.mark.parametrize("joined", [1, 2, 1000])
+def test_joined_matches_have_their_own_ids(monkeypatch, joined):
+    monkeypatch.setattr(token_output, "JOINED", joined)
+    tokenizer = token_output.load(token_output.vocabulary())
+    matches = [" a", "a", " 12", " !", " ", "\n\n", "'s", " \u00fcber", " \u00a0x", "  ", " \u4e2d\u6587", "x" * 500, " " + "z" * 500, " \u0661"]
+    for some in (matches, matches[:1], matches[1:2], []):
+        order, ids, sizes = token_output.match_encoder(tokenizer)(pa.array([m.encode() for m in some], pa.binary()))
+        assert sorted(order.tolist()) == list(range(len(some)))
+        ends = np.cumsum(sizes)
+        for i, end, n in zip(order, ends, sizes, strict=True):
+            assert ids[end - n : end].tolist() == tokenizer.encode(some[i], add_special_tokens=False).ids
+
+
 def test_wide_ids(spark):
     manifest, folder = token_output.write_tokens(documents(spark, [LONG, "x"]), width=4)
     rows = token_output.read_tokens(token_output.placed(manifest), folder).collect()
