@@ -89,20 +89,27 @@ def read_matrix(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return cells.groupBy("len_bin", "sim_bin").agg(F.sum(F.col("n").cast("bigint")).alias("n")).filter("n <> 0")
 
 
-def frequency_report(words: DataFrame) -> DataFrame:
-    """section, key, num, value: words with OUTLIER places or more (number, word and number again), two
-    heads, then the number of words for each smaller number of places. In the order of the first three."""
-    spark = words.sparkSession
-    counts = saved(dictionary(words), "dictionary")
+def frequency_report(counts: DataFrame) -> DataFrame:
+    """section, key, num, value of a dictionary's counts: words with OUTLIER places or more (number, word and number again), two
+    heads, then the number of words for each smaller number of places. In the order of the first three. Words with fewer
+    places are summed up before anything is written."""
+    spark = counts.sparkSession
+    outlier = F.when(F.col("num") >= OUTLIER, F.col("code")).alias("code")
+    counts = saved(counts.groupBy(outlier, "num").agg(F.count(F.lit(1)).alias("n")), "frequencies")
     word = packed_word(F.col("code"))
     many = counts.filter(F.col("num") >= OUTLIER).select(F.lit(0).alias("section"), word.alias("key"), "num", F.concat(F.col("num").cast("string"), F.lit("\t"), word, F.col("num").cast("string")).alias("value"))
     heads = spark.createDataFrame([(1, str(i), 0, v) for i, v in enumerate(FREQUENCY_HEADS)], "section int, key string, num bigint, value string")
-    few = counts.filter(F.col("num") < OUTLIER).groupBy("num").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.filter(F.col("num") < OUTLIER)
     return many.unionByName(heads).unionByName(few.select(F.lit(2).alias("section"), F.lit("").alias("key"), "num", F.concat_ws("\t", F.col("num").cast("string"), F.col("n").cast("string")).alias("value")))
 
 
 def write_frequencies(words: DataFrame, path: str) -> None:
-    frequency_report(words).orderBy("section", "key", "num").select("value").write.text(path)
+    write_counts(dictionary(words), path)
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """The report of a dictionary's counts."""
+    frequency_report(counts).orderBy("section", "key", "num").select("value").write.text(path)
 
 
 def write_csv_report(exported: DataFrame, path: str, len_x: int, len_y: int, credit: str = "") -> None:

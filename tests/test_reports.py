@@ -1,5 +1,6 @@
 """Text reports, line by line."""
 
+from pyspark.sql import functions as F
 from test_operators import S32, S40, genome
 
 from strandmill.operators import dictionary, kmers
@@ -62,3 +63,17 @@ def test_csv_report(spark, tmp_path):
     found = lines(tmp_path / "c")
     assert len(found) == 18 and found[0] == reports.TITLE and found[6] == "SeqX length          : 40" and found[12] == "Total fragments      : 1"
     assert found[16:] == [reports.CSV_HEAD, "Frag,0,0,39,39,f,0,40,160,40,1.00,1.00,0,0"]
+
+
+def test_frequencies_write_no_dictionary(spark, monkeypatch, tmp_path):
+    """Of words below the outliers only their numbers are written."""
+    counts = spark.range(5000).select(F.col("id").alias("code"), F.when(F.col("id") < 3, 2000).otherwise(F.pmod("id", F.lit(4)) + 1).cast("bigint").alias("num"))
+    rows = []
+
+    def kept(df, name):
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(reports, "saved", kept)
+    reports.write_counts(counts, f"file://{tmp_path}/f")
+    assert rows == [7] and spark.read.text(f"file://{tmp_path}/f").count() == 9
