@@ -42,3 +42,29 @@ def test_numbers_along_diagonals(spark, span):
     rows = [(s, d, p) for s in "fr" for d in range(4) for p in r.sample(range(60), r.randrange(1, 40))]
     found = chunking.numbered(spark.createDataFrame(rows, "strand string, diag bigint, posX bigint"), span).collect()
     assert sorted(map(tuple, found)) == sorted((s, d, p, sum(q <= p for t, e, q in rows if (t, e) == (s, d))) for s, d, p in rows)
+
+
+def test_few_keys_filter_words_where_they_are_made(spark, monkeypatch):
+    """Also if the keys are few enough to be broadcast, words of X that can't meet any are no rows."""
+    r, made = random.Random(8), []
+    x, y = ["".join(r.choice("ACGT") for _ in range(4000))], []
+    y = [x[0][100:200]]
+
+    def watched(*args, **more):
+        out = kmers.kmers(*args, **more)
+        if more.get("keys"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(seeds, "kmers", watched)
+    assert seeds.hits(genome(spark, *x), genome(spark, *y)).count() == 69
+    assert len(made) == 1 and 69 <= made[0] < 100
+
+
+def test_words_of_many_records_are_handed_over_together(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "ROWS", 50)
+    r = random.Random(9)
+    g = genome(spark, *["".join(r.choice("ACGT") for _ in range(n)) for n in (40, 0, 33, 200, 31, 64)])
+    rows = [tuple(x) for x in kmers.kmers(g).collect()]
+    assert len(rows) == len(set(rows)) == 9 + 2 + 169 + 33
+    assert kmers.kmers(g.withColumn("name", F.concat(F.lit("g"), "seq")), label="name").filter("name = concat('g', seq)").count() == len(rows)
