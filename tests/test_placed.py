@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_collections import PAIRS, collection, genome_of, records, wanted
 from test_operators import genome
 
-from strandmill.operators import kmers, placed, seeds
+from strandmill.operators import kmers, pairs, placed, seeds
 
 
 def grouped(g, group=0):
@@ -67,3 +67,28 @@ def test_words_of_many_genomes_travel_as_runs(spark):
     rows = placed.placed_runs(grouped(x), 16)
     told = rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum(sum(F.octet_length(c) for c in ("lengths", "bases", *placed.NUMBERS)))).first()
     assert told[0] <= 16 * rows.rdd.getNumPartitions() and told[1] == 12 * 1969 and told[2] < 3 * told[1]
+
+
+@pytest.mark.parametrize(("share", "giant"), [(1 << 23, 1 << 23), (60, 1 << 20), (60, 100)])
+def test_strided_words(spark, monkeypatch, share, giant):
+    for name, value in (("SHARE", share), ("BUCKET", 20), ("GIANT", giant)):
+        monkeypatch.setattr(placed, name, value)
+    r = random.Random(11)
+    core = "".join(r.choice("ACGT") for _ in range(60))
+    g = genome(spark, *[core[: r.randrange(32, 61)] + r.choice("ACGT") for _ in range(45)], "A" * 300, "C" * 80)
+    places = {}
+    for w in sorted(map(tuple, kmers.kmers(g).collect())):
+        places.setdefault(w[0], []).append(w[1:])
+    expected = [(c, *p, len(ps)) for c, ps in places.items() if len(ps) >= 20 for i, p in enumerate(ps) if i % max(1, len(ps) // 10) == 0]
+    assert sorted(map(tuple, placed.strided_words(g, 20, 10).collect())) == sorted(expected) and max(e[3] for e in expected) > 200
+
+
+@pytest.mark.parametrize("fl", [1000, 2])
+def test_shared_words_by_buckets(spark, monkeypatch, fl):
+    for of, name, value in ((placed, "SHARE", 300), (placed, "BUCKET", 100), (placed.Frequent, "AT_ONCE", 50), (placed.Shared, "PAIRS", 3)):
+        monkeypatch.setattr(of, name, value)
+    x = collection(spark, records(copies=3))
+    plain = pairs.shared_word_counts(kmers.kmers(x, label="genome", columns=("code",)), fl)
+    expected = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, pairs.shared_words(x, fl).collect())) == expected and expected
+    assert sorted(map(tuple, pairs.shared_words(x, fl, most=2).collect())) == expected
