@@ -25,7 +25,7 @@ from strandmill.functions.dna import reverse_complement
 from strandmill.operators.indexing import with_places
 from strandmill.operators.kmers import WORD
 from strandmill.sources.genomes import reversed_genome
-from strandmill.storage import saved
+from strandmill.storage import saved, small
 
 #: Bases of a block.
 BLOCK = 1 << 16
@@ -82,6 +82,7 @@ def _with_tails(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
     if WORD - 1 > size:
         raise ValueError("a block must be longer than a word")
     heads = blocks.filter("block > 0").select(*keys, "seq", (F.col("block") - 1).alias("block"), F.substring("bases", 1, WORD - 1).alias("tail"))
+    heads = small(saved(heads, "heads"))  # few where most records are shorter than a block: then the blocks stay where they are
     return blocks.join(heads, [*keys, "seq", "block"], "left").withColumn("tail", F.coalesce("tail", F.lit("")))
 
 

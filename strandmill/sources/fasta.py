@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.sources.genomes import collection, genome
+from strandmill.storage import saved, small
 
 
 def fasta_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -18,7 +19,7 @@ def fasta_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     begins = F.min(F.when(F.col("block") == 0, F.col("row"))).alias("first")
     files = rows.groupBy("file").agg(begins)
     files = files.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("file")))  # a row for each file
-    rows = rows.join(files, "file")
+    rows = rows.join(small(saved(files, "files")), "file")
     is_first = F.col("row") == F.col("first")
     rows = rows.filter(~is_first | F.col("value").startswith(">")).withColumn("value", F.when(is_first, F.expr("substring(value, 2)")).otherwise(F.col("value")))
     cut = F.instr("value", "\n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.dna import from_text, reverse_complement
 from strandmill.operators.indexing import with_places
-from strandmill.storage import small
+from strandmill.storage import saved, small
 
 
 def genome(records: DataFrame, key: str | list[str], spot: str | None = None) -> DataFrame:
@@ -29,14 +29,15 @@ def collection(records: DataFrame, name: str, keys: list[str], spot: str | None
     spot = spot or keys[0]
     names = records.select(F.col(name).alias("__genome")).distinct()
     names = names.withColumn("__rank", F.row_number().over(Window.partitionBy().orderBy("__genome")))  # a row for each genome
-    rows = records.join(names, F.col(name).eqNullSafe(F.col("__genome"))).drop("__genome")
+    # Few genomes' rows are sent to where the sequences lie, which else would travel for each of the two joins.
+    rows = records.join(small(saved(names, "genomes")), F.col(name).eqNullSafe(F.col("__genome"))).drop("__genome")
     rows = rows.withColumn("dna", F.upper("dna")).withColumn("len", F.length("dna").cast("bigint")).withColumn("__step", F.col("len") + 1)
     span = rows.agg(F.min(spot), F.max(spot)).first()
     low, wide = float(span[0] or 0), float((span[1] or 0) - (span[0] or 0)) + 1
     rows = rows.withColumn("__spot", F.col("__rank") + F.coalesce((F.col(spot) - F.lit(low)) / F.lit(wide * 2), F.lit(0.0)))
     placed = with_places(rows, ["__rank", *keys], "__step", "seq", "g_off", "__spot")
     firsts = placed.groupBy("__rank").agg(F.min("seq").alias("__seq"), F.min("g_off").alias("__off"))
-    return placed.join(firsts, "__rank").select(F.col(name).alias("genome"), (F.col("seq") - F.col("__seq")).alias("seq"), F.col("ident").cast("string").alias("ident"), "dna", "len", (F.col("g_off") - F.col("__off")).alias("g_off"))
+    return placed.join(small(saved(firsts, "firsts")), "__rank").select(F.col(name).alias("genome"), (F.col("seq") - F.col("__seq")).alias("seq"), F.col("ident").cast("string").alias("ident"), "dna", "len", (F.col("g_off") - F.col("__off")).alias("g_off"))
 
 
 def text_genome(records: DataFrame, key: str, text: str, turned: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from test_collections import PAIRS, collection, genome_of, records, wanted
 from test_operators import genome
 
 from strandmill.operators import kmers, pairs, placed, seeds
+from strandmill.sources import blocks
 
 
 def grouped(g, group=0):
@@ -92,3 +93,17 @@ def test_shared_words_by_buckets(spark, monkeypatch, fl):
     expected = sorted(map(tuple, plain.collect()))
     assert sorted(map(tuple, pairs.shared_words(x, fl).collect())) == expected and expected
     assert sorted(map(tuple, pairs.shared_words(x, fl, most=2).collect())) == expected
+
+
+def test_sequences_do_not_travel_to_few_genomes_or_heads(spark):
+    """Joins with a row for each genome, or with the heads of few blocks, are broadcast, whatever Spark guesses of sizes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = collection(spark, records())
+        tails = blocks._with_tails(spark.createDataFrame([(0, 0, "A" * 40), (0, 1, "CG"), (1, 0, "T")], "seq bigint, block bigint, bases string"), [], 40)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (x, tails)]
+        assert sorted(r.tail for r in tails.collect()) == ["", "", "CG"] and x.count() == len(records())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
