@@ -3,12 +3,12 @@
 The minimiser of a word is the least, by a mixed order, of the shorter words in it. Neighbours mostly have the same one, and
 all places of a word have the same, so runs of neighbours with one minimiser go to its bucket as one string of two bits a base,
 about a byte a word, and are cut into words and counted there. A task packs all runs of one bucket that a batch
-holds into one row. Buckets with very many words are counted in shares first, and the shares' counts are added up.
+holds into one row. Buckets with very many words are dealt again, in shares by word, after equal words that lie near each other were counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,12 @@ from strandmill.storage import saved, small
 
 #: Letters of a minimiser; words of a run at most.
 SHORT, RUN = 12, 200
-#: Words of a bucket, about, and of a share of a larger one; words that are cut at a time.
+#: Words of a bucket, about, and of one that isn't cut into shares; words that are cut at a time.
 BUCKET, SHARE, AT_ONCE = 1 << 21, 1 << 23, 1 << 21
+#: Buckets whose rows a task sorts, about: a byte a word.
+IN_TASK = 32
 ROW = "bucket bigint, n bigint, lengths binary, bases binary"
+SHARES = "bucket bigint, share bigint, n bigint, codes binary, nums binary"
 
 
 def runs(codes: np.ndarray, buckets: int, letters: int = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,23 +166,98 @@ def _counted(by: list[str]):
     return run
 
 
+def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets, with their numbers of shares, to words and counts by shares: all of a word have one share, and of
+    many equal ones that lie near each other one travels."""
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    n_held = 0
+
+    def told() -> pa.RecordBatch:
+        keys, parts = [], []
+        for (bucket, shares), words in held.items():
+            code, num = np.unique(np.concatenate(words), return_counts=True)
+            share = (mixed(code, 4) % np.uint64(shares)).astype(np.int64)
+            order = np.argsort(share, kind="stable")
+            cuts = np.searchsorted(share[order], np.arange(shares + 1))
+            for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                own = order[cuts[i] : cuts[i + 1]]
+                keys.append((bucket, int(i), len(own)))
+                parts.append((code[own].tobytes(), num[own].astype(np.min_scalar_type(num[own].max())).tobytes()))
+        bucket, share, n = zip(*keys, strict=True)
+        codes, nums = zip(*parts, strict=True)
+        return pa.record_batch({"bucket": pa.array(bucket, pa.int64()), "share": pa.array(share, pa.int64()), "n": pa.array(n, pa.int64()), "codes": pa.array(codes, pa.binary()), "nums": pa.array(nums, pa.binary())})
+
+    for batch in batches:
+        own = zip(batch.column("bucket").to_pylist(), batch.column("shares").to_pylist(), batch.column("lengths"), batch.column("bases"), strict=True)
+        for bucket, shares, lengths, bases in own:
+            words = unpacked(np.frombuffer(lengths.as_buffer(), np.uint8), np.frombuffer(bases.as_buffer(), np.uint8))
+            held.setdefault((bucket, shares), []).append(words)
+            n_held += len(words)
+            if n_held >= AT_ONCE:
+                yield told()
+                held, n_held = {}, 0
+    if held:
+        yield told()
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _dealt_again, sorted by bucket and share, to code and num."""
+    key, waiting, n_waiting, n_known = None, [], 0, 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        codes, nums = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        return codes[first], np.add.reduceat(nums[order], first)
+
+    def told() -> pa.RecordBatch:
+        codes, nums = added()
+        return pa.record_batch({"code": pa.array(codes.view(np.int64)), "num": pa.array(nums, pa.int64())})
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bucket, share, n, codes, nums = (batch.column(c)[i] for c in ("bucket", "share", "n", "codes", "nums"))
+            own, n = (bucket.as_py(), share.as_py()), n.as_py()
+            if own != key:
+                if waiting:
+                    yield told()
+                key, waiting, n_waiting, n_known = own, [], 0, 0
+            data = nums.as_buffer()
+            waiting.append((np.frombuffer(codes.as_buffer(), np.uint64), np.frombuffer(data, f"u{data.size // n}").astype(np.int64)))
+            n_waiting += n
+            if n_waiting - n_known >= AT_ONCE:
+                waiting = [added()]
+                n_waiting = n_known = len(waiting[0][0])
+    if waiting:
+        yield told()
+
+
 def word_counts(sequences: DataFrame, mask: str = "skip") -> DataFrame:
-    """code and num of every word, as dictionary(kmers(sequences)) has them. sequences has len: it tells the number of buckets."""
+    """code and num of every word, as dictionary(kmers(sequences)) has them. sequences has len: it tells the number of buckets.
+
+    Each task holds one bucket, or share of a large one, at a time, and sorts the rows of IN_TASK buckets or so: neither grows with
+    the input."""
     total = sequences.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
     spark = sequences.sparkSession
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * tasks, -(-total // BUCKET))
     rows = saved(super_words(sequences, buckets, mask), "super-words")
-    hot = rows.groupBy("bucket").agg(F.ceil(F.sum("n") / SHARE).cast("bigint").alias("shares")).filter("shares > 1")
-    hot = saved(hot, "hot-buckets")  # one for each SHARE words at most
+    hot = rows.groupBy("bucket").agg(F.ceil(F.sum("n") / BUCKET).cast("bigint").alias("shares"), F.sum("n").alias("words"))
+    hot = saved(hot.filter(F.col("words") > SHARE).drop("words"), "hot-buckets")  # one for each SHARE words at most
     schema = "code bigint, num bigint"
 
-    def dealt(df: DataFrame, by: list[str]) -> DataFrame:
-        return df.repartition(*by).sortWithinPartitions(*by).select(*by, "lengths", "bases").mapInArrow(_counted(by), schema)
+    def dealt(df: DataFrame, by: list[str], n: int, run: Callable) -> DataFrame:
+        """By as many tasks as hold so many buckets of about BUCKET words."""
+        spread = df.repartition(n // IN_TASK, *by) if n // IN_TASK > tasks else df.repartition(*by)
+        return spread.sortWithinPartitions(*by).mapInArrow(run, schema)
 
-    if not hot.limit(1).count():
-        return dealt(rows, ["bucket"])
+    cold = rows.select("bucket", "lengths", "bases")
+    shares = hot.agg(F.coalesce(F.sum("shares"), F.lit(0))).first()[0]
+    if not shares:
+        return dealt(cold, ["bucket"], buckets, _counted(["bucket"]))
     few = small(hot)
-    cold = dealt(rows.join(few, "bucket", "left_anti"), ["bucket"])
-    share = F.pmod(F.xxhash64("bucket", "lengths", F.monotonically_increasing_id()), F.col("shares"))
-    parts = dealt(rows.join(few, "bucket").withColumn("share", share), ["bucket", "share"])
-    return cold.unionByName(parts.groupBy("code").agg(F.sum("num").alias("num")))
+    cold = dealt(cold.join(few, "bucket", "left_anti"), ["bucket"], buckets, _counted(["bucket"]))
+    again = rows.join(few, "bucket").select("bucket", "shares", "lengths", "bases").mapInArrow(_dealt_again, SHARES)
+    # Words and counts take some eight times the room that runs take.
+    return cold.unionByName(dealt(again, ["bucket", "share"], 8 * shares, _added))

@@ -46,3 +46,15 @@ def test_same_counts(spark, monkeypatch, share, at_once, slice_):
 
 def test_no_words(spark):
     assert superwords.word_counts(genome(spark)).count() == superwords.word_counts(genome(spark, "ACGT")).count() == 0
+
+
+def test_large_buckets_need_no_sum_of_their_shares(spark, monkeypatch):
+    for name, value in (("SHARE", 50), ("BUCKET", 20), ("AT_ONCE", 40), ("IN_TASK", 1)):
+        monkeypatch.setattr(superwords, name, value)
+    r = random.Random(7)
+    core = random_dna(r, 300)
+    g = genome(spark, core, "A" * 900, "AC" * 300, core, core[50:200])
+    counts = superwords.word_counts(g)
+    assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()  # all places of a word meet in one share
+    assert {x.code: x.num for x in counts.collect()} == {x.code: x.num for x in dictionary.dictionary(kmers.kmers(g)).collect()}
+    assert counts.count() == counts.select("code").distinct().count()
