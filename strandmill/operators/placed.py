@@ -280,7 +280,7 @@ class Pairing(Frequent):
     def done(self) -> Iterator[pa.RecordBatch]:
         code, group, seq, place = self.words(self.shift)
         key = code >> np.uint64(self.shift)
-        order = np.lexsort((group, key))
+        order = self.ordered(key, group, place)
         key, group, seq, place = (c[order] for c in (key, group, seq, place))
         begin = run_starts(key, group)
         if not len(begin):
@@ -305,12 +305,38 @@ class Pairing(Frequent):
                 i, j = begin[x] + at // n[y], begin[y] + at % n[y]
                 yield self.told(of[x], of[y], place[i], place[j], seq[i], seq[j])
 
+    def ordered(self, key: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.lexsort((group, key))
+
     def told(self, gx, gy, px, py, sx, sy) -> pa.RecordBatch:
         names, strands = pa.array(self.names, pa.string()), pa.array(["f", "r"])
         columns = {"genome_x": names.take(pa.array(gx // 2)), "genome_y": names.take(pa.array(gy // 2)), "strand": strands.take(pa.array(gy % 2))}
         return pa.record_batch(columns | {"diag": pa.array(px - py), "posX": pa.array(px), "posY": pa.array(py), "seqX": pa.array(sx), "seqY": pa.array(sy)})
 
 
+class RunPairing(Pairing):
+    """The same hits in runs: of those that follow each other on a diagonal, the first, and n, how many they are."""
+
+    def ordered(self, key: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """By the first place of each key: hits of neighbouring words are made together."""
+        order = np.lexsort((place, group, key))
+        first = run_starts(key[order])
+        leaders = order[first]
+        rank = np.empty(len(first), np.int64)
+        rank[np.lexsort((place[leaders], group[leaders]))] = np.arange(len(first))
+        rank = np.repeat(rank, np.diff(np.append(first, len(order))))
+        return order[np.argsort(rank, kind="stable")]
+
+    def told(self, gx, gy, px, py, sx, sy) -> pa.RecordBatch:
+        pair, diag = gx * (2 * len(self.names)) + gy, px - py
+        order = np.lexsort((px, diag, pair))
+        pair, diag, at, x, y = (c[order] for c in (pair, diag, px, sx, sy))
+        begin = run_starts(pair, diag, at - np.arange(len(at)), x, y)
+        first = order[begin]
+        told = super().told(*(c[first] for c in (gx, gy, px, py, sx, sy)))
+        return told.append_column("n", pa.array(np.diff(np.append(begin, len(order)))))
+
+
 class Shared(Frequent):
     """genome_x, genome_y, shared_words and n_hits of the words of a bucket, for every two of its groups, which are genomes by number in
     the order of their names."""

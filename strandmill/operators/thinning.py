@@ -202,6 +202,45 @@ def thin(hits: DataFrame, k: int = 32, by: tuple[str, ...] = ()) -> DataFrame:
     return used_rows(hits.select(*by, "strand", "diag", "posX", "posY", "seqX", "seqY"), groups, F.lit(2 * k))
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs to hits, SPAN at a time."""
+    for batch in batches:
+        n, names = batch.column("n").to_numpy(), [c for c in batch.schema.names if c != "n"]
+        upto = np.cumsum(n)
+        for low in range(0, int(upto[-1]) if len(n) else 0, SPAN):
+            at = np.arange(low, min(low + SPAN, int(upto[-1])))
+            of = np.searchsorted(upto, at, "right")
+            out = batch.select(names).take(pa.array(of))
+            step = pa.array(at - (upto - n)[of])
+            yield pa.RecordBatch.from_arrays([pc.add(out.column(c), step) if c in ("posX", "posY") else out.column(c) for c in names], names)
+
+
+def single_hits(runs: DataFrame) -> DataFrame:
+    kept = [c for c in runs.columns if c != "n"]
+    return runs.select(*kept, "n").mapInArrow(_single, runs.select(*kept).schema)
+
+
+def thin_runs(runs: DataFrame, k: int = 32, by: tuple[str, ...] = ()) -> DataFrame:
+    """thin of hits that come in runs (a hit, and n, how many follow each other on its diagonal, itself included), which are made into
+    single ones only where a diagonal is walked along. No two runs hold the same hit, so their order is that of their hits. runs are
+    read several times: pass a written table."""
+    groups = [*by, "strand", "diag", "seqX", "seqY"]
+    kept = [*by, "strand", "diag", "posX", "posY", "seqX", "seqY"]
+    rows, walk = runs.select(*kept, "n"), _walk(groups, kept)
+
+    def walked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return walk(b.append_column("__leap", pa.array(np.full(b.num_rows, 2 * k))) for b in _single(batches))
+
+    def cold(df: DataFrame) -> DataFrame:
+        return df.repartition(*groups).sortWithinPartitions(*groups, "posX").select(*kept, "n").mapInArrow(walked_runs, rows.select(*kept).schema)
+
+    hot = saved(rows.groupBy(*groups).agg(F.sum("n").alias("__n")).filter(F.col("__n") > HOT).drop("__n"), "hot-diagonals")
+    if not hot.limit(1).count():
+        return cold(rows)
+    few = small(hot)  # one for each HOT hits at most
+    return cold(rows.join(few, groups, "left_anti")).unionByName(thin(single_hits(rows.join(few, groups)), k, by))
+
+
 def skip_covered(extended: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Keeps the seeds that are used: in order of posX on a diagonal (whatever the sequences), a seed is
     skipped if it lies before the end of the last accepted fragment, counted as that one's seed place plus

@@ -12,7 +12,7 @@ from strandmill.operators.extension import extend
 from strandmill.operators.fragments import coverage, export, fragments, judged, least_length, least_lengths
 from strandmill.operators.seeds import collection_hits, hits
 from strandmill.operators.stored import StoredDictionary, stored_hits
-from strandmill.operators.thinning import skip_covered, thin
+from strandmill.operators.thinning import single_hits, skip_covered, thin, thin_runs
 from strandmill.sources.blocks import BlockedGenome, blocked
 from strandmill.sources.genomes import totals
 from strandmill.storage import saved, small
@@ -130,8 +130,8 @@ class CollectionComparison:
 
     def __post_init__(self):
         self.pairs = saved(self.pairs.select(*BY).distinct(), "pairs")
-        self.hits = saved(collection_hits(self.sequences, self.pairs, self.k, self.fl), "hits")
-        self.thinned = saved(thin(self.hits, self.k, BY), "thinned")
+        self.runs = saved(collection_hits(self.sequences, self.pairs, self.k, self.fl, runs=True), "hits")
+        self.thinned = saved(thin_runs(self.runs, self.k, BY), "thinned")
         own = blocked(self.sequences)
         self.sizes = saved(own.sizes(), "sizes")
         rows, least = extend(self.thinned, own, own, self.k), F.lit(self.lmin)
@@ -140,6 +140,10 @@ class CollectionComparison:
         self.extended = judged(rows, least, self.simthr).drop("least")
         self.used = saved(skip_covered(self.extended, BY), "used")
 
+    @property
+    def hits(self) -> DataFrame:
+        return single_hits(self.runs)
+
     @property
     def parameters(self) -> str:
         """What results depend on besides the sequences."""

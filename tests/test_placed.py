@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from test_collections import PAIRS, collection, genome_of, records, wanted
 from test_operators import genome
 
-from strandmill.operators import kmers, pairs, placed, seeds
+from strandmill.operators import kmers, pairs, placed, seeds, thinning
 from strandmill.sources import blocks
+from strandmill.storage import saved
 
 
 def grouped(g, group=0):
@@ -107,3 +108,21 @@ def test_sequences_do_not_travel_to_few_genomes_or_heads(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
+
+
+@pytest.mark.parametrize(("hits", "hot", "span"), [(1 << 19, 1 << 20, 1 << 18), (50, 1 << 20, 7), (1 << 19, 20, 16)])
+def test_hits_travel_in_runs(spark, monkeypatch, hits, hot, span):
+    """A passage that two genomes share is a few rows, not one for each of its words; what they are thinned to is the same."""
+    for of, name, value in ((placed.Pairing, "HITS", hits), (thinning, "HOT", hot), (thinning, "SPAN", span)):
+        monkeypatch.setattr(of, name, value)
+    r = random.Random(5)
+    core = "".join(r.choice("ACGT") for _ in range(900))
+    x = collection(spark, [(g, i, f"r{i}", ("AC" * 40 + core)[:: 1 if i % 2 else -1] + "".join(r.choice("ACGT") for _ in range(80))) for i, g in enumerate("abc" * 2)])
+    pairs_ = wanted(spark, "ab", "ac", "bc")
+    runs = saved(seeds.collection_hits(x, pairs_, runs=True), "runs")
+    single = saved(seeds.collection_hits(x, pairs_), "hits")
+    expected = sorted(map(tuple, single.collect()))
+    assert sorted(map(tuple, thinning.single_hits(runs).collect())) == expected and len(expected) > 5000
+    assert hits == 50 or runs.count() < len(expected) / 4
+    by = ("genome_x", "genome_y")
+    assert sorted(map(tuple, thinning.thin_runs(runs, 32, by).collect())) == sorted(map(tuple, thinning.thin(single, 32, by).collect()))
