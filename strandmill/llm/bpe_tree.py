@@ -19,11 +19,13 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import named, pieces, table
-from strandmill.llm.pretokens import LETTER, NUMBER, OTHER, PIECE, SPACE, BatchEncoder, classes, ranks
+from strandmill.llm.common import lean, named, pieces, table
+from strandmill.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, BatchEncoder, classes, ranks
 
 #: Code points of a part that is not halved further, and of the first window on either side of a seam.
 LEAF, WINDOW = 4096, 64
+#: Bytes of text whose parts are encoded together; arrays take some fifty times as much.
+PART = 1 << 19
 
 
 def vocabulary() -> str:
@@ -115,24 +117,26 @@ def tree_bpe(text: Column, path: str | None = None, with_ids: bool = True) -> Co
     """Struct of n_tokens, ids (null unless with_ids), ids_sha256 and decoded_sha256 of each text.
 
     Null counts as empty; an empty text has no tokens. Special tokens' strings are ordinary text. A text
-    is held by one task, in parts; batches are cut to a few MB.
+    is held by one task, in parts; batches are cut to some hundred KB.
     """
     path = path or vocabulary()
 
     @F.arrow_udf(RESULT)
+    @lean
     def bpe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tree = TreeEncoder(path)
         decimal = [str(i) for i in range(len(tree.bytes_of))].__getitem__
         for batch in batches:
             ids, digests, decoded = [], [], []
-            for part in pieces(batch, PIECE):
+            for part in pieces(batch, PART):
                 for own in tree.encode([x or "" for x in part.to_pylist()]):
                     ids.append(own)
                     digests.append(hashlib.sha256(" ".join(map(decimal, own.tolist())).encode()).hexdigest())
                     decoded.append(hashlib.sha256(tree.decode(own)).hexdigest())
             counts = np.array([len(x) for x in ids], np.int64)
             if with_ids:
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+                flat = np.concatenate(ids).view(np.int32) if ids else np.empty(0, np.int32)
+                ids.clear()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.int32()))
             else:
                 lists = pa.nulls(len(ids), pa.list_(pa.int32()))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -134,3 +136,26 @@ def pieces(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[pa.Array]:
         held += n
     if start < len(column):
         yield column.slice(start)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which works on the batches of a task; what a batch took goes back to the system behind it, as workers live on
+    through later stages."""
+
+    @wraps(run)
+    def trimmed(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            hand_back()
+        hand_back()
+
+    return trimmed
+
+
+def hand_back() -> None:
+    """Gives memory that is free in this process to the system: Arrow's, and the C library's if it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

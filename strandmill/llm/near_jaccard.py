@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import few, materialize, materialized_from, named, pieces, text_digest
+from strandmill.llm.common import few, lean, materialize, materialized_from, named, pieces, text_digest
 from strandmill.llm.simhash import ball_links, components, fingerprint_of, one_for_each_root, shingle_hashes
 
 #: Words of a shingle; bits at which fingerprints give candidates.
@@ -46,6 +46,7 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
 def bucket_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """How many shingles of all sets fall into each of BUCKETS, by hash."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -87,6 +88,7 @@ def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
     names = [("signature", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("last", last), ("parities", pa.list_(pa.int64()))]
 
     @F.arrow_udf("struct<signature:string,n:int,fp:bigint,prefix:array<bigint>,last:struct<met:bigint,hash:bigint>,parities:array<bigint>>")
+    @lean
     def prefix(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
@@ -105,6 +107,7 @@ def prefixes(text: Column, counts: np.ndarray, words: int) -> Column:
 
 def set_column(text: Column, words: int) -> Column:
     @F.arrow_udf("array<bigint>")
+    @lean
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sets = [shingle_set(x, words) for part in pieces(pc.cast(batch, pa.binary())) for x in part.to_pylist()]

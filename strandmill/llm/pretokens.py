@@ -21,7 +21,7 @@ import regex
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 #: Bytes of a worker's cache, which is emptied when full, and what an entry takes besides its match and ids.
 #: Longer matches than LONG bytes are not kept at all.
-CACHED, ENTRY, LONG = 128 << 20, 200, 256
+CACHED, ENTRY, LONG = 48 << 20, 200, 256
 #: Bytes of text encoded at a time; arrays take some fifty times as much.
 PIECE = 1 << 20
 #: Bytes of text in a large batch, whose matches are looked up together (it is split by pieces), and of the arrays that its cache holds.
@@ -32,7 +32,8 @@ BATCH, KEPT = 8 << 20, 32 << 20
 def classes() -> np.ndarray:
     """Class of every code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    points = np.arange(0x110000, dtype="<u4")
+    every = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")  # a string for each sign would take 80 MB
     for pattern, k in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for m in regex.finditer(pattern, every):
             out[np.frombuffer(m.group().encode("utf-32-le"), "<u4")] = k

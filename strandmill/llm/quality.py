@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize, named, partitions, pieces, table
+from strandmill.llm.common import lean, materialize, named, partitions, pieces, table
 
 #: Random features, ridge penalty, kernel width over standardised statistics, bins of the calibration.
 FEATURES, PENALTY, WIDTH, BINS, SEED = 192, 1e-3, 4.0, 256, 7
@@ -70,6 +70,7 @@ def _is_wordy(word: bytes) -> bool:
 
 def statistics_column(text: Column) -> Column:
     @F.arrow_udf("array<float>")
+    @lean
     def stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [statistics(x or b"") for part in pieces(batch) for x in part.cast(pa.binary()).to_pylist()]
@@ -191,6 +192,7 @@ def score_column(spark: SparkSession, model: Model, stats: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @lean
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)).astype(np.float64)
@@ -209,6 +211,7 @@ def text_score_column(spark: SparkSession, model: Model, text: Column) -> Column
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @lean
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [statistics(x or b"") for part in pieces(batch) for x in part.cast(pa.binary()).to_pylist()]

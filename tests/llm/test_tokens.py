@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe_tree, token_output
+from strandmill.llm import bpe_tree, pretokens, token_output
 from strandmill.llm.pretokens import ranks, split
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -195,3 +196,13 @@ def test_cuts_come_from_the_whole_text(spark):
     own = rows[2].cuts
     assert len(own) == token_output.SAMPLE_PIECES and all(len(c) == token_output.PIECE_CHARS and c in long for c in own)
     assert long.startswith(own[0]) and long.endswith(own[-1])
+
+
+def test_class_table_takes_little_memory():
+    """Workers of one machine make it at the same time, when a stage begins."""
+    pretokens.classes()  # what is loaded once counts not
+    tracemalloc.start()
+    own = pretokens.classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (own == pretokens.classes()).all() and peak < 40e6, peak
