@@ -172,3 +172,11 @@ def test_collections_in_blocks(spark):
         assert sorted(map(tuple, CollectionComparison(x, pairs).fragments.collect())) == whole and whole
     finally:
         blocks.blocked.__defaults__ = (size,)
+
+
+def test_only_records_with_a_hit_are_made_into_blocks(spark):
+    met, alone = S40 + "ACGTTGCA" * 9, "GATTACAA" * 10
+    c = Comparison(genome(spark, alone, met, alone), genome(spark, alone[::-1], met[::-1].translate(FLIP)), lmin=30)
+    assert c.fragments.count() > 0
+    assert {r.seq for r in c.blocks("x").blocks.collect()} == {1} and {r.seq for r in c.blocks("y").blocks.collect()} == {1}
+    assert c.blocks("x").records.count() == 3

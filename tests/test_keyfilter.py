@@ -68,3 +68,23 @@ def test_words_of_many_records_are_handed_over_together(spark, monkeypatch):
     rows = [tuple(x) for x in kmers.kmers(g).collect()]
     assert len(rows) == len(set(rows)) == 9 + 2 + 169 + 33
     assert kmers.kmers(g.withColumn("name", F.concat(F.lit("g"), "seq")), label="name").filter("name = concat('g', seq)").count() == len(rows)
+
+
+@pytest.mark.parametrize(("k", "looked"), [(32, True), (31, True), (30, False)])
+def test_words_by_anchors(spark, k, looked):
+    """A key's words are found wherever they lie, though most places are not looked at."""
+    r = random.Random(k)
+    records = ["".join(r.choice("ACGT" * 20 + "N") for _ in range(n)) for n in (0, 31, 32, 33, 70, 3000, 41)]
+    core = "".join(r.choice("ACGT") for _ in range(60))
+    records[5] = "".join(records[5][i * 100 : i * 100 + 100] + core[i % 9 : 40 + i] for i in range(17))
+    own = genome(spark, *records)
+    every = kmers.kmers(own)
+    keys = kmers.kmers(genome(spark, core)).select(code_prefix(F.col("code"), k).alias("key")).distinct()
+    anchors = keyfilter.anchor_filter(keys, keys.count(), k)
+    assert (anchors is not None) == looked
+    met = kmers.kmers(own, keys=(keyfilter.key_filter(keys, keys.count()), k), anchors=anchors)
+    wanted = {tuple(w) for w in every.withColumn("key", code_prefix(F.col("code"), k)).join(keys, "key", "left_semi").select("code", "seq", "pos").collect()}
+    got = {tuple(w) for w in met.collect()}
+    assert wanted and wanted <= got and len(got) < every.count() / 2
+    if looked:
+        assert len(kmers.anchored_words(np.frombuffer(records[5].encode(), np.uint8), "skip", anchors.value)[0]) < len(records[5]) / 2

@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,3 +396,13 @@ def test_partitioning_does_not_matter(spark):
 def test_empty_genomes(spark):
     c = Comparison(genome(spark), genome(spark, S40))
     assert c.fragments.count() == 0 and c.exported.count() == 0 and c.coverage.count() == 0
+
+
+def test_bases_of_texts(spark):
+    """As hex digits spell them; parts of larger arrays, nulls and empty texts too."""
+    texts = ["", None, "a", "\u00e9\u4e2d\U0001f600", "\x00\x7f", *[chr(i) * (i % 5) for i in range(1, 300)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").filter("i <> 2")
+    digits = F.hex(F.encode(F.coalesce("t", F.lit("")), "UTF-8"))
+    out = df.select(dna.from_text(F.col("t")).alias("dna"), F.translate(digits, "0123456789ABCDEF", "ACGT" * 4).alias("slow")).collect()
+    assert len(out) == len(texts) - 1 and all(r.dna == r.slow for r in out)
+    assert dna._spelled_bytes(pa.array(["xy", None, "ab"]).slice(1)).to_pylist() == ["", "GCGG"]
