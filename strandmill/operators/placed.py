@@ -61,8 +61,8 @@ def rows_of(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, bases: np.n
     return pa.record_batch(data | {c: pa.array([coded(v[a:b]) for a, b in parts], pa.binary()) for c, v in zip(NUMBERS, numbers, strict=True)})
 
 
-def placed_runs(sequences: DataFrame, buckets: int, letters: int = WORD, mask: str = "skip") -> DataFrame:
-    """ROW. sequences: dna, seq, g_off and group (a long)."""
+def placed_runs(sequences: DataFrame, buckets: int, letters: int = WORD, mask: str = "skip", at_once: int = 4 * SLICE) -> DataFrame:
+    """ROW. sequences: dna, seq, g_off and group (a long). at_once: words, about, whose runs a task packs together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n_parts, held, n_held, offset = [], 0, [], 0, 0
@@ -97,7 +97,7 @@ def placed_runs(sequences: DataFrame, buckets: int, letters: int = WORD, mask: s
                     n_parts += len(parts[-1][0])
                     if n_parts >= SLICE:
                         cut()
-                        if n_held >= 4 * SLICE:
+                        if n_held >= at_once:
                             yield told()
         if parts:
             cut()
@@ -291,7 +291,7 @@ class Pairing(Frequent):
         own_first, own_members = np.repeat(first, members), np.repeat(members, members)
         forward = np.flatnonzero(of % 2 == 0)
         made = np.cumsum(own_members[forward])
-        for a in _cuts(made, self.PAIRS):
+        for a in within(made, self.PAIRS):
             mine = forward[slice(*a)]
             left, right = np.repeat(mine, own_members[mine]), stretched(own_first[mine], own_members[mine])
             met = self.wanted[of[left] // 2, of[right] // 2]
@@ -370,7 +370,7 @@ class Shared(Frequent):
         behind = np.repeat(np.append(first[1:], len(code)), np.diff(np.append(first, len(code)))) - np.arange(len(code)) - 1
         made, g = np.cumsum(behind), len(self.names)
         shared, hits = np.zeros(g * g, np.int64), np.zeros(g * g, np.int64)
-        for a, b in _cuts(made, self.PAIRS):
+        for a, b in within(made, self.PAIRS):
             own = np.arange(a, b)
             left, right = np.repeat(own, behind[a:b]), stretched(own + 1, behind[a:b])
             at = group[left] * g + group[right]
@@ -405,7 +405,7 @@ class Strided:
             yield pa.record_batch({"code": pa.array(code[own].view(np.int64)), "seq": pa.array(seq[own]), "pos": pa.array(place[own]), "num": pa.array(num[own])})
 
 
-def _cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def within(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` in all, each at least one row; ends: running sums."""
     a = 0
     while a < len(ends):

@@ -6,7 +6,7 @@ import shutil
 
 import pytest
 
-from strandmill.operators import dictionary, seeds, stored
+from strandmill.operators import cells, dictionary, seeds, stored
 from strandmill.sources import genomes
 
 
@@ -97,3 +97,27 @@ def test_empty_genome(spark, tmp_path):
     assert (d.n_sequences, d.total_length, d.n_hot) == (0, 0, 0)
     assert stored.stored_hits(store.put("x", genome(spark, texts()[0][0])), [d]).count() == 0
     assert dictionary.dictionary(d.common).count() == 0
+
+
+@pytest.mark.parametrize("k", [32, 16])
+@pytest.mark.parametrize(("fl", "hot", "cap", "large"), [(1000, 10_000, 10_000, 60), (5, 3, 10_000, 60), (1000, 20, 10_000, 25), (1000, 20, 25, 60)])
+def test_same_hits_of_large_cells(spark, tmp_path, monkeypatch, k, fl, hot, cap, large):
+    monkeypatch.setattr(stored, "HOT", hot)
+    monkeypatch.setattr(cells, "LARGE", large)
+    monkeypatch.setattr(cells, "DEALT", 30)
+    a, b = texts()
+    x, y, store = genome(spark, *a), genome(spark, *b), stored.DictionaryStore(spark, f"file://{tmp_path}/store", k, 3, cells=8)
+    dx, ys = store.put("x", x), [store.put("y", y, s) for s in "fr"]
+    assert dx.n_large > 0 and (dx.n_hot > 0) == (hot < 1000)
+    got = told(stored.stored_hits(dx, ys, fl, cap))
+    assert got == told(seeds.hits(x, y, k, fl, cap=cap)) and got
+    assert dx.common.filter("num > 1").count() == seeds.frequent_enough(seeds.kmers(x), hot).filter("num > 1").count()
+
+
+def test_cells_take_few_bytes_a_word(spark, tmp_path):
+    r = random.Random(5)
+    store = stored.DictionaryStore(spark, f"file://{tmp_path}/store", 32, 3, cells=64)
+    store.put("x", genome(spark, *("".join(r.choice("ACGT") for _ in range(50_000)) for _ in range(4))))
+    written = sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet"))
+    assert store.get("x").common.count() == 4 * (50_000 - 31) and written < 3 * 4 * 50_000
+    assert store.get("x").cells.count() <= 64
