@@ -21,8 +21,9 @@ from strandmill.operators.superwords import stretched, unpacked
 
 #: Cells of a store; words of a cell that is one row.
 CELLS, LARGE = 1 << 14, 1 << 22
-#: Words whose runs a task deals out at a time; words that are cut from runs, and hits that are made, at a time; bytes of rows handed over together, about.
-DEALT, CUT, HITS, BYTES = 1 << 23, 1 << 18, 1 << 19, 1 << 23
+#: Words whose runs a task deals out at a time; words that are cut from runs, and hits that are made, at a time; bytes of rows handed over together, and of
+#: those that are compressed together, about.
+DEALT, CUT, HITS, BYTES, ZIPPED = 1 << 23, 1 << 18, 1 << 19, 1 << 23, 1 << 24
 RUNS = ("lengths", "bases", "seqs", "places")
 CELL = "key bigint, whole boolean, n bigint, " + ", ".join(f"{c} binary" for c in RUNS)
 WORDS = "key bigint, code bigint, seq bigint, pos bigint, num bigint"
@@ -32,7 +33,47 @@ HIT = "strand string, diag bigint, posX bigint, posY bigint, seqX bigint, seqY b
 def in_cells(sequences: DataFrame, cells: int, buckets: int, k: int = WORD, mask: str = "skip") -> DataFrame:
     """CELL, dealt to buckets by key, the number of the cell. sequences: dna, seq and g_off."""
     rows = placed_runs(sequences.withColumn("group", F.lit(0).cast("bigint")), cells, k, mask, DEALT).select(F.col("bucket").alias("key"), "n", *RUNS)
-    return rows.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_gathered(LARGE), CELL)
+    spread = sequences.sparkSession.range(cells).select("id", F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket")).orderBy("id").collect()  # a row for each cell
+    _, first, of = np.unique([r["bucket"] for r in spread], return_index=True, return_inverse=True)
+    packed = rows.mapInArrow(_zipped(first[of]), "key bigint, rows binary")
+    dealt = packed.repartition(buckets, "key").mapInArrow(_unzipped, "key bigint, n bigint, " + ", ".join(f"{c} binary" for c in RUNS))
+    return dealt.sortWithinPartitions("key").mapInArrow(_gathered(LARGE), CELL)
+
+
+def _zipped(leader: np.ndarray):
+    """Rows whose cells have one leader, the first cell of their bucket, as one row under its key: together they can be compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n_held
+            rows = pa.concat_batches(held)
+            held, n_held = [], 0
+            first = leader[rows.column("key").to_numpy()]
+            order = np.argsort(first, kind="stable")
+            cuts = np.append(run_starts(first[order]), len(order))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own, sink = rows.take(pa.array(order[a:b])), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(own)
+                yield pa.record_batch({"key": pa.array(first[order[a : a + 1]], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            held.append(batch)
+            n_held += batch.nbytes
+            if n_held >= ZIPPED:
+                yield from told()
+        if held:
+            yield from told()
+
+    return run
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in batch.column("rows"):
+            yield from pa.ipc.open_stream(rows.as_buffer())
 
 
 def _gathered(large: int):
