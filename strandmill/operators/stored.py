@@ -27,6 +27,8 @@ from strandmill.storage import saved, small
 
 #: Words with more places are kept apart from the cells; at most STRIDED, so that no word of a cell is ever strided.
 HOT = STRIDED
+#: Bytes of a group of rows in a file of cells, about.
+GROUP = 1 << 24
 INFO = "name string, strand string, k int, buckets int, cells int, n_sequences bigint, total_length bigint, n_large bigint, n_hot bigint"
 
 
@@ -113,6 +115,8 @@ class DictionaryStore:
         sequences, table = strand_of(genome, strand), self._table(name, strand)
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         writer = in_cells(sequences, self.cells, self.buckets, self.k, mask).write.mode("overwrite").option("path", self.path(name, strand, "common")).option("compression", "zstd")
+        # Rows are large, and a reader takes up to 4,096 at once, but only of one group.
+        writer = writer.option("parquet.block.size", GROUP).option("parquet.page.size.row.check.min", 8).option("parquet.page.size.row.check.max", 64)
         writer.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(table)
         cells = self.spark.table(table)
         pieces = saved(cells.filter("not whole").groupBy("key").agg(F.count(F.lit(1)).alias("pieces")), "pieces")

@@ -4,6 +4,7 @@ import random
 import re
 import shutil
 
+import pyarrow.parquet as pq
 import pytest
 
 from strandmill.operators import cells, dictionary, seeds, stored
@@ -121,3 +122,12 @@ def test_cells_take_few_bytes_a_word(spark, tmp_path):
     written = sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet"))
     assert store.get("x").common.count() == 4 * (50_000 - 31) and written < 3 * 4 * 50_000
     assert store.get("x").cells.count() <= 64
+
+
+def test_groups_of_rows_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "GROUP", 1 << 13)
+    r = random.Random(6)
+    store = stored.DictionaryStore(spark, f"file://{tmp_path}/store", 32, 1, cells=128)
+    store.put("x", genome(spark, *("".join(r.choice("ACGT") for _ in range(20_000)) for _ in range(4))))
+    (file,) = (tmp_path / "store").rglob("common/*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 2
