@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from strandmill.operators.dictionary import STRIDED
 from strandmill.operators.extension import extend
-from strandmill.operators.fragments import coverage, export, fragments, judged, least_length, least_lengths
+from strandmill.operators.fragments import LAST_LENGTH, coverage, export, fragments, judged, least_length, least_lengths
 from strandmill.operators.records import accepted
 from strandmill.operators.seeds import collection_hits, hits
 from strandmill.operators.stored import StoredDictionary, stored_hits
 from strandmill.operators.thinning import single_hits, skip_covered, thin, thin_runs
+from strandmill.operators.tiles import PAIRS, found
 from strandmill.sources.blocks import BlockedGenome, blocked, strand_of
 from strandmill.sources.genomes import totals
 from strandmill.storage import saved, small
@@ -162,15 +164,38 @@ class CollectionComparison:
 
     def __post_init__(self):
         self.pairs = saved(self.pairs.select(*BY).distinct(), "pairs")
-        self.runs = saved(collection_hits(self.sequences, self.pairs, self.k, self.fl, runs=True), "hits")
-        self.thinned = saved(thin_runs(self.runs, self.k, BY), "thinned")
+        self.sizes = saved(self.sequences.groupBy("genome").agg(F.count(F.lit(1)).alias("n_sequences"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_length")), "sizes")
+        self._least = saved(least_lengths(self.lmin, self.pairs, self.sequences), "least") if self.percent else None
+        #: What pairs of tiles tell, if records are short enough for them; then no table of all hits or seeds is made unless it is asked for.
+        self._found = None
+        if self.fl < 2 * STRIDED:
+            least = {(r["genome_x"], r["genome_y"]): r["least"] for r in self._least.limit(PAIRS).collect()} if self.percent else self.lmin
+            self._found = found(self.sequences, self.pairs, least, self.simthr, self.k, self.fl)
+        self._seeds = self.used.withColumns({"sure": F.lit(False), "n": F.lit(1).cast("bigint")}) if self._found is None else saved(skip_covered(self._found.filter("NOT sure"), BY), "seeds")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return saved(collection_hits(self.sequences, self.pairs, self.k, self.fl, runs=True), "hits")
+
+    @cached_property
+    def thinned(self) -> DataFrame:
+        return saved(thin_runs(self.runs, self.k, BY), "thinned")
+
+    @cached_property
+    def extended(self) -> DataFrame:
         own = blocked(self.sequences)
-        self.sizes = saved(own.sizes(), "sizes")
         rows, least = extend(self.thinned, own, own, self.k), F.lit(self.lmin)
         if self.percent:
-            rows, least = rows.join(small(saved(least_lengths(self.lmin, self.pairs, own.records), "least")), [*BY]), F.col("least")
-        self.extended = judged(rows, least, self.simthr).drop("least")
-        self.used = saved(skip_covered(self.extended, BY), "used")
+            rows, least = rows.join(small(self._least), [*BY]), F.col("least")
+        return judged(rows, least, self.simthr).drop("least")
+
+    @cached_property
+    def used(self) -> DataFrame:
+        return saved(skip_covered(self.extended, BY), "used")
+
+    def _counted(self) -> DataFrame:
+        """The used seeds, or as many rows as tell length, similarity and number (n) of all of them."""
+        return self._seeds if self._found is None else self._seeds.unionByName(self._found.filter("sure"))
 
     @property
     def hits(self) -> DataFrame:
@@ -187,11 +212,12 @@ class CollectionComparison:
     @property
     def fragments(self) -> DataFrame:
         """The fragments of each pair, seqY counted from the forward strand's first record."""
-        return fragments(self.used.join(self._of_y(), "genome_y"), F.col("n_y"), BY)
+        return fragments(self._seeds.join(self._of_y(), "genome_y"), F.col("n_y"), BY)
 
     @property
     def coverage(self) -> DataFrame:
-        return coverage(self.used, BY)
+        each = self._counted().groupBy(*BY, F.least("length", F.lit(LAST_LENGTH)).cast("int").alias("len_bin"), F.floor("similarity").cast("int").alias("sim_bin"))
+        return each.agg(F.sum("n").alias("n"))
 
     @property
     def exported(self) -> DataFrame:
@@ -202,8 +228,9 @@ class CollectionComparison:
     def run_info(self) -> DataFrame:
         """For each pair a row for each strand with hits, and one for both."""
         zero, counts = F.lit(0).cast("bigint"), ("hits", "hits_used", "fragments")
-        n = self.thinned.select(*BY, "strand", F.lit(1).alias("hits"), F.lit(0).alias("hits_used"), F.lit(0).alias("fragments"))
-        n = n.unionByName(self.used.select(*BY, "strand", F.lit(0).alias("hits"), F.lit(1).alias("hits_used"), F.col("accepted").cast("int").alias("fragments")))
+        thinned = self.thinned.select(*BY, "strand", F.lit(1).cast("bigint").alias("n")) if self._found is None else self._found
+        n = thinned.select(*BY, "strand", F.col("n").alias("hits"), zero.alias("hits_used"), zero.alias("fragments"))
+        n = n.unionByName(self._counted().select(*BY, "strand", zero.alias("hits"), F.col("n").alias("hits_used"), F.col("accepted").cast("bigint").alias("fragments")))
         each = n.groupBy(*BY, "strand").agg(*[F.sum(c).alias(c) for c in counts])
         both = self.pairs.join(each.groupBy(*BY).agg(*[F.sum(c).alias(c) for c in counts]), [*BY], "left")
         both = both.select(*BY, F.lit("both").alias("strand"), *[F.coalesce(c, zero).alias(c) for c in counts])
