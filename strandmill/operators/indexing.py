@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.storage import saved
+
 #: Relative error of the bucket bounds; it decides balance only.
 ERROR = 0.001
 
@@ -50,7 +52,8 @@ def with_places(df: DataFrame, key: str | list[str], size: str | None = None, in
     rows = rows.withColumn("__n", F.row_number().over(order)).withColumn("__sum", F.sum("__size").over(order))
     ahead = Window.partitionBy().orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     totals = totals.select("__bucket", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__ahead"))
-    out = rows.join(F.broadcast(totals), "__bucket").withColumn(index, F.col("__rows") + F.col("__n") - 1)  # a few rows for each shuffle partition
+    # Written, so that they aren't summed up again whenever the rows are read.
+    out = rows.join(F.broadcast(saved(totals, "totals")), "__bucket").withColumn(index, F.col("__rows") + F.col("__n") - 1)  # a few rows for each shuffle partition
     if size:
         out = out.withColumn(before, F.col("__ahead") + F.col("__sum") - F.col("__size"))
     return out.drop("__bucket", "__size", "__n", "__sum", "__rows", "__ahead", "__tie")

@@ -58,3 +58,25 @@ def test_large_buckets_need_no_sum_of_their_shares(spark, monkeypatch):
     assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()  # all places of a word meet in one share
     assert {x.code: x.num for x in counts.collect()} == {x.code: x.num for x in dictionary.dictionary(kmers.kmers(g)).collect()}
     assert counts.count() == counts.select("code").distinct().count()
+
+
+def test_words_of_large_buckets_travel_as_runs(spark, monkeypatch):
+    """All words of a super-word's share, once, in few bytes a word; no table of them is written."""
+    monkeypatch.setattr(superwords, "saved", lambda *_: pytest.fail("written"), raising=False)
+    r = random.Random(9)
+    core = random_dna(r, 3000)
+    g = genome(spark, core, core[500:2500], "ACGTTGCA" * 100)
+    hot = superwords.large_buckets(g, 4, 32, "skip", 0, 100)
+    assert hot[0].tolist() == [0, 1, 2, 3] and (hot[1] > 4).all()
+    rows, of, n = superwords.super_words(g, 4, "skip", hot).collect(), {}, 0
+    for row in rows:
+        lengths = np.frombuffer(superwords.unzipped(row.lengths, row.runs), np.uint8)
+        bases = np.frombuffer(superwords.unzipped(row.bases, int((-(-(lengths.astype(int) + 31) // 4)).sum())), np.uint8)
+        for w in superwords.unpacked(lengths, bases).tolist():
+            assert of.setdefault(w, (row.bucket, row.share)) == (row.bucket, row.share)
+        n += int(lengths.sum())
+    codes = kmers.base_codes(np.frombuffer(core.encode(), np.uint8), "skip")
+    first, size, bucket, share = superwords.shared_runs(codes, 4, hot)
+    assert n == g.selectExpr("sum(len - 31)").first()[0] and len(set(of.values())) > 20
+    assert len(superwords.packed(codes, first, size)) + len(first) < 3 * (len(codes) - 31)
+    assert len(superwords.word_counts(g).collect()) == len(of)
