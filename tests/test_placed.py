@@ -126,3 +126,14 @@ def test_hits_travel_in_runs(spark, monkeypatch, hits, hot, span):
     assert hits == 50 or runs.count() < len(expected) / 4
     by = ("genome_x", "genome_y")
     assert sorted(map(tuple, thinning.thin_runs(runs, 32, by).collect())) == sorted(map(tuple, thinning.thin(single, 32, by).collect()))
+
+
+def test_shared_words_are_not_written(spark, monkeypatch):
+    """Words and their genomes go through one shuffle, without places, also those of large buckets."""
+    x = collection(spark, records(copies=3))
+    expected = sorted(map(tuple, pairs.shared_words(x, 1000).collect()))
+    for of, name, value in ((placed, "SHARE", 60), (placed, "BUCKET", 20)):
+        monkeypatch.setattr(of, name, value)
+    for of in (placed, pairs):
+        monkeypatch.setattr(of, "saved", lambda *_: pytest.fail("written"))
+    assert sorted(map(tuple, pairs.shared_words(x, 1000).collect())) == expected and expected
