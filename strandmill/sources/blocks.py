@@ -25,7 +25,7 @@ from strandmill.functions.dna import reverse_complement
 from strandmill.operators.indexing import with_places
 from strandmill.operators.kmers import WORD
 from strandmill.sources.genomes import reversed_genome
-from strandmill.storage import saved, small
+from strandmill.storage import BROADCAST_ROWS, saved, small
 
 #: Bases of a block.
 BLOCK = 1 << 16
@@ -203,7 +203,7 @@ def read_blocks(spark: SparkSession, path: str | list[str], size: int = BLOCK) -
     lines = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
     kinds = {"bigint": pa.int64(), "string": pa.string()}
     schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in PIECES.split(", "))])
-    pieces = saved(lines.mapInArrow(_cut_lines(size, schema), PIECES), "pieces")
+    pieces = saved(lines.mapInArrow(_cut_lines(size, schema), PIECES), "pieces", "zstd")
     pieces = pieces.join(names.select(F.col("hash").alias("file"), "rank"), "file").drop("file").withColumnRenamed("rank", "file")
 
     splits = saved(_placed_splits(pieces.drop("bases")), "splits")
@@ -220,7 +220,10 @@ def read_blocks(spark: SparkSession, path: str | list[str], size: int = BLOCK) -
     end = F.least((F.col("block") + 1) * size - F.col("at"), F.col("n"))
     parts = parts.select("seq", "block", (F.col("at") + begin).alias("at"), F.substring(F.col("bases"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("bases"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "bases"))), lambda p: p["bases"]), "")  # of one block
-    blocks = saved(parts.groupBy("seq", "block").agg(whole.alias("bases")), "block-bases")
-    return BlockedGenome(records, saved(_with_tails(blocks, [], size), "blocks"), size)
+    blocks = saved(parts.groupBy("seq", "block").agg(whole.alias("bases")), "block-bases", "zstd")
+    tailed = _with_tails(blocks, [], size)
+    if blocks.filter("block > 0").limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # else tails are sent to the blocks whenever these are read
+        tailed = saved(tailed, "blocks", "zstd")
+    return BlockedGenome(records, tailed, size)
 
 

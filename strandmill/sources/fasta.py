@@ -45,10 +45,11 @@ def read_collection(spark: SparkSession, path: str | list[str], extension: str =
     return collection(rows.withColumn("genome", name), "genome", ["rank", "block", "row"] if by_folder else ["block", "row"], "place" if by_folder else None)
 
 
-def write_fasta(sequences: DataFrame, path: str, width: int | None = None) -> None:
-    """A header line and the bases of each record, in order of seq; on one line, or on lines of width."""
+def write_fasta(sequences: DataFrame, path: str, width: int | None = None, compression: str | None = None) -> None:
+    """A header line and the bases of each record, in order of seq; on one line, or on lines of width. compression: as Spark's writer of text names it; a
+    file that is compressed by gzip is one split, which holds whole records."""
     body = F.col("dna") if width is None else F.regexp_replace("dna", f"(.{{{width}}})(?=.)", "$1\n")
-    sequences.orderBy("seq").select(F.concat(F.lit(">"), "ident", F.lit("\n"), body)).write.text(path)
+    sequences.orderBy("seq").select(F.concat(F.lit(">"), "ident", F.lit("\n"), body)).write.text(path, compression=compression)
 
 
 def write_fasta_chunks(chunked: DataFrame, path: str) -> None:
